@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrytext.llm import langid, toxicity
 from ferrytext.llm.bpe import encode_decode
-from ferrytext.llm.common import documents
+from ferrytext.llm.common import documents, fold
 from ferrytext.llm.license_scan import scan_licenses
 from ferrytext.llm.media import text_media_digests
 
@@ -39,10 +40,31 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.training_sample(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.score_documents(docs, model)
+    return found.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        "predicted",
+        F.size("passages").cast("long").alias("n_passages"),
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
+    "op7_langid": op7_langid,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
