@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytext.llm import langid, toxicity
+from ferrytext.llm import decontaminate, langid, sharding, toxicity
 from ferrytext.llm.bpe import encode_decode
 from ferrytext.llm.common import documents, fold
 from ferrytext.llm.license_scan import scan_licenses
@@ -46,6 +46,14 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.hilbert_shards(documents(spark, sf_dir), 8)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -64,7 +72,9 @@ QUERIES = {
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
     "op7_langid": op7_langid,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_shard": op9_shard,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_decontaminate": decontaminate.oracle(), "op9_shard": sharding.oracle(8)}
