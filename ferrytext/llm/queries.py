@@ -11,6 +11,7 @@ from ferrytext.llm.bpe import encode_decode
 from ferrytext.llm.common import documents, fold
 from ferrytext.llm.license_scan import scan_licenses
 from ferrytext.llm.media import text_media_digests
+from ferrytext.llm.simhash import near_duplicates
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media_digests(documents(spark, sf_dir))
 
@@ -69,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_simhash": op3_simhash,
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
     "op7_langid": op7_langid,
