@@ -12,6 +12,7 @@ from ferrytext.llm.common import documents, fold
 from ferrytext.llm.license_scan import scan_licenses
 from ferrytext.llm.media import text_media_digests
 from ferrytext.llm.simhash import near_duplicates
+from ferrytext.llm.suffix_dedup import removal_digests
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(documents(spark, sf_dir))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media_digests(documents(spark, sf_dir))
 
@@ -75,6 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_simhash": op3_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_media": op5_media,
     "op6_bpe": op6_bpe,
     "op7_langid": op7_langid,
