@@ -3,10 +3,42 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ferrytext.llm import toxicity
 from ferrytext.llm.bpe import encode_decode
 from ferrytext.llm.common import documents, stored
+from ferrytext.llm.decontaminate import contamination
+from ferrytext.llm.simhash import near_duplicates
+from ferrytext.llm.suffix_dedup import without_repeats
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the passage search doesn't predict as toxic; it learns from their labels."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id. A row without an id can't be named, so
+    it stays."""
+    found = near_duplicates(docs)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_chars"))
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("__nth", nth).where("__nth = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 400-byte strings that occur again anywhere; ``n_chars`` follows the text."""
+    return without_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lies in benchmark windows."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +46,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", drop_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
 
-#: Training and Hamming links are beyond SQL: the tests hold the stages against brute force instead.
+#: Learned labels and Hamming links are beyond SQL: the tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 

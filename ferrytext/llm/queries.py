@@ -10,6 +10,7 @@ from ferrytext.llm import decontaminate, langid, sharding, toxicity
 from ferrytext.llm.bpe import encode_decode
 from ferrytext.llm.common import documents, fold
 from ferrytext.llm.license_scan import scan_licenses
+from ferrytext.llm.lm_score import score_texts
 from ferrytext.llm.media import text_media_digests
 from ferrytext.llm.simhash import near_duplicates
 from ferrytext.llm.suffix_dedup import removal_digests
@@ -33,6 +34,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -79,6 +84,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_lm_score": op2_lm_score,
     "op3_simhash": op3_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_media": op5_media,

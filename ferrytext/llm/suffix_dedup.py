@@ -225,7 +225,7 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_variants: int = MOST_VARIANTS) -> tuple[DataFrame, DataFrame]:
     """(texts, removed): per document its key, size and digest; per text key with repeats the number of bytes and
-    spans removed, the kept bytes and their digest."""
+    spans removed, the digest of the kept bytes, and them as text without broken characters."""
     keyed = _keyed(docs)
     table = stored(_spans(keyed, length, gram), "spans")
     texts = table.select("doc_id", "k1", "k2", "n_bytes", "sha256")
@@ -266,7 +266,7 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     removed = _cut_out(sources.join(per_text, ["k1", "k2"]))
     gone = whole.select(
         "k1", "k2", F.col("end").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
-        F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"),
+        F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept"),
     )
     return texts, removed.unionByName(gone)
 
@@ -324,15 +324,16 @@ def _cut_out(rows: DataFrame) -> DataFrame:
                     end = max(end, stop)
                 kept.append(text[end:])
                 rest = b"".join(kept)
-                out.append((len(text) - len(rest), n, hashlib.sha256(rest).hexdigest(), rest))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+                digest = hashlib.sha256(rest).hexdigest()
+                out.append((len(text) - len(rest), n, digest, rest.decode("utf-8", "ignore")))
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k1"), batch.column("k2"), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))],
                 ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     return rows.select("k1", "k2", "text", "ranges").mapInArrow(
-        run, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        run, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
 
 
@@ -360,5 +361,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     names = docs.columns
     rows = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(7), text)})
     kept = removed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("kept").alias("__kept"))
-    whole = F.expr("regexp_replace(make_valid_utf8(cast(__kept as string)), '�', '')")
-    return rows.join(kept, ["__k1", "__k2"], "left").withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(whole)).select(*names)
+    rows = rows.withColumn("__null", F.col("text").isNull())
+    return rows.join(kept, ["__k1", "__k2"], "left").withColumn("text", F.when(~F.col("__null"), F.coalesce("__kept", "text"))).select(*names)

@@ -283,3 +283,20 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     ddl = "doc_id bigint, score double, predicted int, passages array<struct<start:int,end:int,sum:double,significance:double>>"
     return text_rows(docs).mapInArrow(run, ddl)
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text isn't predicted toxic. Null texts count as empty."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        lookup = _Scores(m.scores, m.neutral)
+        for batch in slices(batches, 4 << 20, "__text"):
+            texts = batch.column("__text").to_pylist()
+            clean = pa.array([m.score(m.passages(words_of(t), lookup)) < 0.5 for t in texts], pa.bool_())
+            yield batch.filter(clean).select(names)
+
+    text = F.coalesce(docs["text"], F.lit("")).cast("binary")
+    return docs.withColumn("__text", text).mapInArrow(run, docs.schema)
