@@ -9,11 +9,13 @@ Work is per document: no shuffle. A bounded table per task keeps what pieces wer
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,12 +35,12 @@ class RankQueue:
             sizes.append(-(-sizes[-1] // WORD_BITS))
         self.levels = [[0] * n for n in sizes]
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
+    def add(self, rank: int, positions: list[int]) -> None:
+        """A new bucket, or more for one that is there."""
+        if rank in self.buckets:
+            self.buckets[rank] += positions
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = positions
         i = rank
         for level in self.levels:
             word = i >> 6
@@ -71,66 +73,142 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
-        self.queue = RankQueue(max(ranks.values()) + 1)
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        # symbol i covers piece[i:end[i]]; before[i] is the start of the symbol before it; end[i] = 0 once merged away
-        end = list(range(1, n + 1))
-        before = list(range(-1, n))
-        queue = self.queue
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                queue.push(r, i)
+        self.n_ranks = max(ranks.values()) + 1
+        #: ids of two neighbours, as left << 20 | right, to the rank of the two together
+        self.pairs = {
+            ranks[token[:i]] << 20 | ranks[token[i:]]: rank
+            for token, rank in ranks.items()
+            for i in range(1, len(token))
+            if token[:i] in ranks and token[i:] in ranks
+        }
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.first = np.full((256, 256), -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first[token[0], token[1]] = rank
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece (none empty). All pieces lie in one linked list that is cut between them, so that
+        the queue is walked once for all."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(x) for x in pieces])
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[ends - 1] = -1
+        before[ends[:-1]] = -1
+        symbol, after_of, before_of = self.bytes[data].tolist(), after.tolist(), before.tolist()
+        queue, get = RankQueue(self.n_ranks), self.pairs.get
+        first = self.first[data[:-1], data[1:]]
+        first[ends[:-1] - 1] = -1
+        order = np.argsort(first, kind="stable")
+        order = order[first[order] >= 0]
+        starts = np.flatnonzero(np.diff(first[order], prepend=-1))
+        for rank, bucket in zip(first[order][starts].tolist(), np.split(order, starts[1:])):
+            queue.add(rank, bucket.tolist())
+        buckets = queue.buckets
         while (got := queue.pop()) is not None:
             rank, positions = got
-            size = len(self.tokens[rank])
+            high = rank << 20
             positions.sort()  # equal ranks merge from left to right
-            for k, i in enumerate(positions):
-                mid = end[i]
-                if not mid or mid >= n:
-                    continue
-                stop = end[mid]
-                if stop - i != size or ranks.get(piece[i:stop]) != rank:
-                    continue  # stale: a neighbour has been merged since
-                end[mid] = 0
-                end[i] = stop
-                before[stop] = i
+            for at, i in enumerate(positions):
+                j = after_of[i]
+                if j < 0 or get(symbol[i] << 20 | symbol[j]) != rank:
+                    continue  # stale: one of the two has been merged since
+                symbol[i] = rank
+                k = after_of[i] = after_of[j]
+                after_of[j] = -1
                 least = rank
-                if stop < n and (r := ranks.get(piece[i : end[stop]])) is not None:
-                    queue.push(r, i)
-                    least = min(least, r)
-                if (left := before[i]) >= 0 and (r := ranks.get(piece[left:stop])) is not None:
-                    queue.push(r, left)
+                if k >= 0:
+                    before_of[k] = i
+                    if (r := get(high | symbol[k])) is not None:
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            queue.add(r, [i])
+                        least = r
+                if (h := before_of[i]) >= 0 and (r := get(symbol[h] << 20 | rank)) is not None:
+                    if r in buckets:
+                        buckets[r].append(h)
+                    else:
+                        queue.add(r, [h])
                     least = min(least, r)
                 if least < rank:  # a lower rank has come up: it goes first
-                    for later in positions[k + 1 :]:
-                        queue.push(rank, later)
+                    if at + 1 < len(positions):
+                        queue.add(rank, positions[at + 1 :])
                     break
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+        out = []
+        for i in [0, *ends[:-1].tolist()]:
+            ids = []
+            while i >= 0:
+                ids.append(symbol[i])
+                i = after_of[i]
+            out.append(ids)
         return out
 
 
-class _Pieces(dict):
-    """Piece to ids; emptied when full, so its size is bounded. Long pieces aren't kept."""
+class Encoder:
+    """Ids of texts. A text is cut before every single blank that a non-blank follows, as no piece of the pattern
+    reaches over such a place; what each cut-out stands for is kept between batches. When full, only what the
+    batch at hand needs is kept; long cut-outs are never kept.
+
+    This holds for patterns in which a blank may only begin a piece, as in all that take an optional blank before
+    letters, digits or signs; ``split_blanks=False`` matches whole texts instead.
+    """
+
+    def __init__(self, bpe: Bpe, pattern: str, most: int, split_blanks: bool = True) -> None:
+        self.bpe, self.pattern, self.most, self.split_blanks = bpe, regex.compile(pattern), most, split_blanks
+        self.pieces: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[list[int], str]] = {}
+        self.blank = regex.compile(r"\s|$")
 
-    def __init__(self, bpe: Bpe, most: int) -> None:
-        super().__init__()
-        self.bpe, self.most = bpe, most
+    def _of_pieces(self, texts: list[list[str]]) -> None:
+        """Makes ``self.pieces`` have all pieces of ``texts``."""
+        used = set().union(*texts)
+        missing = [x for x in used if x not in self.pieces]
+        if len(self.pieces) + len(missing) > self.most:
+            self.pieces = {x: self.pieces[x] for x in used if x in self.pieces}
+        hard = []
+        for x in missing:
+            data = x.encode("utf-8")
+            if (rank := self.bpe.ranks.get(data)) is not None:
+                self.pieces[x] = [rank]
+            else:
+                hard.append((x, data))
+        if hard:
+            self.pieces.update(zip((x for x, _ in hard), self.bpe.encode_pieces([data for _, data in hard])))
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.bpe.encode_piece(piece.encode("utf-8"))
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """Of each text the ids, and the ids in decimal joined by commas."""
+        cut = [t.split(" ") if self.split_blanks else [t] for t in texts]
+        if self.split_blanks:
+            for parts in cut:
+                parts[1:] = [" " + x for x in parts[1:]]
+        used = set().union(*cut)
+        if self.split_blanks:
+            odd = {x for x in used if x[:1] == " " and self.blank.match(x, 1)}
+            if odd:
+                used -= odd
+                for i, parts in enumerate(cut):
+                    if not odd.isdisjoint(parts):
+                        cut[i] = [texts[i]]
+                        used.add(texts[i])
+        missing = [x for x in used if x not in self.parts]
+        if len(self.parts) + len(missing) > self.most:
+            self.parts = {x: self.parts[x] for x in used if x in self.parts}
+        found = [self.pattern.findall(x) for x in missing]
+        self._of_pieces(found)
+        ids_of = self.pieces.__getitem__
+        for x, pieces in zip(missing, found):
+            ids = list(chain.from_iterable(map(ids_of, pieces)))
+            self.parts[x] = ids, ",".join(map(str, ids))
+        part = self.parts.__getitem__
+        out = []
+        for parts in cut:
+            pairs = list(map(part, parts))
+            out.append((list(chain.from_iterable([x[0] for x in pairs])), ",".join([x[1] for x in pairs if x[1]])))
+        for held in (self.parts, self.pieces):
+            for x in [x for x in held if len(x) > 64] if any(len(x) > 64 for x in used) else ():
+                del held[x]
+        return out
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -139,14 +217,20 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _codec(path: str, pattern: str, most: int) -> tuple[Bpe, _Pieces, regex.Pattern, list[str], dict[int, bytes]]:
+def _codec(path: str, pattern: str, most: int, split_blanks: bool) -> tuple[Encoder, list[bytes | None]]:
     with open(path, "rb") as f:
         bpe = Bpe(parse_ranks(f.read()))
-    return bpe, _Pieces(bpe, most), regex.compile(pattern), {i: str(i) for i in bpe.tokens}, bpe.tokens
+    return Encoder(bpe, pattern, most, split_blanks), [bpe.tokens.get(i) for i in range(bpe.n_ranks)]
 
 
 def encode_decode(
-    docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool = False, cache_entries: int = 300_000
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    *,
+    with_ids: bool = False,
+    cache_entries: int = 400_000,
+    split_blanks: bool = True,
 ) -> DataFrame:
     """Per document: n_tokens, sha256 of the decimal ids joined by commas, sha256 of the bytes decoded from the
     ids and, with ``with_ids``, the ids. ``ranks_path`` is a rank file that each executor has (installed with its
@@ -160,13 +244,16 @@ def encode_decode(
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pieces, pat, names, tokens = _codec(ranks_path, pattern, cache_entries)
-        for batch in slices(batches, 2 << 20):
+        encoder, tokens = _codec(ranks_path, pattern, cache_entries, split_blanks)
+        for batch in slices(batches, 4 << 20):
             counts, digests, decoded, kept = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = list(chain.from_iterable(map(pieces.__getitem__, pat.findall(text.decode("utf-8", "replace")))))
+            texts = [x.decode("utf-8", "replace") for x in batch.column("text").to_pylist()]
+            gc.disable()  # the tables hold many small lists and no cycles
+            encoded = encoder.encode(texts)
+            gc.enable()
+            for ids, joined in encoded:
                 counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                digests.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
                 if with_ids:
                     kept.append(ids)
