@@ -6,23 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrytext.functions import text as T
+from ferrytext.jobs.catalog import Catalog
 from ferrytext.operators import units as U
 from ferrytext.sources.views import KANA_DOCS_SQL, kana_docs, table
 
 N = T.MAX_CHARS
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+_catalog = Catalog()
+QUERIES, ORACLE_SQL, query = _catalog.queries, _catalog.sql, _catalog.query
 
 WHITE = T.WHITE
 STRIP = lambda x: rf"regexp_replace({x}, '\A[{WHITE}]+|[{WHITE}]+\z', '', 'g')"

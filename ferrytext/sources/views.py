@@ -60,7 +60,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOXES_SQL = """SELECT page_id, region_id::INT AS region_id, x0::INT AS x0, y0::INT AS y0, (x0 + w)::INT AS x1, (y0 + h)::INT AS y1, confidence,
-  'あ' || region_id AS text FROM (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY COLUMNS(*)) AS region_id,
+  'あ' || region_id AS text FROM (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS region_id,
   (l_partkey * 7 + l_linenumber * 13) % 160 AS x0, (l_suppkey * 5 + l_linenumber * 31) % 220 AS y0, 6 + l_partkey % 70 AS w,
   6 + floor(l_quantity)::INT AS h, (l_discount * 10)::DOUBLE AS confidence FROM lineitem)"""
 
