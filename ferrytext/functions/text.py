@@ -133,8 +133,8 @@ def format_size(n: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB, in steps of 1024; one decimal but for B."""
     out = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
     for i, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(n < 1024 ** (i + 1), F.concat(F.format_string("%.1f", n / float(1024**i)), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_string("%.1f", n / float(1024**4)), F.lit(" TB")))
+        out = out.when(n < 1024 ** (i + 1), F.concat(F.format_string("%.1f", F.bround(n / float(1024**i), 1)), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(F.format_string("%.1f", F.bround(n / float(1024**4), 1)), F.lit(" TB")))
 
 
 def basename(path: Column) -> Column:
