@@ -68,6 +68,12 @@ def truncate_loop_tail(text: Column) -> Column:
 def clean_recognition(text: Column, keywords: Column) -> Column:
     """Loops, marks, echoes of the instruction, repeated blocks and lines and a looping tail go."""
     lines = F.filter(normalize_ocr_lines(collapse_repeats(text)), lambda x: ~echoes(x, keywords))
-    lines = collapse_line_blocks(lines)
-    kept = F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
-    return py_strip(truncate_loop_tail(F.array_join(kept, "\n")))
+
+    def settle(x: pd.Series) -> pd.Series:
+        def one(found: list[str]) -> str:
+            kept = collapse_blocks(list(found))
+            return truncate_tail("\n".join(line for i, line in enumerate(kept) if not i or line != kept[i - 1]))
+
+        return x.map(lambda v: None if v is None else one(v))
+
+    return py_strip(F.pandas_udf(settle, "string")(lines))
