@@ -32,7 +32,8 @@ class Settings:
     rows_per_class: int = 20_000
     features: int = 50_000
     min_docs: int = 4
-    min_z: float = 2.5
+    min_z: float = 3.0
+    min_odds: float = 2.0
     prior: float = 0.5
     neutral: float = -0.4
     cap: float = 6.0
@@ -166,7 +167,7 @@ def _log_odds(t, c, nt, nc, settings: Settings):  # noqa: ANN001, ANN202  column
 
 def learn_scores(sample: DataFrame, settings: Settings) -> list[dict[bytes, float]]:
     """Token log-odds, shrunk by the prior, from half 0, half 1 and both; of each at most ``settings.features``
-    tokens. Those with the largest |z| over both halves come to the driver."""
+    tokens. Those with the largest z over both halves come to the driver."""
     columns = ["c0", "c1", "t0", "t1"]
     counted = (
         sample.mapInArrow(_token_counts, "key binary, c0 long, c1 long, t0 long, t1 long")
@@ -183,7 +184,7 @@ def learn_scores(sample: DataFrame, settings: Settings) -> list[dict[bytes, floa
         counted.where(t + c >= settings.min_docs)
         .join(F.broadcast(totals), "level")
         .where((nt > 0) & (nc > 0))
-        .withColumn("z", F.abs(z))
+        .withColumn("z", z)
         .where(F.col("z") >= settings.min_z / 2)
         .orderBy(F.col("z").desc(), "key")
         .limit(settings.features)
@@ -196,17 +197,24 @@ def learn_scores(sample: DataFrame, settings: Settings) -> list[dict[bytes, floa
         t, c, nt, nc = (sum(n[f"{x}{p}"] for p in parts) for x in ("t", "c", "nt", "nc"))
         with np.errstate(all="ignore"):
             odds, z = _log_odds(t, c, nt, nc, settings)
-        keep = (t + c >= settings.min_docs) & (np.abs(z) >= settings.min_z)
-        out.append({k: max(-settings.cap, min(settings.cap, float(o))) for k, o, ok in zip(keys, odds, keep) if ok})
+        keep = (t + c >= settings.min_docs) & (z >= settings.min_z) & (odds >= settings.min_odds)
+        out.append({k: min(settings.cap, float(o)) for k, o, ok in zip(keys, odds, keep) if ok})
     return out
 
 
-def _fit_gumbel(best: np.ndarray, log_m: np.ndarray) -> tuple[float, float]:
-    """Rate and log K of: best = (log K + log m + standard Gumbel) / rate, by moments."""
-    rate = 1.0
-    for _ in range(30):
-        rate = min(4.0, max(0.05, math.pi / math.sqrt(6) / max(1e-3, float(np.std(best - log_m / rate)))))
-    return rate, rate * float(np.mean(best - log_m / rate)) - 0.5772
+def _fit_gumbel(positive: np.ndarray, sums: np.ndarray, words: int, neutral: float) -> tuple[float, float]:
+    """Rate and log K of the law of clean texts' best segments, P(best < x) = exp(-K words exp(-rate x)). The rate solves
+    mean(exp(rate * score)) = 1 over clean tokens (``positive`` scores, all others neutral); K follows from how many of
+    their segments reach the median sum."""
+    if not len(positive):
+        return 1.0, -math.log(max(2, words))
+    low, high = 1e-3, 8.0
+    for _ in range(60):
+        rate = (low + high) / 2
+        mean = (np.exp(np.minimum(rate * positive, 600)).sum() + (words - len(positive)) * math.exp(rate * neutral)) / words
+        low, high = (rate, high) if mean < 1 else (low, rate)
+    middle = float(np.median(sums))
+    return rate, math.log(int((sums >= middle).sum())) + rate * middle - math.log(words)
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -231,25 +239,23 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = [_Scores(halves[1], settings.neutral), _Scores(halves[0], settings.neutral)]
         for batch in slices(batches, 4 << 20):
-            sums, sizes = [], []
+            sums, positive, sizes = [], [], []
             for text, half in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist()):
-                words = words_of(text)
-                sums.append([s for _, _, s in maximal_segments(list(map(other[half].__getitem__, words)))])
-                sizes.append(len(words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(sums, pa.list_(pa.float64())), pa.array(sizes, pa.int64())],
-                ["toxic", "sums", "words"],
-            )
+                scores = list(map(other[half].__getitem__, words_of(text)))
+                sums.append([s for _, _, s in maximal_segments(scores)])
+                positive.append([s for s in scores if s > 0])
+                sizes.append(len(scores))
+            lists = [pa.array(x, pa.list_(pa.float64())) for x in (sums, positive)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *lists, pa.array(sizes, pa.int64())], ["toxic", "sums", "positive", "words"])
 
     # each half is scored with what the other half taught; at most 2 * rows_per_class rows
-    seen = sample.mapInArrow(best, "toxic int, sums array<double>, words long").collect()
+    seen = sample.mapInArrow(best, "toxic int, sums array<double>, positive array<double>, words long").collect()
     raw = Model(scores, settings.neutral)
     if not scores or len({r["toxic"] for r in seen}) < 2:
         return raw
-    clean = [r for r in seen if r["toxic"] == 0 and r["words"]]
-    rate, log_k = _fit_gumbel(
-        np.array([max(r["sums"], default=0.0) for r in clean]), np.log([float(r["words"]) for r in clean])
-    )
+    clean = [r for r in seen if r["toxic"] == 0]
+    flat = lambda k: np.array([s for r in clean for s in r[k]], float)
+    rate, log_k = _fit_gumbel(flat("positive"), flat("sums"), max(1, sum(r["words"] for r in clean)), settings.neutral)
     floor = lambda r: log_k + math.log(r["words"] or 1)
     x = np.array([math.log1p(sum(max(0.0, rate * s - floor(r)) for s in r["sums"])) for r in seen])
     slope, intercept = _fit_logistic(x, np.array([float(r["toxic"]) for r in seen]))
