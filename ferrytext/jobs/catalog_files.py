@@ -86,18 +86,18 @@ def looping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def collapse_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return looping_lines(spark, sf_dir).select("doc_id", F.array_join(C.collapse_line_blocks(F.col("lines")), "\n").alias("text"))
+    return C.collapse_line_blocks(looping_lines(spark, sf_dir), "lines").select("doc_id", F.array_join("lines", "\n").alias("text"))
 
 
 @query()
 def truncate_loop_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return looping_lines(spark, sf_dir).select("doc_id", C.truncate_loop_tail(F.array_join("lines", "\n")).alias("text"))
+    return C.truncate_loop_tail(looping_lines(spark, sf_dir).select("doc_id", F.array_join("lines", "\n").alias("text")), "text")
 
 
 @query()
 def clean_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keywords = F.array(F.lit("transcribe"), F.lit("markdown"))
-    return looping_lines(spark, sf_dir).select("doc_id", C.clean_recognition(F.array_join("lines", "\n"), keywords).alias("text"))
+    rows = looping_lines(spark, sf_dir).select("doc_id", F.array_join("lines", "\n").alias("text"))
+    return C.clean_recognition(rows, "text", ["transcribe", "markdown"])
 
 
 _WIDE = r"[\x{2e80}-\x{9fff}\x{ff00}-\x{ff60}]"

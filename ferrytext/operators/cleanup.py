@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrytext.functions.arrow import with_mapped
 from ferrytext.functions.text import collapse_repeats, echoes, normalize_ocr_lines, py_strip
 
 
@@ -51,29 +51,25 @@ def truncate_tail(text: str, least: float = 0.7) -> str:
     return text
 
 
-def collapse_line_blocks(lines: Column) -> Column:
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else collapse_blocks(list(v)))
+def collapse_line_blocks(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the array of lines in ``column`` collapsed."""
+    return with_mapped(rows, column, column, collapse_blocks, "array<string>")
 
-    return F.pandas_udf(run, "array<string>")(lines)
 
+def truncate_loop_tail(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the text in ``column`` cut where it begins to loop."""
+    return with_mapped(rows, column, column, truncate_tail, "string")
 
-def truncate_loop_tail(text: Column) -> Column:
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else truncate_tail(v))
 
-    return F.pandas_udf(run, "string")(text)
+def _settle(lines: list[str]) -> str:
+    kept = collapse_blocks(lines)
+    return truncate_tail("\n".join(line for i, line in enumerate(kept) if not i or line != kept[i - 1]))
 
 
-def clean_recognition(text: Column, keywords: Column) -> Column:
-    """Loops, marks, echoes of the instruction, repeated blocks and lines and a looping tail go."""
-    lines = F.filter(normalize_ocr_lines(collapse_repeats(text)), lambda x: ~echoes(x, keywords))
-
-    def settle(x: pd.Series) -> pd.Series:
-        def one(found: list[str]) -> str:
-            kept = collapse_blocks(list(found))
-            return truncate_tail("\n".join(line for i, line in enumerate(kept) if not i or line != kept[i - 1]))
-
-        return x.map(lambda v: None if v is None else one(v))
-
-    return py_strip(F.pandas_udf(settle, "string")(lines))
+def clean_recognition(rows: DataFrame, column: str, keywords: list[str]) -> DataFrame:
+    """``rows`` with ``column`` cleaned: loops, marks, echoes of the instruction, repeated blocks and lines and a looping
+    tail go."""
+    words = F.array(*map(F.lit, keywords))
+    lines = F.filter(normalize_ocr_lines(collapse_repeats(F.col(column))), lambda x: ~echoes(x, words))
+    out = with_mapped(rows.withColumn(column, lines), column, column, _settle, "string")
+    return out.withColumn(column, py_strip(F.col(column))).select(*rows.columns)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrytext.functions.arrow import with_mapped
+
 
 def _decode(data: bytes) -> tuple[str | None, str | None, str | None]:
     if data[:3] == b"\xef\xbb\xbf":
@@ -24,24 +25,18 @@ def _decode(data: bytes) -> tuple[str | None, str | None, str | None]:
     return data.decode("utf-8", "replace"), "utf-8-replace", None
 
 
-def _decoded(content: Column) -> Column:
-    def run(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None,) * 3 if v is None else _decode(bytes(v)) for v in x], columns=["text", "encoding", "error"])
-
-    return F.pandas_udf(run, "text string, encoding string, error string")(content)
-
-
 def decode_text(rows: DataFrame, column: str = "content") -> DataFrame:
     """Adds text, encoding and error. Valid UTF-8 without a mark stays in the JVM; the rest is tried as marked, then as
     cp932, shift_jis, utf-16, then with replacements. Broken marked files have no text but an error."""
     data = F.col(column)
     plain = F.is_valid_utf8(data.cast("string")) & ~F.hex(F.substring(data, 1, 3)).rlike("^(EFBBBF|FFFE|FEFF)")
-    other = _decoded(F.when(~plain, data))
     none = F.lit(None).cast("string")
-    return rows.withColumn("__other", other).withColumns(
+    rows = with_mapped(rows.withColumn("__raw", F.when(~plain, data)), "__raw", "__parts", lambda v: list(_decode(v)), "array<string>")
+    part = lambda i: F.get("__parts", F.lit(i))
+    return rows.withColumns(
         {
-            "text": F.when(plain, data.cast("string")).otherwise(F.col("__other.text")),
-            "encoding": F.when(plain, F.lit("utf-8")).otherwise(F.col("__other.encoding")),
-            "error": F.when(plain, none).otherwise(F.col("__other.error")),
+            "text": F.when(plain, data.cast("string")).otherwise(part(0)),
+            "encoding": F.when(plain, F.lit("utf-8")).otherwise(part(1)),
+            "error": F.when(plain, none).otherwise(part(2)),
         }
-    ).drop("__other")
+    ).drop("__raw", "__parts")

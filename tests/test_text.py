@@ -111,8 +111,9 @@ def test_blocks_and_tails():
 
 def test_clean_recognition(spark):
     raw = ["# 題\n**本文**\n本文\nPlease transcribe\n<b>終</b>"]
-    got = column(spark, raw, lambda c: C.clean_recognition(c, F.array(F.lit("transcribe"))))
-    assert got == ["題\n本文\n終"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(raw + [None])], "i int, c string")
+    got = C.clean_recognition(rows, "c", ["transcribe"]).orderBy("i").collect()
+    assert [r["c"] for r in got] == ["題\n本文\n終", None]
 
 
 def test_decoding(spark):
