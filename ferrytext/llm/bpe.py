@@ -11,9 +11,9 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -147,8 +147,8 @@ class Bpe:
 
 class Encoder:
     """Ids of texts. A text is cut before every single blank that a non-blank follows, as no piece of the pattern
-    reaches over such a place; what each cut-out stands for is kept between batches. When full, only what the
-    batch at hand needs is kept; long cut-outs are never kept.
+    reaches over such a place; what each cut-out stands for is kept between batches, as packed ids. When full, only
+    what the batch at hand needs is kept; long cut-outs are never kept.
 
     This holds for patterns in which a blank may only begin a piece, as in all that take an optional blank before
     letters, digits or signs; ``split_blanks=False`` matches whole texts instead.
@@ -156,8 +156,8 @@ class Encoder:
 
     def __init__(self, bpe: Bpe, pattern: str, most: int, split_blanks: bool = True) -> None:
         self.bpe, self.pattern, self.most, self.split_blanks = bpe, regex.compile(pattern), most, split_blanks
-        self.pieces: dict[str, list[int]] = {}
-        self.parts: dict[str, tuple[list[int], str]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.blank = regex.compile(r"\s|$")
 
     def _of_pieces(self, texts: list[list[str]]) -> None:
@@ -170,44 +170,41 @@ class Encoder:
         for x in missing:
             data = x.encode("utf-8")
             if (rank := self.bpe.ranks.get(data)) is not None:
-                self.pieces[x] = [rank]
+                self.pieces[x] = array("i", (rank,)).tobytes()
             else:
                 hard.append((x, data))
         if hard:
-            self.pieces.update(zip((x for x, _ in hard), self.bpe.encode_pieces([data for _, data in hard])))
+            for (x, _), ids in zip(hard, self.bpe.encode_pieces([data for _, data in hard])):
+                self.pieces[x] = array("i", ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """Of each text the ids, and the ids in decimal joined by commas."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [t.split(" ") if self.split_blanks else [t] for t in texts]
-        if self.split_blanks:
-            for parts in cut:
-                parts[1:] = [" " + x for x in parts[1:]]
+        for parts in cut if self.split_blanks else ():
+            parts[1:] = [" " + x for x in parts[1:]]
         used = set().union(*cut)
-        if self.split_blanks:
-            odd = {x for x in used if x[:1] == " " and self.blank.match(x, 1)}
-            if odd:
-                used -= odd
-                for i, parts in enumerate(cut):
-                    if not odd.isdisjoint(parts):
-                        cut[i] = [texts[i]]
-                        used.add(texts[i])
         missing = [x for x in used if x not in self.parts]
+        # a part that begins with a blank and then ends, or goes on with white space, isn't a cut-out: its text stays whole
+        odd = {x for x in missing if x[:1] == " " and self.blank.match(x, 1)} if self.split_blanks else ()
+        if odd:
+            missing = [x for x in missing if x not in odd]
+            for i, parts in enumerate(cut):
+                if not odd.isdisjoint(parts):
+                    cut[i] = [texts[i]]
+                    missing.append(texts[i])
         if len(self.parts) + len(missing) > self.most:
             self.parts = {x: self.parts[x] for x in used if x in self.parts}
         found = [self.pattern.findall(x) for x in missing]
         self._of_pieces(found)
-        ids_of = self.pieces.__getitem__
+        piece = self.pieces.__getitem__
         for x, pieces in zip(missing, found):
-            ids = list(chain.from_iterable(map(ids_of, pieces)))
-            self.parts[x] = ids, ",".join(map(str, ids))
+            self.parts[x] = piece(pieces[0]) if len(pieces) == 1 else b"".join(map(piece, pieces))
         part = self.parts.__getitem__
-        out = []
-        for parts in cut:
-            pairs = list(map(part, parts))
-            out.append((list(chain.from_iterable([x[0] for x in pairs])), ",".join([x[1] for x in pairs if x[1]])))
-        for held in (self.parts, self.pieces):
-            for x in [x for x in held if len(x) > 64] if any(len(x) > 64 for x in used) else ():
-                del held[x]
+        out = [np.frombuffer(b"".join(map(part, parts)), np.int32) for parts in cut]
+        for x in {x for x in missing if len(x) > 64}:
+            del self.parts[x]
+        for x in [x for pieces in found for x in pieces if len(x) > 64]:
+            self.pieces.pop(x, None)
         return out
 
 
@@ -245,20 +242,21 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens = _codec(ranks_path, pattern, cache_entries, split_blanks)
-        for batch in slices(batches, 4 << 20):
-            counts, digests, decoded, kept = [], [], [], []
-            texts = [x.decode("utf-8", "replace") for x in batch.column("text").to_pylist()]
-            gc.disable()  # the tables hold many small lists and no cycles
-            encoded = encoder.encode(texts)
+        names = [str(i) for i in range(len(tokens))]
+        for batch in slices(batches, 3 << 20):
+            gc.disable()  # the tables hold many small objects and no cycles
+            encoded = encoder.encode([x.decode("utf-8", "replace") for x in batch.column("text").to_pylist()])
             gc.enable()
-            for ids, joined in encoded:
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(joined.encode()).hexdigest())
+            digests, decoded = [], []
+            for packed in encoded:
+                ids = packed.tolist()
+                digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
-                if with_ids:
-                    kept.append(ids)
-            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, schema=schema)
+            arrays = [batch.column("doc_id"), pa.array(map(len, encoded), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                offsets = pa.array(np.cumsum([0, *map(len, encoded)]), pa.int32())
+                arrays.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(encoded))))
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return text_rows(docs).mapInArrow(run, ddl)
