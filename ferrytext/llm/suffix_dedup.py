@@ -39,9 +39,9 @@ class Anchors:
         self._grow(1 << 16)
 
     def _grow(self, n: int) -> None:
-        self.powers = np.cumprod(np.concatenate(([1], np.full(n, _BASE, np.uint64))).astype(np.uint64))
-        inverse = pow(_BASE, -1, 1 << 64)
-        self.inverses = np.cumprod(np.concatenate(([1], np.full(n, inverse, np.uint64))).astype(np.uint64))
+        bases = np.full((2, n + 1), 1, np.uint64)
+        bases[0, 1:], bases[1, 1:] = _BASE, pow(_BASE, -1, 1 << 64)
+        self.powers, self.inverses = np.cumprod(bases, axis=1, dtype=np.uint64)
 
     def gram_hashes(self, data: np.ndarray) -> np.ndarray:
         """A 64-bit hash of every k-gram."""
