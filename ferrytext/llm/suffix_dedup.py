@@ -26,7 +26,8 @@ from ferrytext.llm.suffix_sort import common_prefix, deep_shallow_sort
 LENGTH = 400
 GRAM = 64
 SEGMENT = 4 << 20
-MOST_VARIANTS = 1_000
+#: Variants that one group may hold: about 1 KB and, in array operations, 20,000 comparisons each.
+MOST_VARIANTS = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POSITION_BITS = 24
 
