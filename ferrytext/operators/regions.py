@@ -169,8 +169,10 @@ def merge_regions(regions: DataFrame, cap: float = 0) -> DataFrame:
     def page(page_id: int, regions: list[dict]) -> list[tuple]:
         box = np.array([[r[c] for c in ("x0", "y0", "x1", "y1")] for r in regions], np.int64)
         vertical = np.array([r["orientation"] == "vertical" for r in regions])
+        pairs = _pair_matrix(box, vertical) if len(box) > 1 else np.eye(1, dtype=bool)
+        alone = pairs.sum() == len(box)  # each region goes with itself only
         rows = []
-        for group in _groups(_pair_matrix(box, vertical), box, cap):
+        for group in [[i] for i in range(len(box))] if alone else _groups(pairs, box, cap):
             if len(group) > 1:
                 if vertical[group[0]]:
                     group = [group[k] for k in column_order(box[group].tolist())]
