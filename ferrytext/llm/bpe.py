@@ -14,6 +14,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +161,11 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
         self.blank = regex.compile(r"\s|$")
 
+    def trim(self, entries: int) -> None:
+        """Keeps the entries that were made first, mostly of frequent words: what a worker holds between tasks is small."""
+        self.parts = dict(islice(self.parts.items(), entries))
+        self.pieces = dict(islice(self.pieces.items(), entries))
+
     def _of_pieces(self, texts: list[list[str]]) -> None:
         """Makes ``self.pieces`` have all pieces of ``texts``."""
         used = set().union(*texts)
@@ -226,7 +232,7 @@ def encode_decode(
     pattern: str,
     *,
     with_ids: bool = False,
-    cache_entries: int = 400_000,
+    cache_entries: int = 320_000,
     split_blanks: bool = True,
 ) -> DataFrame:
     """Per document: n_tokens, sha256 of the decimal ids joined by commas, sha256 of the bytes decoded from the
@@ -257,6 +263,7 @@ def encode_decode(
                 offsets = pa.array(np.cumsum([0, *map(len, encoded)]), pa.int32())
                 arrays.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(encoded))))
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        encoder.trim(cache_entries // 8)
 
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return text_rows(docs).mapInArrow(run, ddl)
