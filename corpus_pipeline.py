@@ -15,7 +15,9 @@ from ferrytext.llm.suffix_dedup import without_repeats
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the passage search doesn't predict as toxic; it learns from their labels."""
+    """Documents that the passage search doesn't predict as toxic; it learns from their labels. The stages share the
+    executors' memory one after the other, so texts go to Python in small batches from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 

@@ -57,7 +57,7 @@ class _Scores(dict):
                 break
         else:
             s = self.neutral
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = s
@@ -294,15 +294,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, whose text isn't predicted toxic. Null texts count as empty."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         lookup = _Scores(m.scores, m.neutral)
-        for batch in slices(batches, 4 << 20, "__text"):
-            texts = batch.column("__text").to_pylist()
-            clean = pa.array([m.score(m.passages(words_of(t), lookup)) < 0.5 for t in texts], pa.bool_())
-            yield batch.filter(clean).select(names)
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            clean = pa.array([m.score(m.passages(words_of(t or b""), lookup)) < 0.5 for t in texts], pa.bool_())
+            yield batch.filter(clean)
 
-    text = F.coalesce(docs["text"], F.lit("")).cast("binary")
-    return docs.withColumn("__text", text).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
