@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from ferrytext.llm import attention, decontaminate, langid, license_scan, media, sharding, simhash, suffix_dedup, toxicity
+from ferrytext.llm import attention, decontaminate, langid, license_scan, lm_score, media, sharding, simhash, suffix_dedup, toxicity
 from ferrytext.llm.bpe import encode_decode
 from ferrytext.llm.components import components
 from ferrytext.llm.lm_score import score_texts
@@ -96,6 +96,31 @@ def test_language_model(docs, none):
     assert score_texts(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_language_model_learns_from_all_parts_of_all_texts(spark):
+    texts = [("alpha beta " * 500 + f"gamma{i % 7}") if i % 2 else f"zeta{i} two" for i in range(900)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "cast(coalesce(text, '') as binary) text", "false held")
+    end = lm_score.Subwords(RANKS, P.PATTERN).end
+    coded = lm_score.encoded(rows.repartition(3), RANKS, P.PATTERN)
+    counts, before, windows = lm_score.learned(coded, end)
+    ids = lm_score.Subwords(RANKS, P.PATTERN).encode([lm_score.words_of((t or "").encode()) for t in texts])
+    want = np.bincount([i for t in ids for i in (*t, end)], minlength=end + 1)
+    assert counts.tolist() == want.tolist()
+    heads, pairs = attention.heads_of(want), np.zeros((end + 1, attention.HEADS))
+    for t in ids:
+        for a, b in zip([end, *t], [*t, end]):
+            pairs[b, heads[a]] += 1
+    assert (before == pairs).all()
+    model = attention.AttentionModel.learned(counts, before, windows, end, steps=1)
+    assert (model.cls[want > 0] > 0).all() and (model.cls[want == 0] == 0).all()
+    for i in np.flatnonzero(want)[:50]:
+        mates = model.cls == model.cls[i]
+        assert model.within[i] == pytest.approx(np.log((want[i] + 0.1) / (want[mates] + 0.1).sum()), rel=1e-4, abs=1e-4)
+    late = ids[1][-1]
+    assert (windows == late).any() and set(np.unique(windows)) <= {*np.flatnonzero(want), end + 1}
+    again = lm_score.learned(lm_score.encoded(rows.coalesce(1), RANKS, P.PATTERN), end)
+    assert (again[2] == windows).all()
+
+
 def test_attention_scores_each_token_once_in_its_window():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 30, n).tolist() for n in (0, 1, 15, 16, 17, 29, 30, 31, 100)]
