@@ -142,6 +142,18 @@ def test_attention_scores_each_token_once_in_its_window():
     assert np.bincount(model.cls, share)[np.unique(model.cls)] == pytest.approx(1, abs=1e-3)
 
 
+def test_every_id_after_the_first_window_sees_half_a_window():
+    model = attention.AttentionModel([list(range(20)) * 3], 41, 40, steps=3)
+    text = np.random.default_rng(4).integers(0, 20, 60)
+    at = attention.WINDOW + 1  # the first id that the second window scores
+    other = text.copy()
+    other[at - attention.WINDOW // 2 - 1] += 1
+    part = lambda t: model.log10([t])[0] - model.log10([t[: at - 1]])[0]
+    assert attention.WINDOW - attention.FRESH >= attention.WINDOW // 2
+    assert (attention.CLASSES, attention.WIDTH) == (32, 16) and len(set(model.cls[:20])) > 15
+    assert np.isfinite(part(text)) and part(text) != part(other)
+
+
 def test_attention_gradients():
     model = attention.AttentionModel([list(range(20)) * 3], 41, 40, steps=3)
     ids = np.random.default_rng(2).integers(0, 40, (4, attention.WINDOW + 1))
