@@ -55,16 +55,29 @@ def recognize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.recognize_pages(rows.groupBy("page_id").agg(cells.alias("regions")), G.from_table)
 
 
+#: Bytes of text in a band of a page: 20 rows of 60 pixels.
+_BAND = 3600
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, text, bands) of documents with any text."""
+    bands = F.ceil(F.octet_length("text") / _BAND).cast("int")
+    return table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("page_id"), "text", bands.alias("bands"))
+
+
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures of 60 x 40 from the first bytes of documents, on white."""
-    data = F.rpad(F.substring(F.encode("text", "UTF-8"), 1, 3600), 7200, F.unhex(F.lit("FF")))
-    return table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("page_id"), F.lit(40).alias("height"), F.lit(60).alias("width"), data.alias("rgb"))
+    """Pictures 60 wide from all bytes of documents, in bands of 20 rows, with a white band below."""
+    data = F.rpad(F.encode("text", "UTF-8"), (F.col("bands") + 1) * _BAND, F.unhex(F.lit("FF")))
+    return _texts(spark, sf_dir).select("page_id", ((F.col("bands") + 1) * 20).alias("height"), F.lit(60).alias("width"), data.alias("rgb"))
 
 
 def _image_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"))
-    box = lambda i, y0, y1: F.struct(F.lit(i).alias("region_id"), F.lit(2).alias("x0"), F.lit(y0).alias("y0"), F.lit(50).alias("x1"), F.lit(y1).alias("y1"))
-    return ids.select("page_id", F.explode(F.array(box(1, 2, 18), box(2, 24, 38))).alias("r")).select("page_id", "r.*")
+    """A region in every band."""
+    box = lambda i, y0, y1: F.struct(i.alias("region_id"), F.lit(2).alias("x0"), y0.alias("y0"), F.lit(50).alias("x1"), y1.alias("y1"))
+    n = F.col("bands")
+    text = F.transform(F.sequence(F.lit(1), n), lambda i: box(i, i * 20 - 18, i * 20 - 2))
+    both = F.concat(text, F.array(box(n + 1, n * 20 + 4, n * 20 + 18)))
+    return _texts(spark, sf_dir).select("page_id", F.explode(both).alias("r")).select("page_id", "r.*")
 
 
 @query()
@@ -80,7 +93,7 @@ def erase_flat_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def looping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents, those of every third document three times over."""
-    lines = T.normalize_ocr_lines(F.left("text", F.lit(900)))
+    lines = T.normalize_ocr_lines(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(lines, lines, lines)).otherwise(lines).alias("lines"))
 
 

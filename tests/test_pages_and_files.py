@@ -158,3 +158,33 @@ def test_stream_ingest_takes_new_files(spark, tmp_path):
     q = S.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda rows: seen.extend(r["path"] for r in rows.collect()))
     q.awaitTermination(60)
     assert [p.rsplit("/", 1)[-1] for p in seen] == ["a.txt"]
+
+
+def test_queries_take_whole_documents(spark, tmp_path):
+    import numpy as np
+
+    from ferrytext.jobs import catalog_files as Q
+    from ferrytext.operators import cleanup as C
+
+    body = "\n".join(f"line {i} " + "abcdefgh"[i % 8] * (i % 37) for i in range(70))
+    texts = {1: body, 2: "short", 3: "x" * 3_600, 4: "y" * 3_601, 5: "", 6: None, 9: "\n".join(f"{i} {i * i}" for i in range(120))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    images = {r["page_id"]: r for r in Q.page_images(spark, str(tmp_path)).collect()}
+    assert sorted(images) == [1, 2, 3, 4, 9] and [images[i]["height"] for i in (2, 3, 4)] == [40, 40, 60]
+    for i, r in images.items():
+        assert len(r["rgb"]) == 180 * r["height"] and bytes(r["rgb"]).rstrip(b"\xff") == texts[i].encode()
+    stats = Q.region_pixel_stats(spark, str(tmp_path)).collect()
+    for i, r in images.items():
+        assert sorted(s["region_id"] for s in stats if s["page_id"] == i) == list(range(1, r["height"] // 20 + 1))
+        rgb = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], 60, 3)
+        for s in stats:
+            if s["page_id"] == i and s["region_id"] < r["height"] // 20:
+                top = 20 * s["region_id"] - 18
+                assert s["background"] == P.region_stats(rgb, (2, top, 50, top + 16))["background"]
+    assert Q.erase_flat_regions(spark, str(tmp_path)).count() == 5
+    lines = {i: [x.replace(" ", "") for x in (t or "").split("\n") if x] for i, t in texts.items()}
+    got = {r["doc_id"]: r["text"] for r in Q.collapse_line_blocks(spark, str(tmp_path)).collect()}
+    for i in (1, 2, 9):
+        assert got[i] == "\n".join(C.collapse_blocks(lines[i] * (3 if i % 3 == 0 else 1)))
+    assert {r["doc_id"]: r["lines"] for r in Q.looping_lines(spark, str(tmp_path)).collect()}[1] == lines[1]
+    assert Q.truncate_loop_tail(spark, str(tmp_path)).count() == Q.clean_recognition(spark, str(tmp_path)).count() == 7
