@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrytext.functions import text as T
@@ -23,29 +23,68 @@ QUERIES, ORACLE_SQL, query = _catalog.queries, _catalog.sql, _catalog.query
 _PACKED = "SELECT doc_id % 50 AS archive_id, (row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) - 1)::INT AS ordinal, source || '/' || doc_id || '.txt' AS name, strlen(text)::BIGINT AS size, false AS is_dir, text FROM documents"
 
 
-def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as zip packages, 50 of them."""
+#: Bounds of a volume's files and bytes (one file at least), far below what an archive may hold.
+VOLUME_FILES, VOLUME_BYTES = 1_000, 64 << 20
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of 50 archives, with their volume: archives are cut, in order of doc_id, by ranges of ids, and
+    these where they are over a bound. No task holds more than a range of an archive."""
+    key = ["archive_id", "span"]
     files = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") % 50).alias("job_id"), F.col("doc_id").alias("nth"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content")
-    )
-    return pack(files).select(F.col("job_id").alias("archive_id"), F.col("package").alias("content"))
+        (F.col("doc_id") % 50).alias("archive_id"), F.floor(F.col("doc_id") / F.lit(50 * VOLUME_FILES)).alias("span"), F.col("doc_id").alias("nth"),
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"),
+    )
+    order = Window.partitionBy(*key).orderBy("nth", F.xxhash64("name", "content"))
+    before = F.coalesce(F.sum(F.octet_length("content")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.floor((F.row_number().over(order) - 1) / VOLUME_FILES) + F.floor(before / VOLUME_BYTES)
+    return files.withColumn("part", part)
+
+
+def volumes(files: DataFrame) -> DataFrame:
+    """(archive_id, span, part, volume, start): a number for each volume and the members of its archive before it."""
+    counted = files.groupBy("archive_id", "span", "part").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("archive_id").orderBy("span", "part")
+    start = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    # ids modulo 50 are within -49 and 49; 50 more is over 0, which is for null
+    volume = (F.row_number().over(order) - 1).cast("long") * 100 + F.coalesce(F.col("archive_id") + 50, F.lit(0))
+    return counted.select("archive_id", "span", "part", volume.alias("volume"), start.alias("start"))
+
+
+def packages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as zip packages (archive_id, content), a package per volume, and the volumes: 50 archives, whose volumes
+    grow in number and not in size."""
+    files = _files(spark, sf_dir)
+    known = volumes(files)
+    same = [files[c].eqNullSafe(known[c]) for c in ("archive_id", "span", "part")]
+    rows = files.join(known, same).select(known["volume"].alias("job_id"), "nth", "name", "content")
+    return pack(rows).select(F.col("job_id").alias("archive_id"), F.col("package").alias("content")), known
+
+
+def _joined(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of volumes as members of their archives."""
+    found = members.withColumnRenamed("archive_id", "volume").join(known.select("archive_id", "volume", "start"), "volume")
+    return found.withColumn("ordinal", F.col("ordinal") + F.col("start"))
 
 
 @query(f"SELECT archive_id, ordinal, name, size, is_dir, text FROM ({_PACKED})")
 def read_archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.read_archive_members(packages(spark, sf_dir)).select("archive_id", "ordinal", "name", "size", "is_dir", F.col("content").cast("string").alias("text"))
+    packed, known = packages(spark, sf_dir)
+    return _joined(Z.read_archive_members(packed), known).select("archive_id", "ordinal", "name", "size", "is_dir", F.col("content").cast("string").alias("text"))
 
 
 @query(f"SELECT archive_id, count(*) AS members, sum(size)::BIGINT AS bytes FROM ({_PACKED}) GROUP BY archive_id")
 def write_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.read_archive_members(packages(spark, sf_dir)).groupBy("archive_id").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
+    packed, known = packages(spark, sf_dir)
+    return _joined(Z.read_archive_members(packed), known).groupBy("archive_id").agg(F.count("*").alias("members"), F.sum("size").alias("bytes"))
 
 
 @query(f"SELECT archive_id, ordinal, name FROM ({_PACKED})")
 def repack_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = Z.read_archive_members(packages(spark, sf_dir)).withColumnRenamed("archive_id", "book_id")
+    packed, known = packages(spark, sf_dir)
+    books = Z.read_archive_members(packed).withColumnRenamed("archive_id", "book_id")
     again = Z.repack_book(books.select("book_id", "ordinal", "name", "is_dir", "content"))
-    return Z.read_archive_members(again.withColumnRenamed("book_id", "archive_id")).select("archive_id", "ordinal", "name")
+    return _joined(Z.read_archive_members(again.withColumnRenamed("book_id", "archive_id")), known).select("archive_id", "ordinal", "name")
 
 
 @query(f"WITH boxes AS ({BOXES_SQL}) SELECT page_id, region_id, x0, y0, x1, y1, confidence, text FROM boxes")
@@ -131,8 +170,6 @@ def horizontal_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {SAMPLES} SELECT download_id, round(max(t), 6) AS last FROM samples GROUP BY download_id")
 def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     last = F.max("t").over(Window.partitionBy("download_id"))
     rows = rate_samples(spark, sf_dir).withColumn("force", F.col("t") == last)
     return batch_throughput(rows).groupBy("download_id").agg(F.round(F.max("t"), 6).alias("last"))

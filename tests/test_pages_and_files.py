@@ -188,3 +188,23 @@ def test_queries_take_whole_documents(spark, tmp_path):
         assert got[i] == "\n".join(C.collapse_blocks(lines[i] * (3 if i % 3 == 0 else 1)))
     assert {r["doc_id"]: r["lines"] for r in Q.looping_lines(spark, str(tmp_path)).collect()}[1] == lines[1]
     assert Q.truncate_loop_tail(spark, str(tmp_path)).count() == Q.clean_recognition(spark, str(tmp_path)).count() == 7
+
+
+def test_archives_over_the_quota_are_cut_into_volumes(spark, tmp_path, monkeypatch):
+    from ferrytext.jobs import catalog_files as Q
+
+    rows = [(50 * i, f"text {i}", "a") for i in range(A.MAX_FILES + 1)] + [(7, "x" * 900, "b")] * 5 + [(57, "y", "b"), (-3, "z", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for a in (0, 7, -3):
+        mine = sorted(r for r in rows if (abs(r[0]) % 50) * (-1 if r[0] < 0 else 1) == a)
+        want += [(a, n, f"{s}/{i}.txt", len(t), False, t) for n, (i, t, s) in enumerate(mine)]
+    for size in (Q.VOLUME_BYTES, 1_000):
+        monkeypatch.setattr(Q, "VOLUME_BYTES", size)
+        got = Q.read_archive_members(spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert sorted(map(tuple, Q.repack_book(spark, str(tmp_path)).collect())) == sorted(r[:3] for r in want)
+        sums = {r["archive_id"]: (r["members"], r["bytes"]) for r in Q.write_packages(spark, str(tmp_path)).collect()}
+        assert sums == {a: (sum(r[0] == a for r in want), sum(r[3] for r in want if r[0] == a)) for a in (0, 7, -3)}
+        packed = Z.read_archive_members(Q.packages(spark, str(tmp_path))[0]).groupBy("archive_id").count()
+        assert packed.agg(F.max("count")).first()[0] <= Q.VOLUME_FILES and (packed.count() > 8) == (size < 2_000)
