@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrytext.llm import toxicity
@@ -21,14 +21,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for every row, as ids may be null or repeated; stored, so that it stays."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id. A row without an id can't be named, so
-    it stays."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_chars"))
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("__nth", nth).where("__nth = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of linked fingerprints one row: that with the smallest id, of those with the same id the one with
+    the fewest characters, then by hash. Rows of one id whose texts aren't linked are in groups of their own. A row
+    without an id can't be named, so it stays."""
+    rows = keyed(docs)
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    rank = F.struct("doc_id", "n_chars", F.xxhash64(*docs.columns).alias("hash"), "__row")
+    ranks = rows.where("doc_id is not null").select("__row", rank.alias("rank"))
+    groups = found.select(F.col("doc_id").alias("__row"), "component_id").join(ranks, "__row").groupBy("component_id")
+    first = groups.agg(F.min("rank").alias("rank")).select("rank.__row")
+    kept = rows.where("doc_id is not null").join(first, "__row", "left_semi")
+    return kept.unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +46,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark windows."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """Documents of which less than a twentieth of the words lies in benchmark windows; each row by its own text."""
+    rows = keyed(docs)
+    found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,17 @@ def test_stages(spark, sf_dir, tmp_path):
     assert repeats == near and len(text["repeats"][11]) < 60 * 7 + 5 and text["repeats"][11][:400] == text["near_duplicates"][11][:400]
     assert repeats - clean == {8} and coded == clean
     assert corpus_pipeline.run(spark, sf_dir).count() == len(clean)
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_by_themselves(spark, tmp_path):
+    rng = random.Random(5)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    item, clean = sentence(20), [sentence(60) for _ in range(8)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = lambda stage, rows: sorted(((r["doc_id"] or -1, r["text"]) for r in stage(spark, frame(rows), str(tmp_path)).collect()))
+    rows = [(None, clean[0]), (None, clean[1] + " " + item), (5, clean[2]), (5, clean[3] + " " + item), (6, clean[4])]
+    assert left(corpus_pipeline.drop_contaminated, rows) == sorted([(-1, clean[0]), (5, clean[2]), (6, clean[4])])
+    rows = [(5, clean[0]), (5, clean[1]), (7, clean[1]), (3, clean[2]), (5, clean[2]), (8, clean[5]), (8, clean[5]), (None, clean[6]), (None, clean[7])]
+    want = [(5, clean[0]), (5, clean[1]), (3, clean[2]), (8, clean[5]), (-1, clean[6]), (-1, clean[7])]
+    assert left(corpus_pipeline.drop_near_duplicates, rows) == sorted(want)
