@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +53,37 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str = "tex
             yield batch.slice(start)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_KEPT: list[Any] = [None, None]
+
+
+def worker_copy(make: Callable[..., Any], *args: Any) -> Any:
+    """``make(*args)``, kept in this Python worker until something else is asked for. A worker serves tasks of one operator
+    after the other, so what all of them have built there would add up."""
+    if _KEPT[0] != (make, args):
+        _KEPT[:] = None, None
+        _KEPT[:] = (make, args), make(*args)
+    return _KEPT[1]
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function for mapInArrow, after which the worker gives the memory that its task has freed back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return whole
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a new one."""
     at = spark.conf.get("spark.checkpoint.dir", None)

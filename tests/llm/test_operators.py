@@ -96,70 +96,95 @@ def test_language_model(docs, none):
     assert score_texts(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_subwords_of_a_word_depend_on_the_word_alone():
+    subwords = lm_score.Subwords(RANKS, P.PATTERN)
+    words = ["the", "\u00a0", "\u00a0x\u00a0", "a" * 1_500, "été", "(x).", "\u2003", "中文字", "the", "12345", "é" * 700]
+    ids, sizes = subwords.encode([w.encode() for w in words])
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    for w, got in zip(words, parts):
+        assert got.tolist() == subwords.encoding.encode_ordinary(" " + w)
+    assert [len(x) for x in subwords.encode([])] == [0, 0]
+
+
 def test_language_model_learns_from_all_parts_of_all_texts(spark):
     texts = [("alpha beta " * 500 + f"gamma{i % 7}") if i % 2 else f"zeta{i} two" for i in range(900)] + [None, ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "cast(coalesce(text, '') as binary) text", "false held")
-    end = lm_score.Subwords(RANKS, P.PATTERN).end
-    coded = lm_score.encoded(rows.repartition(3), RANKS, P.PATTERN)
-    counts, before, windows = lm_score.learned(coded, end)
-    ids = lm_score.Subwords(RANKS, P.PATTERN).encode([lm_score.words_of((t or "").encode()) for t in texts])
-    want = np.bincount([i for t in ids for i in (*t, end)], minlength=end + 1)
-    assert counts.tolist() == want.tolist()
-    heads, pairs = attention.heads_of(want), np.zeros((end + 1, attention.HEADS))
-    for t in ids:
-        for a, b in zip([end, *t], [*t, end]):
-            pairs[b, heads[a]] += 1
-    assert (before == pairs).all()
-    model = attention.AttentionModel.learned(counts, before, windows, end, steps=1)
-    assert (model.cls[want > 0] > 0).all() and (model.cls[want == 0] == 0).all()
-    for i in np.flatnonzero(want)[:50]:
-        mates = model.cls == model.cls[i]
-        assert model.within[i] == pytest.approx(np.log((want[i] + 0.1) / (want[mates] + 0.1).sum()), rel=1e-4, abs=1e-4)
-    late = ids[1][-1]
-    assert (windows == late).any() and set(np.unique(windows)) <= {*np.flatnonzero(want), end + 1}
-    again = lm_score.learned(lm_score.encoded(rows.coalesce(1), RANKS, P.PATTERN), end)
-    assert (again[2] == windows).all()
+    subwords = lm_score.Subwords(RANKS, P.PATTERN)
+    end, frequent = subwords.end, [b"alpha", b"beta"]
+    ids = [subwords.encode(lm_score.words_of((t or "").encode()))[0].tolist() for t in texts]
+    pairs = Counter((a, b) for t in ids for a, b in zip([end, *t], [*t, end]))
+    table = lm_score.blocks(rows.repartition(3), frequent, RANKS, P.PATTERN).cache()
+    got = {r["key"]: r["n"] for r in lm_score.counted(table, 2, end).collect()}
+    assert {k: n for k, n in got.items() if k >= 0} == {a * (end + 1) + b: n for (a, b), n in pairs.items()}
+    assert (got[-1], got[-2]) == (225_000, 225_000)
+    model, occurrences = lm_score.learned(table, 2, end)
+    counts = np.bincount([i for t in ids for i in (*t, end)], minlength=end + 1)
+    assert occurrences.tolist() == [225_000, 225_000]
+    assert (model.cls[counts > 0] > 0).all() and (model.cls[counts == 0] == 0).all()
+    windows = lm_score.drawn_windows(table, end)
+    assert (windows == ids[1][-1]).any() and set(np.unique(windows)) <= {*np.flatnonzero(counts), end + 1}
+    again = lm_score.blocks(rows.coalesce(1), frequent, RANKS, P.PATTERN)
+    assert (lm_score.drawn_windows(again, end) == windows).all()
+    held = rows.withColumn("held", F.lit(True))
+    assert lm_score.counted(lm_score.blocks(held, frequent, RANKS, P.PATTERN), 2, end).where("key >= 0").count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_language_model_beats_word_counts_on_held_out_texts(spark, sf):
+    got = score_texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), RANKS, P.PATTERN)
+    base, score = got.where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert score > base
+
+
+def model_of(texts, end, steps=1_200):
+    """As ``lm_score.learned`` does, from lists of ids."""
+    n = end + 1
+    pairs = Counter((a, b) for t in texts for a, b in zip([end, *t], [*t, end]))
+    keys, times = np.array(list(pairs), np.int64).reshape(-1, 2), np.array(list(pairs.values()), np.int64)
+    counts = np.bincount(keys[:, 1], times, n).astype(np.int64)
+    before, follows = np.zeros((n, attention.HEADS)), np.zeros((n, attention.CLASSES))
+    np.add.at(before, (keys[:, 1], attention.heads_of(counts)[keys[:, 0]]), times)
+    cls = attention.classes_of(counts, before)
+    np.add.at(follows, (keys[:, 0], cls[keys[:, 1]]), times)
+    stream, first = attention.framed(np.array([i for t in texts for i in t], np.int64), np.array([len(t) for t in texts]), end)
+    return attention.AttentionModel(counts, cls, follows, (keys[:, 1], keys[:, 0], times), attention.windows_of(stream, first)[1], steps=steps)
 
 
 def test_attention_scores_each_token_once_in_its_window():
     rng = np.random.default_rng(1)
-    texts = [rng.integers(0, 30, n).tolist() for n in (0, 1, 15, 16, 17, 29, 30, 31, 100)]
-    model = attention.AttentionModel(texts, 41, 40, steps=60)
-    for text, got in zip(texts, model.log10(texts, batch=3)):
-        ids, want = [40, *text, 40], 0.0
-        start = 0
-        for t in range(len(ids) - 1):
-            if t - start >= attention.WINDOW:
-                start += attention.FRESH
-            window = np.full(attention.WINDOW, 40)
-            window[: t - start + 1] = ids[start : t + 1]
-            *_, z = model._forward((model.w["E"][model.inputs[window]] + model.w["P"])[None])
-            z = z[0, t - start].astype(float)
-            y = ids[t + 1]
-            want += z[model.cls[y]] - np.log(np.exp(z).sum()) + model.within[y]
-        assert got == pytest.approx(want / np.log(10), rel=1e-3)
-    share = np.exp(model.within)
-    assert np.bincount(model.cls, share)[np.unique(model.cls)] == pytest.approx(1, abs=1e-3)
-
-
-def test_every_id_after_the_first_window_sees_half_a_window():
-    model = attention.AttentionModel([list(range(20)) * 3], 41, 40, steps=3)
-    text = np.random.default_rng(4).integers(0, 20, 60)
-    at = attention.WINDOW + 1  # the first id that the second window scores
-    other = text.copy()
-    other[at - attention.WINDOW // 2 - 1] += 1
-    part = lambda t: model.log10([t])[0] - model.log10([t[: at - 1]])[0]
-    assert attention.WINDOW - attention.FRESH >= attention.WINDOW // 2
-    assert (attention.CLASSES, attention.WIDTH) == (32, 16) and len(set(model.cls[:20])) > 15
-    assert np.isfinite(part(text)) and part(text) != part(other)
+    texts = [rng.integers(0, 200, n).tolist() for n in (0, 1, 7, 8, 9, 15, 16, 17, 30, 31, 300, 300)]
+    model = model_of(texts, 300, steps=60)
+    w, got = model.w, model.log10(np.array([i for t in texts for i in t], np.int64), np.array([len(t) for t in texts]), batch=3)
+    for text, value in zip(texts, got):
+        stream, want = [300] * 9 + text + [300], 0.0
+        for t in range(8, len(stream) - 1):
+            start = (t // 8 - 1) * 8
+            x = w["E"][model.inputs[stream[start : t + 1]]] + w["P"][: t + 1 - start]
+            s = (x @ w["K"]) @ (x[-1] @ w["Q"]) / attention.WIDTH**0.5
+            a = np.exp(s - s.max())
+            h = a @ (x @ w["V"]) / a.sum() + x[-1]
+            z = (h @ w["O"] + w["b"] + model.after[model.row[stream[t]]]).astype(float)
+            y = stream[t + 1]
+            want += z[model.cls[y]] - np.log(np.exp(z).sum()) + model.within(np.array([y]), np.array([stream[t]]))[0]
+            assert t - start >= attention.FRESH
+        assert value == pytest.approx(want / np.log(10), rel=1e-3)
+
+
+def test_shares_of_a_class_sum_to_one_after_every_id():
+    rng = np.random.default_rng(3)
+    model = model_of([rng.zipf(1.4, 400).clip(max=290).tolist() for _ in range(20)], 300, steps=5)
+    for before in (0, 1, 2, 5, 50, 299, 300):
+        share = np.exp(model.within(np.arange(301), np.full(301, before)).astype(float))
+        sums = np.bincount(model.cls, share)[np.unique(model.cls)]
+        assert sums == pytest.approx(np.ones(len(sums)), abs=1e-4)
 
 
 def test_attention_gradients():
-    model = attention.AttentionModel([list(range(20)) * 3], 41, 40, steps=3)
-    ids = np.random.default_rng(2).integers(0, 40, (4, attention.WINDOW + 1))
+    model = model_of([np.random.default_rng(6).integers(0, 200, 900).tolist()], 300, steps=3)
+    ids = np.random.default_rng(2).integers(0, 302, (4, attention.WINDOW + 1))
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
     _, g = model.loss(ids)
-    for name in ("Q", "K", "V", "X", "O", "P"):
+    for name in ("Q", "K", "V", "O", "P", "b"):
         at = (0,) * model.w[name].ndim
         model.w[name][at] += 1e-5
         up = model.loss(ids)[0]
