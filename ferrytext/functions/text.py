@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What counts as white space, what ends a line, what ends a sentence, and the script looked for.
 WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -80,7 +84,7 @@ def escape_text(c: Column) -> Column:
 def clean_translation(c: Column) -> Column:
     """Without think blocks, a leading label and one pair of equal quotes around it."""
     c = py_strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
-    c = F.regexp_replace(c, r"\A(?:翻译|译文)[:：]" + rf"[{WHITE}]*", "")
+    c = F.regexp_replace(c, rf"\A(?:翻译|译文)[{WHITE}]*[:：][{WHITE}]*", "")
     first = F.left(c, F.lit(1))
     quoted = (F.length(c) >= 2) & (first == F.right(c, F.lit(1))) & first.isin('"', "'", "“", "”")
     return py_strip(F.when(quoted, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c))
@@ -158,16 +162,17 @@ def output_name(path: Column, suffix: str = "_zh") -> Column:
 
 
 def inner_text(c: Column) -> Column:
-    """Text of a block: ruby readings and tags go, the named entities of markup and a few more are decoded, ends are
-    stripped. Entities beyond ``ENTITIES`` need ``sources.markup.unescape_column``."""
-    c = F.regexp_replace(F.regexp_replace(c, r"(?is)<rt\b[^>]*>.*?</rt>", ""), r"(?s)<[^>]+>", "")
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    return py_strip(c)
+    """Text of a block: ruby readings and tags go, all entities, named and numbered, are decoded, ends are stripped."""
+    return py_strip(unescape(F.regexp_replace(F.regexp_replace(c, r"(?is)<rt\b[^>]*>.*?</rt>", ""), r"(?s)<[^>]+>", "")))
+
+
+@F.arrow_udf(StringType())
+def unescape(texts: pa.Array) -> pa.Array:
+    """Entities decoded as in HTML 5; the table of names is the Python library's."""
+    return pa.array([t if t is None or "&" not in t else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
-#: Entities of markup; the ampersand comes last.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "middot": "·", "copy": "©", "amp": "&"}
+#: Block elements, and elements that show a picture.
 BLOCK = r"(?is)<(p|h[1-6]|blockquote)\b[^>]*>(.*?)</\1>"
 MEDIA = r"(?i)<(?:img|image|svg)\b"
 

@@ -149,7 +149,7 @@ def truncate_loop_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def clean_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = looping_lines(spark, sf_dir).select("doc_id", F.array_join("lines", "\n").alias("text"))
-    return C.clean_recognition(rows, "text", ["transcribe", "markdown"])
+    return C.clean_recognition(rows, "text")
 
 
 _WIDE = r"[\x{2e80}-\x{9fff}\x{ff00}-\x{ff60}]"
@@ -160,10 +160,10 @@ _ADVANCE = lambda c: f"CASE WHEN regexp_matches({c}, '{_WIDE}') THEN 1000 ELSE 5
     f"""SELECT doc_id, array_to_string(CASE WHEN len(t) <= 3 THEN [t] ELSE list_transform([list_reduce(list_transform(regexp_extract_all(t, '(?s).'),
     lambda c: {{'d': []::VARCHAR[], 'l': c, 'u': {_ADVANCE('c')}}}), lambda a, x: CASE WHEN a.l <> '' AND (a.u + x.u) * 14 > 200000
     THEN {{'d': a.d || [a.l], 'l': x.l, 'u': x.u}} ELSE {{'d': a.d, 'l': a.l || x.l, 'u': a.u + x.u}} END, {{'d': []::VARCHAR[], 'l': '', 'u': 0}})],
-    lambda z: z.d || [z.l])[1] END, '|') AS lines FROM (SELECT doc_id, regexp_replace(translate(left(text, 120), 'aei', 'あえい'), '[\\r\\n]', '', 'g') AS t FROM documents) WHERE t <> ''"""
+    lambda z: z.d || [z.l])[1] END, '|') AS lines FROM (SELECT doc_id, regexp_replace(translate(text, 'aei', 'あえい'), '[\\r\\n]', '', 'g') AS t FROM documents) WHERE t <> ''"""
 )
 def horizontal_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.translate(F.left("text", F.lit(120)), "aei", "あえい")
+    t = F.translate("text", "aei", "あえい")
     rows = table(spark, sf_dir, "documents").where(L.plain(t) != "")
     return rows.select("doc_id", F.array_join(L.horizontal_wrap(t, F.lit(14), F.lit(200)), "|").alias("lines"))
 

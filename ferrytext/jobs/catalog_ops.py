@@ -318,11 +318,11 @@ def utc_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '***' ELSE left(text, 5) END AS a, left(text, 3) AS b FROM documents"""
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '***' ELSE text END AS a, text AS b FROM documents"""
 )
 def redact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("doc_id") % 2 == 0, "API_Token").otherwise("title")
-    m = T.redact_keys(F.create_map(key, F.left("text", F.lit(5)), F.lit("name"), F.left("text", F.lit(3))))
+    m = T.redact_keys(F.create_map(key, F.col("text"), F.lit("name"), F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", m.alias("m"), key.alias("k")).select("doc_id", F.col("m")[F.col("k")].alias("a"), F.col("m")["name"].alias("b"))
 
 

@@ -191,7 +191,7 @@ _COLOR = "sqrt(pow(x0 % 256 - y1 % 256, 2) + pow(y0 % 256 - 90, 2) + pow(60 - x1
 
 @query(
     f"""WITH {BOXES} SELECT page_id, region_id, round({_COLOR}, 6) AS distance, CASE WHEN {_COLOR} < 45 THEN
-    CASE WHEN (y1 % 256 + 90 + x1 % 256) / 3 > 128 THEN 30 ELSE 235 END ELSE x0 % 256 END::INT AS r FROM fit"""
+    CASE WHEN (y1 % 256 + 90 + x1 % 256) / 3 > 128 THEN 25 ELSE 245 END ELSE x0 % 256 END::INT AS r FROM fit"""
 )
 def color_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rgb = lambda r, g, b: F.struct((r % 256).cast("int").alias("r"), (g % 256).cast("int").alias("g"), (b % 256).cast("int").alias("b"))

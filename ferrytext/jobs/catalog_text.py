@@ -147,16 +147,16 @@ def translator_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.translate_free(U.units(kana_docs(spark, sf_dir)), U.translator("echo"))
 
 
-#: Model output of several kinds, made from the first 40 characters of documents.
-_RAW_SQL = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '<think>' || p || '</think>  ' || p WHEN 1 THEN '译文：' || p WHEN 2 THEN '"' || p || '"'
-  WHEN 3 THEN '“' || p || '”' WHEN 4 THEN p || p || p || p || left(p, 7) ELSE p END AS raw FROM (SELECT doc_id, left(text, 40) AS p FROM documents)"""
+#: Model output of several kinds, made from documents; white space may stand before a label's colon.
+_RAW_SQL = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '<think>' || p || '</think>  ' || p WHEN 1 THEN (CASE WHEN doc_id % 12 = 1 THEN '译文 ： ' ELSE '翻译:' END) || p WHEN 2 THEN '"' || p || '"'
+  WHEN 3 THEN '“' || p || '”' WHEN 4 THEN p || p || p || p || left(p, 7) ELSE p END AS raw FROM (SELECT doc_id, text AS p FROM documents)"""
 
 
 def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, kind = F.left("text", F.lit(40)), F.col("doc_id") % 6
+    p, kind = F.col("text"), F.col("doc_id") % 6
     raw = (
         F.when(kind == 0, F.concat(F.lit("<think>"), p, F.lit("</think>  "), p))
-        .when(kind == 1, F.concat(F.lit("译文："), p))
+        .when(kind == 1, F.concat(F.when(F.col("doc_id") % 12 == 1, "译文 ： ").otherwise("翻译:"), p))
         .when(kind == 2, F.concat(F.lit('"'), p, F.lit('"')))
         .when(kind == 3, F.concat(F.lit("“"), p, F.lit("”")))
         .when(kind == 4, F.concat(p, p, p, p, F.left(p, F.lit(7))))
@@ -167,18 +167,22 @@ def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH raw AS ({_RAW_SQL}), a AS (SELECT doc_id, {STRIP(chr(39).join(['regexp_replace(raw, ', '(?s)<think>.*?</think>', ', ', '', ', ', 'g', ')']))} AS c FROM raw),"
-    rf" b AS (SELECT doc_id, regexp_replace(c, '\A(?:翻译|译文)[:：][{WHITE}]*', '') AS c FROM a)"
+    rf" b AS (SELECT doc_id, regexp_replace(c, '\A(?:翻译|译文)[{WHITE}]*[:：][{WHITE}]*', '') AS c FROM a)"
     f" SELECT doc_id, {STRIP('CASE WHEN len(c) >= 2 AND left(c, 1) = right(c, 1) AND left(c, 1) IN (chr(34), chr(39), chr(8220), chr(8221)) THEN c[2 : len(c) - 1] ELSE c END')} AS clean FROM b"
 )
 def clean_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_output(spark, sf_dir).select("doc_id", T.clean_translation(F.col("raw")).alias("clean"))
 
 
-_RUNS = "list_filter(range(4, len(raw) // 3 + 1), lambda u: raw[u + 1 : 2 * u] = raw[1 : u] AND raw[2 * u + 1 : 3 * u] = raw[1 : u])"
+#: A unit's length is among the places where the first four characters stand again.
+_RUNS = """pieces AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(raw, left(raw, 4))[2:] AS ps FROM raw)),
+  starts AS (SELECT doc_id, (4 * i + sum(len(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS u FROM pieces),
+  u AS (SELECT doc_id, raw, least_u AS u FROM raw LEFT JOIN (SELECT doc_id, min(u) AS least_u FROM starts JOIN raw USING (doc_id)
+    WHERE u >= 4 AND 3 * u <= len(raw) AND raw[u + 1 : 2 * u] = raw[1 : u] AND raw[2 * u + 1 : 3 * u] = raw[1 : u] GROUP BY doc_id) USING (doc_id))"""
 
 
 @query(
-    f"""WITH RECURSIVE raw AS ({_RAW_SQL}), u AS (SELECT doc_id, raw, {_RUNS}[1] AS u FROM raw),
+    f"""WITH raw AS ({_RAW_SQL}), {_RUNS},
     n AS (SELECT doc_id, raw, u, list_max(list_filter(range(3, len(raw) // u + 1), lambda k: raw[1 : k * u] = repeat(raw[1 : u], k))) AS k FROM u WHERE u IS NOT NULL)
     SELECT doc_id, raw[1 : u] || CASE WHEN starts_with(raw[1 : u], raw[k * u + 1 :]) THEN '' ELSE raw[k * u + 1 :] END AS collapsed FROM n
     UNION ALL SELECT doc_id, raw FROM u WHERE u IS NULL"""
@@ -257,12 +261,12 @@ def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, 'm1' AS model, false AS stream, least(1.0, greatest(0.0, (doc_id % 5) / 2.0 - 0.5))::DOUBLE AS temperature,
-    2::BIGINT AS n_messages, 'user' AS last_role, left(text, 50) AS last_content FROM documents"""
+    2::BIGINT AS n_messages, 'user' AS last_role, text AS last_content FROM documents"""
 )
 def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrytext.operators.prompts import request_json as build
 
-    body = build("m1", F.lit("You translate."), F.left("text", F.lit(50)), (F.col("doc_id") % 5) / 2.0 - 0.5)
+    body = build("m1", F.lit("You translate."), F.col("text"), (F.col("doc_id") % 5) / 2.0 - 0.5)
     schema = "model string, stream boolean, messages array<struct<role:string,content:string>>, options struct<temperature:double>"
     return table(spark, sf_dir, "documents").select("doc_id", F.from_json(body, schema).alias("x")).select(
         "doc_id", "x.model", "x.stream", "x.options.temperature", F.size("x.messages").cast("long").alias("n_messages"),
@@ -274,12 +278,12 @@ def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN 'failed' WHEN 3 THEN 'failed' WHEN 4 THEN 'failed' ELSE CASE WHEN t = '' THEN 'failed' ELSE 'ok' END END AS status,
     CASE WHEN doc_id % 5 < 2 AND t <> '' THEN t END AS answer,
     CASE doc_id % 5 WHEN 2 THEN 'no model' WHEN 3 THEN 'empty: length' WHEN 4 THEN 'not JSON' ELSE CASE WHEN t = '' THEN 'empty: ' END END AS error
-    FROM (SELECT doc_id, {STRIP("left(text, 60)")} AS t FROM documents)"""
+    FROM (SELECT doc_id, {STRIP("text")} AS t FROM documents)"""
 )
 def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrytext.operators.prompts import parse_response as parse
 
-    t, kind = F.left("text", F.lit(60)), F.col("doc_id") % 5
+    t, kind = F.col("text"), F.col("doc_id") % 5
     body = (
         F.when(kind == 0, F.to_json(F.struct(F.struct(t.alias("content")).alias("message"))))
         .when(kind == 1, F.to_json(F.struct(t.alias("response"))))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +13,12 @@ from pyspark.sql import functions as F
 from ferrytext.functions.arrow import with_mapped
 from ferrytext.functions.text import collapse_repeats, echoes, normalize_ocr_lines, py_strip
 
+#: What a model says when it repeats its instruction instead of a picture's text.
+ECHO_KEYWORDS = [
+    "转写", "只输出", "阅读顺序", "保持原文", "不加任何", "不含其他", "请照", "照原样", "请按照图片", "写出以下", "transcribe", "the text is",
+    "as accurately as possible", "markdown",
+]
+
 
 def drop_consecutive_duplicates(rows: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
     """Rows whose ``column`` differs from that of the row before."""
@@ -18,35 +27,58 @@ def drop_consecutive_duplicates(rows: DataFrame, keys: list[str], order: str, co
 
 
 def _alike(a: str, b: str, least: float) -> bool:
-    return SequenceMatcher(None, a, b).ratio() >= least
+    """Whether two texts are equal or both there and similar; the cheap bounds of similarity are asked first."""
+    if a == b or not (a and b):
+        return a == b
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+
+class _Lines:
+    """A list of lines in which stretches are compared, equal or similar as one text."""
+
+    def __init__(self, lines: list[str], least: float) -> None:
+        self.lines, self.least = lines, least
+
+    def same(self, a: slice, b: slice) -> bool:
+        x, y = self.lines[a], self.lines[b]
+        return x == y or bool("".join(x) and "".join(y)) and _alike("".join(x), "".join(y), self.least)
+
+    def loop(self, start: int) -> tuple[int, int] | None:
+        """Length of the shortest block from ``start`` on that stands three times or more in a row, and how many times."""
+        left = len(self.lines) - start
+        for k in range(1, left // 3 + 1):
+            later = (slice(a, a + k) for a in range(start + k, start + left - k + 1, k))
+            times = 1 + sum(1 for _ in takewhile(lambda b: self.same(slice(start, start + k), b), later))
+            if times > 2:
+                return k, times
+        return None
+
+    def kept(self) -> Iterator[str]:
+        start = 0
+        while start < len(self.lines):
+            k, times = self.loop(start) or (1, 1)
+            yield from self.lines[start : start + k]
+            after = start + k * times
+            rest = len(self.lines) - after
+            if times > 1 and rest and self.same(slice(start, start + min(k, rest)), slice(after, None)):
+                return
+            start = after
 
 
 def collapse_blocks(lines: list[str], least: float = 0.75) -> list[str]:
     """Blocks of lines that stand three times or more in a row (equal or alike) are kept once, smallest block first;
     so is a rest at the end that is like the block's beginning."""
-    same = lambda a, b: a == b or bool("".join(a) and "".join(b)) and _alike("".join(a), "".join(b), least)
-    out, at = [], 0
-    while at < len(lines):
-        for k in range(1, (len(lines) - at) // 3 + 1):
-            block, end = lines[at : at + k], at + k
-            while end + k <= len(lines) and same(block, lines[end : end + k]):
-                end += k
-            if end - at >= 3 * k:
-                rest = lines[end:]
-                out += block
-                at = len(lines) if rest and same(block[: len(rest)], rest) else end
-                break
-        else:
-            out.append(lines[at])
-            at += 1
-    return out
+    return list(_Lines(lines, least).kept())
 
 
 def truncate_tail(text: str, least: float = 0.7) -> str:
-    """The shortest head, cut at a line break, whose end is like all that follows it; else the text."""
-    for n in range(4, len(text)):
+    """The shortest head, cut before or after a line break, whose end is like all that follows it (8 characters at least);
+    else the text."""
+    breaks = {at for m in re.finditer("\n", text) for at in m.span()}
+    for n in sorted(breaks):
         rest = len(text) - n
-        if (text[n] == "\n" or text[n - 1] == "\n") and 8 <= rest <= n and _alike(text[n - rest : n], text[n:], least):
+        if n > 3 and 8 <= rest <= n and _alike(text[n - rest : n], text[n:], least):
             return text[:n].rstrip()
     return text
 
@@ -66,10 +98,10 @@ def _settle(lines: list[str]) -> str:
     return truncate_tail("\n".join(line for i, line in enumerate(kept) if not i or line != kept[i - 1]))
 
 
-def clean_recognition(rows: DataFrame, column: str, keywords: list[str]) -> DataFrame:
-    """``rows`` with ``column`` cleaned: loops, marks, echoes of the instruction, repeated blocks and lines and a looping
-    tail go."""
-    words = F.array(*map(F.lit, keywords))
+def clean_recognition(rows: DataFrame, column: str, keywords: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``column`` cleaned: loops, marks, echoes of the instruction (``ECHO_KEYWORDS`` or others), repeated
+    blocks and lines and a looping tail go."""
+    words = F.array(*map(F.lit, ECHO_KEYWORDS if keywords is None else keywords))
     lines = F.filter(normalize_ocr_lines(collapse_repeats(F.col(column))), lambda x: ~echoes(x, words))
     out = with_mapped(rows.withColumn(column, lines), column, column, _settle, "string")
     return out.withColumn(column, py_strip(F.col(column))).select(*rows.columns)

@@ -83,7 +83,7 @@ def guarded_color(text: Column, background: Column) -> Column:
     """Text too near its background turns dark or light by the background's mean."""
     grey = lambda v: F.struct(*(F.lit(v).alias(k) for k in "rgb"))
     mean = (background["r"] + background["g"] + background["b"]) / 3
-    return F.when(color_distance(text, background) < 45, F.when(mean > 128, grey(30)).otherwise(grey(235))).otherwise(text)
+    return F.when(color_distance(text, background) < 45, F.when(mean > 128, grey(25)).otherwise(grey(245))).otherwise(text)
 
 
 def typeset_plan(x0: Column, y0: Column, x1: Column, y1: Column, cx: Column, cy: Column, length: Column, cap: int, contrast: Column) -> Column:

@@ -9,7 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Limits of what counts as text in a region, and the colours it takes where its own is too near the ground's.
+PADDING = 3
 LEAST_DIFFERENCE, PERCENTILE, MIN_FILL, MAX_FILL, BOLD, FLAT, CONTRAST = 24, 58, 0.015, 0.55, 0.45, 20, 45
+LUMA, LUMA_STEP, STRONGEST = np.array([0.299, 0.587, 0.114]), 28, 0.2
+DARK, LIGHT = [25] * 3, [245] * 3
 
 
 def _grow(mask: np.ndarray) -> np.ndarray:
@@ -22,81 +26,111 @@ def _shrink(mask: np.ndarray) -> np.ndarray:
     return ~_grow(~mask)
 
 
-def region_stats(rgb: np.ndarray, box: tuple[int, int, int, int]) -> dict:
-    """Background (median of the border), its spread, the text's colour and weight, and the text's mask in the box."""
-    x0, y0, x1, y1 = box
-    crop = rgb[y0:y1, x0:x1].astype(np.float64)
+def polygon_mask(points: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Pixels whose centres are inside a polygon, by crossings of a ray to the left, and those on its edges."""
+    y, x = np.mgrid[:height, :width]
+    inside, edge = np.zeros((height, width), bool), np.zeros((height, width), bool)
+    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0)):
+        if ay != by:
+            crosses = (y >= min(ay, by)) & (y < max(ay, by))
+            inside ^= crosses & (x >= ax + (y - ay) * (bx - ax) / (by - ay))
+        n = int(max(abs(bx - ax), abs(by - ay), 1))
+        at = np.round(np.linspace((ax, ay), (bx, by), n + 1)).astype(int)
+        at = at[(at >= 0).all(1) & (at[:, 0] < width) & (at[:, 1] < height)]
+        edge[at[:, 1], at[:, 0]] = True
+    return inside | edge
+
+
+def region_stats(rgb: np.ndarray, polygon: np.ndarray, padding: int = PADDING) -> dict:
+    """Of a region (its corners, which belong to it) with some padding: place in the picture, background (median of the
+    border) and its spread, the text's colour, weight and share of the polygon, and the text's mask.
+
+    Text differs from the background by the percentile of the polygon or the least difference; where that is next to
+    nothing, it is what is clearly darker than a light ground or lighter than a dark one; where it is too much, only
+    the strongest part is. Its colour is that of the fifth that is farthest from the ground in brightness.
+    """
+    (x0, y0), (x1, y1) = np.maximum(polygon.min(0) - padding, 0), np.minimum(polygon.max(0) + padding, [rgb.shape[1] - 1, rgb.shape[0] - 1])
+    crop = rgb[y0 : y1 + 1, x0 : x1 + 1].astype(np.float32)
+    shape = polygon_mask(polygon - [x0, y0], *crop.shape[:2])
     edge = np.concatenate([crop[0], crop[-1], crop[:, 0], crop[:, -1]])
-    background, spread = np.median(edge, axis=0), float(edge.std(axis=0).mean())
+    background, spread, area = np.median(edge, axis=0), float(edge.std()), max(1, int(shape.sum()))
+    ground = float(background.mean())
     difference = np.linalg.norm(crop - background, axis=2)
-    mask = difference > max(LEAST_DIFFERENCE, np.percentile(difference, PERCENTILE))
-    if mask.mean() < MIN_FILL:
-        light = crop @ np.array([0.299, 0.587, 0.114])
-        mask = np.abs(light - np.median(light)) > LEAST_DIFFERENCE
-    fill = float(mask.mean())
-    if fill > MAX_FILL:
-        mask = difference > np.percentile(difference, 100 * (1 - MAX_FILL))
-    weight = "bold" if fill > BOLD else "normal"
+    share = lambda q: float(np.percentile(difference[shape], q)) if shape.any() else 0.0
+    mask = shape & (difference >= max(LEAST_DIFFERENCE, share(PERCENTILE)))
+    if mask.sum() < MIN_FILL * area:
+        light = np.floor(crop @ LUMA + 0.5)
+        mask = shape & (light < int(ground - LUMA_STEP) if ground > 128 else light > min(255, int(ground + LUMA_STEP)))
+    if mask.sum() > MAX_FILL * area:
+        mask = shape & (difference >= share(100 * (1 - MAX_FILL)))
+    fill = float(mask.sum() / area)
     mask = _grow(_shrink(_grow(mask)))
-    inside = crop[mask]
-    if len(inside):
-        far = difference[mask]
-        color = np.median(inside[far >= np.percentile(far, 80)], axis=0)
-    else:
-        color = np.full(3, 30.0)
-    if np.linalg.norm(color - background) < CONTRAST:
-        color = np.full(3, 30.0 if background.mean() > 128 else 235.0)
-    return {"background": background.astype(int).tolist(), "spread": spread, "color": color.astype(int).tolist(), "weight": weight, "fill": fill, "mask": mask}
+    contrast = DARK if ground > 128 else LIGHT
+    color, text = contrast, crop[mask]
+    if len(text):
+        far = np.argsort(-np.abs(text.mean(axis=1) - ground), kind="stable")
+        color = np.median(text[far[: max(1, int(len(far) * STRONGEST))]], axis=0).astype(int).tolist()
+    background = background.astype(int).tolist()
+    if np.linalg.norm(np.subtract(color, background)) < CONTRAST:
+        color = contrast
+    weight = "bold" if fill > BOLD else "normal"
+    return {"x0": int(x0), "y0": int(y0), "background": background, "spread": spread, "color": color, "weight": weight, "fill": fill, "mask": mask}
 
 
 PIXELS = "page_id long, region_id int, background array<int>, color array<int>, weight string, fill double, flat boolean"
 
 
 def _pages(images: DataFrame, regions: DataFrame) -> DataFrame:
-    """Images (page_id, height, width, rgb) with their regions: pictures are shuffled once."""
-    boxes = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("region_id", "x0", "y0", "x1", "y1"))).alias("regions"))
-    return images.select("page_id", "height", "width", "rgb").join(boxes, "page_id", "left")
+    """Images (page_id, height, width, rgb) with the corners of their regions, given as ``polygon`` (an array of x, y) or as
+    x0, y0, x1, y1: pictures are shuffled once."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    box = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
+    polygon = F.col("polygon") if "polygon" in regions.columns else box
+    shapes = regions.select("page_id", F.struct("region_id", polygon.alias("polygon")).alias("r"))
+    shapes = shapes.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("regions"))
+    return images.select("page_id", "height", "width", "rgb").join(shapes, "page_id", "left")
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[tuple]]]:
+def _each(batch: pa.RecordBatch, padding: int) -> Iterator[tuple[int, np.ndarray, list[tuple[int, dict]]]]:
     for page in batch.to_pylist():
         rgb = np.frombuffer(page["rgb"], np.uint8).reshape(page["height"], page["width"], 3)
         found = []
         for r in page["regions"] or []:
-            box = (max(0, r["x0"]), max(0, r["y0"]), min(page["width"], r["x1"]), min(page["height"], r["y1"]))
-            if box[2] > box[0] and box[3] > box[1]:
-                found.append((r["region_id"], box, region_stats(rgb, box)))
+            polygon = np.array([(p["x"], p["y"]) for p in r["polygon"]], np.int64)
+            if len(polygon) and (polygon.min(0) < rgb.shape[1::-1]).all() and (polygon.max(0) >= 0).all():
+                found.append((r["region_id"], region_stats(rgb, polygon, padding)))
         yield page["page_id"], rgb, found
 
 
-def region_pixel_stats(images: DataFrame, regions: DataFrame) -> DataFrame:
-    """Colours, weight and flatness of every region that lies on its page."""
+def region_pixel_stats(images: DataFrame, regions: DataFrame, padding: int = PADDING) -> DataFrame:
+    """Colours, weight and flatness of every region of which any part lies on its page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, i, s["background"], s["color"], s["weight"], s["fill"], s["spread"] < FLAT) for p, _, found in _each(batch) for i, _, s in found]
+            rows = [(p, i, s["background"], s["color"], s["weight"], s["fill"], s["spread"] < FLAT) for p, _, found in _each(batch, padding) for i, s in found]
             types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in PIXELS.split(", ")])
 
     return _pages(images, regions).mapInArrow(run, PIXELS)
 
 
-def erase_flat_regions(images: DataFrame, regions: DataFrame) -> DataFrame:
-    """(page_id, rgb, needs_inpaint): text on flat ground filled with its background; the ids of other regions are listed."""
+def erase_flat_regions(images: DataFrame, regions: DataFrame, padding: int = PADDING) -> DataFrame:
+    """(page_id, rgb, needs_inpaint): text on flat ground, and some pixels around it, filled with its background, in order of
+    regions; the ids of other regions are listed. All regions are judged on the picture as it came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, rgb, found in _each(batch):
+            for page_id, rgb, found in _each(batch, padding):
                 out, rest = rgb.copy(), []
-                for region_id, (x0, y0, x1, y1), s in found:
+                for region_id, s in found:
                     if s["spread"] >= FLAT:
                         rest.append(region_id)
                         continue
                     mask = s["mask"]
-                    for _ in range(max(2, min(4, (y1 - y0) // 20))):
+                    for _ in range(max(2, min(4, padding))):
                         mask = _grow(mask)
-                    out[y0:y1, x0:x1][mask] = s["background"]
+                    out[s["y0"] : s["y0"] + mask.shape[0], s["x0"] : s["x0"] + mask.shape[1]][mask] = s["background"]
                 rows.append((page_id, out.tobytes(), rest))
             types = (pa.int64(), pa.binary(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["page_id", "rgb", "needs_inpaint"])

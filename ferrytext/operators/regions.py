@@ -123,20 +123,23 @@ def _pair_matrix(box: np.ndarray, vertical: np.ndarray) -> np.ndarray:
     )
 
 
-def column_order(box: np.ndarray) -> list[int]:
+def column_order(box: list[list[int]] | np.ndarray) -> list[int]:
     """Vertical reading order: from the right, each box joins the column that it overlaps most in y (at least 1, or 4 or its
     height if less), or begins one; columns by their right edge, boxes in a column by top."""
-    columns: list[list[int]] = []
-    for i in sorted(range(len(box)), key=lambda i: -box[i][0]):
-        y0, y1 = box[i][1], box[i][3]
-        laps = [max(0, min(y1, max(box[m][3] for m in c)) - max(y0, min(box[m][1] for m in c))) for c in columns]
-        best = max(laps, default=0)
-        if best >= max(1, min(y1 - y0, 4)):
-            columns[laps.index(best)].append(i)
-        else:
-            columns.append([i])
-    columns.sort(key=lambda c: -max(box[m][2] for m in c))
-    return [i for c in columns for i in sorted(c, key=lambda i: box[i][1])]
+    x0, y0, x1, y1 = np.array(box, np.int64).reshape(-1, 4).T
+    visit = np.argsort(-x0, kind="stable")
+    column, tops, bottoms, rights = np.zeros(len(x0), np.int64), [], [], []
+    for i in visit:
+        lap = np.minimum(bottoms, y1[i]) - np.maximum(tops, y0[i]) if tops else np.zeros(1)
+        k = int(lap.argmax())
+        if lap[k] < max(1, min(y1[i] - y0[i], 4)):
+            k = len(tops)
+            for edges, v in ((tops, y0[i]), (bottoms, y1[i]), (rights, x1[i])):
+                edges.append(v)
+        column[i], tops[k], bottoms[k], rights[k] = k, min(tops[k], y0[i]), max(bottoms[k], y1[i]), max(rights[k], x1[i])
+    rank = np.empty(len(x0), np.int64)
+    rank[visit] = np.arange(len(x0))
+    return np.lexsort((rank, y0, column, -np.array(rights, np.int64)[column])).tolist()
 
 
 def _groups(pairs: np.ndarray, box: np.ndarray, cap: float) -> list[list[int]]:

@@ -117,6 +117,39 @@ def test_flat_bubble_is_erased(spark):
     assert set(out["rgb"]) == {255} and out["needs_inpaint"] == []
 
 
+def test_region_statistics_by_definition():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for kind in range(40):
+        rgb = rng.integers(0, 256, (24, 30, 3), np.uint8) if kind % 4 == 0 else np.full((24, 30, 3), [255, 20, 130, 100][kind % 4], np.uint8)
+        if kind % 4:
+            for _ in range(kind % 7 * 30):
+                rgb[rng.integers(5, 19), rng.integers(5, 25)] = rng.integers(0, 256, 3)
+        box = np.array([(4, 4), (25, 4), (25, 19), (4, 19)])
+        got = P.region_stats(rgb, box, 2)
+        crop = rgb[2:22, 2:28].astype(float)
+        edge = np.concatenate([crop[0], crop[-1], crop[:, 0], crop[:, -1]])
+        ground = np.median(edge, axis=0)
+        inside = np.zeros(crop.shape[:2], bool)
+        inside[2:18, 2:24] = True
+        far = np.sqrt(((crop - ground) ** 2).sum(2))
+        mask = inside & (far >= max(24, np.percentile(far[inside], 58)))
+        if mask.sum() < 0.015 * inside.sum():
+            grey = np.floor(crop @ [0.299, 0.587, 0.114] + 0.5)
+            mask = inside & (grey < int(ground.mean() - 28) if ground.mean() > 128 else grey > int(ground.mean() + 28))
+        if mask.sum() > 0.55 * inside.sum():
+            mask = inside & (far >= np.percentile(far[inside], 45))
+        assert got["background"] == ground.astype(int).tolist() and got["spread"] == pytest.approx(edge.std(), rel=1e-4)
+        assert got["fill"] == pytest.approx(mask.sum() / inside.sum(), abs=0.01) and got["weight"] == ("bold" if got["fill"] > 0.45 else "normal")
+        assert len(got["color"]) == 3 and np.linalg.norm(np.subtract(got["color"], got["background"])) >= 40
+    blank = P.region_stats(np.full((20, 20, 3), 250, np.uint8), np.array([(2, 2), (17, 2), (17, 17), (2, 17)]))
+    assert blank["color"] == [25] * 3 and blank["fill"] == 0 and not blank["mask"].any()
+    assert P.region_stats(np.full((20, 20, 3), 9, np.uint8), np.array([(2, 2), (17, 2), (17, 17), (2, 17)]))["color"] == [245] * 3
+    triangle = P.polygon_mask(np.array([(0, 0), (8, 0), (0, 8)]), 9, 9)
+    assert triangle.sum() == 45 and triangle[0, 8] and triangle[8, 0] and not triangle[5, 5]
+
+
 def test_throttle():
     out, *_ = S.throttled([(0.0, 0, False), (0.5, 5, False), (0.9, 9, False), (5.0, 50, False), (5.1, 51, True)], None, [])
     assert [x[0] for x in out] == [0.0, 0.9, 5.0, 5.1]
@@ -180,7 +213,8 @@ def test_queries_take_whole_documents(spark, tmp_path):
         for s in stats:
             if s["page_id"] == i and s["region_id"] < r["height"] // 20:
                 top = 20 * s["region_id"] - 18
-                assert s["background"] == P.region_stats(rgb, (2, top, 50, top + 16))["background"]
+                corners = np.array([(2, top), (50, top), (50, top + 16), (2, top + 16)])
+                assert s["background"] == P.region_stats(rgb, corners)["background"]
     assert Q.erase_flat_regions(spark, str(tmp_path)).count() == 5
     lines = {i: [x.replace(" ", "") for x in (t or "").split("\n") if x] for i, t in texts.items()}
     got = {r["doc_id"]: r["text"] for r in Q.collapse_line_blocks(spark, str(tmp_path)).collect()}
