@@ -132,19 +132,24 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.document_report(docs, U.build_units(docs))
 
 
-@query(f"WITH {LAYOUT}, {TRANSLATED} SELECT doc_id, unit_idx, translation FROM tr")
+#: A translation shows the last two characters of its batch's context: those of the last translation before the batch.
+_TAILS = """SELECT a.doc_id, a.unit_idx, coalesce(right('>' || b.unit, 2), '') || '>' || a.unit AS translation
+  FROM units a LEFT JOIN units b ON a.doc_id = b.doc_id AND b.unit_idx = a.unit_idx // 8 * 8 - 1"""
+
+
+@query(f"WITH {LAYOUT} {_TAILS}")
 def translate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.translate_units(U.units(kana_docs(spark, sf_dir)), U.translator("prefix"))
+    return U.translate_units(U.units(kana_docs(spark, sf_dir)), U.translator("tail"))
 
 
-@query(f"WITH {LAYOUT} SELECT doc_id AS page_id, unit_idx, unit AS translation FROM units")
+@query(f"WITH {LAYOUT} SELECT doc_id AS page_id, unit_idx, translation FROM ({_TAILS})")
 def translate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.translate_regions(U.units(kana_docs(spark, sf_dir)).withColumnRenamed("doc_id", "page_id"), U.translator("echo"))
+    return U.translate_regions(U.units(kana_docs(spark, sf_dir)).withColumnRenamed("doc_id", "page_id"), U.translator("tail"))
 
 
-@query(f"WITH {LAYOUT} SELECT doc_id, unit_idx, unit, unit AS translation FROM units")
+@query(f"WITH {LAYOUT} SELECT doc_id, unit_idx, unit, '>' || unit AS translation FROM units")
 def translator_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.translate_free(U.units(kana_docs(spark, sf_dir)), U.translator("echo"))
+    return U.translate_free(U.units(kana_docs(spark, sf_dir)), U.translator("tail"))
 
 
 #: Model output of several kinds, made from documents; white space may stand before a label's colon.

@@ -10,7 +10,4 @@ from ferrytext.operators import units as U
 
 def localize(docs: DataFrame, provider: str = "echo", max_chars: int = 420) -> DataFrame:
     """(doc_id, text, segments, characters, encoding) of documents (doc_id, text), translated with rolling context."""
-    layout = U.build_units(docs, max_chars)
-    found = layout.where("kind = 'unit'").select("doc_id", "unit_idx", F.col("piece").alias("unit"))
-    restored = U.restore_document(layout, U.translate_units(found, U.translator(provider)))
-    return U.document_report(docs, layout).join(restored, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return U.localized(docs, U.translator(provider), max_chars=max_chars).withColumn("encoding", F.lit("utf-8"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 MIN_FONT, MAX_FONT = 12, 72
 
@@ -50,23 +53,28 @@ def advance(char: Column) -> Column:
     return F.when(char.rlike(r"[\x{2e80}-\x{9fff}\x{ff00}-\x{ff60}]"), F.lit(1000)).otherwise(F.lit(500))
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _wrapped(texts: pa.Array, sizes: pa.Array, widths: pa.Array) -> pa.Array:
+    out = []
+    for text, size, width in zip(texts.to_pylist(), sizes.to_pylist(), widths.to_pylist()):
+        if text is None or len(text) <= 3:
+            out.append(None if text is None else [text])
+            continue
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        wide = (points >= 0x2E80) & (points <= 0x9FFF) | (points >= 0xFF00) & (points <= 0xFF60)
+        reach, lines, at = np.cumsum(np.where(wide, 1000, 500)), [], 0
+        while at < len(text):
+            used = reach[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(reach, used + width * 1000 // size, "right")))
+            lines.append(text[at:end])
+            at = end
+        out.append(lines)
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def horizontal_wrap(text: Column, size: Column, width: Column) -> Column:
     """Lines of characters filled greedily up to ``width``; three characters or fewer stay together."""
-    text = plain(text)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"), F.lit(0).alias("used"))
-
-    def step(acc: Column, c: Column) -> Column:
-        used = acc["used"] + advance(c)
-        full = (acc["line"] != "") & (used * size > width * 1000)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, c).otherwise(F.concat(acc["line"], c)).alias("line"),
-            F.when(full, advance(c)).otherwise(used).alias("used"),
-        )
-
-    wrapped = F.aggregate(chars, start, step, lambda acc: F.when(acc["line"] != "", F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"]))
-    return F.when(F.length(text) <= 3, F.array(text)).otherwise(wrapped)
+    return _wrapped(plain(text), size, width)
 
 
 def line_height(size: Column, glyph_height: Column) -> Column:

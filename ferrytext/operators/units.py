@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,24 +55,32 @@ def batch_units(rows: DataFrame, n: int = 8) -> DataFrame:
     return rows.withColumn("batch", F.floor(F.col("unit_idx") / n).cast("int"))
 
 
+def _batches(translations: DataFrame, batch: int, last: int | None = None) -> DataFrame:
+    """(doc_id, batch, parts): a batch's translations in order, all or the last few."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("unit_idx", "translation"))), lambda x: x["translation"])
+    rows = batch_units(translations, batch).groupBy("doc_id", "batch").agg(ordered.alias("parts"))
+    return rows if last is None else rows.withColumn("parts", F.slice("parts", -F.least(F.lit(last), F.size("parts")), F.lit(last)))
+
+
 def rolling_context(translations: DataFrame, batch: int = 8, k: int = 4, chars: int = 1800) -> DataFrame:
     """(doc_id, batch, context): per batch the last k translations before it, joined by line breaks, last ``chars``
-    characters; empty where k or chars is not over 0."""
-    before = F.collect_list("translation").over(Window.partitionBy("doc_id").orderBy("unit_idx").rowsBetween(-max(k, 1), -1))
-    joined = F.array_join(before, "\n")
-    context = F.when(F.length(joined) > chars, F.right(joined, F.lit(chars))).otherwise(joined) if k > 0 and chars > 0 else F.lit("")
-    rows = batch_units(translations, batch).withColumn("context", context)
-    return rows.where(F.col("unit_idx") % batch == 0).select("doc_id", "batch", "context")
+    characters; empty where k or chars is not over 0. A window over batches, of which k units' worth are looked at."""
+    if k <= 0 or chars <= 0:
+        return batch_units(translations, batch).select("doc_id", "batch", F.lit("").alias("context")).distinct()
+    over = Window.partitionBy("doc_id").orderBy("batch").rowsBetween(-(-(-k // batch)), -1)
+    before = F.flatten(F.collect_list("parts").over(over))
+    joined = F.array_join(F.slice(before, F.greatest(F.lit(1), F.size(before) - k + 1), F.lit(k)), "\n")
+    return _batches(translations, batch, k).select("doc_id", "batch", F.right(joined, F.lit(chars)).alias("context"))
 
 
 def page_context(translations: DataFrame, batch: int = 8, chars: int = 1800) -> DataFrame:
     """(doc_id, batch, context) as pages keep it: a line break and the batch are added each time, and the last
-    ``chars`` characters stay. Only as many units as ``chars`` can hold are looked at, as each adds its break."""
-    before = F.collect_list("translation").over(Window.partitionBy("doc_id").orderBy("unit_idx").rowsBetween(-chars, -1))
-    joined = F.array_join(F.transform(before, lambda x: F.concat(F.lit("\n"), x)), "")
-    context = F.when(F.length(joined) > chars, F.right(joined, F.lit(chars))).otherwise(joined)
-    rows = batch_units(translations, batch).withColumn("context", context)
-    return rows.where(F.col("unit_idx") % batch == 0).select("doc_id", "batch", "context")
+    ``chars`` characters stay. A window over batches, of which only as many are looked at as ``chars`` can hold, as each
+    unit adds its break."""
+    text = F.right(F.concat(F.lit("\n"), F.array_join("parts", "\n")), F.lit(chars))
+    over = Window.partitionBy("doc_id").orderBy("batch").rowsBetween(-(-(-chars // batch)), -1)
+    before = F.array_join(F.collect_list("text").over(over), "")
+    return _batches(translations, batch).withColumn("text", text).select("doc_id", "batch", F.right(before, F.lit(chars)).alias("context"))
 
 
 def unit_progress(units_: DataFrame, batch: int = 8) -> DataFrame:
@@ -107,8 +116,13 @@ def prefix(mark: str) -> Translator:
     return translate
 
 
+def tail(texts: list[str], *, context: str) -> list[str]:
+    """Puts the context's last two characters before every text: what it gives shows what it was given."""
+    return [f"{context[-2:]}>{t}" for t in texts]
+
+
 #: Translators by provider; callers add their own.
-REGISTRY: dict[str, Callable[[], Translator]] = {"echo": lambda: echo, "prefix": lambda: prefix("译:")}
+REGISTRY: dict[str, Callable[[], Translator]] = {"echo": lambda: echo, "prefix": lambda: prefix("译:"), "tail": lambda: tail}
 
 
 def translator(provider: str) -> Translator:
@@ -117,40 +131,82 @@ def translator(provider: str) -> Translator:
     return REGISTRY[provider]()
 
 
+def in_turn(texts: list[str], translate: Translator, batch: int, context: Callable[[list[str]], str]) -> list[str]:
+    """Translations of a sequence of texts, batch by batch; ``context`` makes each batch's from all that are done."""
+    done: list[str] = []
+    for at in range(0, len(texts), batch):
+        got = translate(texts[at : at + batch], context=context(done))
+        if len(got) != len(texts[at : at + batch]):
+            raise ValueError("a translator returns as many texts as it gets")
+        done += got
+    return done
+
+
+def last_translations(k: int, chars: int) -> Callable[[list[str]], str]:
+    return lambda done: "\n".join(done[-k:])[-chars:] if k > 0 and chars > 0 else ""
+
+
+def grown(chars: int) -> Callable[[list[str]], str]:
+    """Every translation behind a line break, of which the last ``chars`` characters are looked at."""
+
+    def context(done: list[str]) -> str:
+        held, out = 0, []
+        for text in reversed(done):
+            out.append("\n" + text)
+            held += len(text) + 1
+            if held >= chars:
+                break
+        return "".join(reversed(out))[-chars:] if chars > 0 else ""
+
+    return context
+
+
+def _sequences(rows: DataFrame, key: str, translate: Translator, batch: int, context: Callable[[list[str]], str]) -> DataFrame:
+    """Units grouped by ``key`` and translated in order: one exchange, and many groups in an Arrow batch."""
+    groups = rows.groupBy(F.col(key).cast("long").alias(key)).agg(F.array_sort(F.collect_list(F.struct("unit_idx", "unit"))).alias("units"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batches:
+            for name, units_ in zip(found.column(0), found.column(1)):
+                numbers, texts = (units_.values.field(i) for i in range(2))
+                done = in_turn(texts.to_pylist(), translate, batch, context)
+                names = pa.array([name.as_py()] * len(done), pa.int64())
+                yield pa.RecordBatch.from_arrays([names, numbers, pa.array(done, pa.string())], [key, "unit_idx", "translation"])
+
+    return groups.mapInArrow(run, f"{key} long, unit_idx int, translation string")
+
+
 def translate_units(rows: DataFrame, translate: Translator, *, key: str = "doc_id", batch: int = 8, k: int = 4, chars: int = 1800) -> DataFrame:
     """(key, unit_idx, translation): each document's units in order, batch by batch, with the last k translations as
     context. A document is one task's sequence, as every batch needs the results of the one before."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("unit_idx")
-        texts, done = group["unit"].tolist(), []
-        for at in range(0, len(texts), batch):
-            context = "\n".join(done[-k:])[-chars:] if k > 0 and chars > 0 else ""
-            got = translate(texts[at : at + batch], context=context)
-            if len(got) != len(texts[at : at + batch]):
-                raise ValueError("a translator returns as many texts as it gets")
-            done += got
-        return pd.DataFrame({key: group[key], "unit_idx": group["unit_idx"], "translation": done})
-
-    return rows.select(key, "unit_idx", "unit").groupBy(key).applyInPandas(run, f"{key} long, unit_idx int, translation string")
+    return _sequences(rows, key, translate, batch, last_translations(k, chars))
 
 
 def translate_regions(rows: DataFrame, translate: Translator, *, batch: int = 8, chars: int = 1800) -> DataFrame:
     """(page_id, unit_idx, translation): as ``translate_units`` with a context that begins anew on each page and grows
     by whole batches."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("unit_idx")
-        texts, done, context = group["unit"].tolist(), [], ""
-        for at in range(0, len(texts), batch):
-            got = translate(texts[at : at + batch], context=context)
-            if len(got) != len(texts[at : at + batch]):
-                raise ValueError("a translator returns as many texts as it gets")
-            done += got
-            context = (context + "\n" + "\n".join(got))[-chars:]
-        return pd.DataFrame({"page_id": group["page_id"], "unit_idx": group["unit_idx"], "translation": done})
-
-    return rows.select("page_id", "unit_idx", "unit").groupBy("page_id").applyInPandas(run, "page_id long, unit_idx int, translation string")
+    return _sequences(rows, "page_id", translate, batch, grown(chars))
+
+
+def localized(docs: DataFrame, translate: Translator, *, max_chars: int = MAX_CHARS, batch: int = 8, k: int = 4, chars: int = 1800) -> DataFrame:
+    """(doc_id, text, segments, characters): documents with their units translated in order. A document's layout stays in
+    its row, so nothing is shuffled."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("characters"), layout_pieces(F.col("text"), max_chars).alias("x"))
+    rows = rows.select("doc_id", "characters", F.col("x.kind").alias("kinds"), F.col("x.piece").alias("pieces"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batches:
+            texts, segments = [], []
+            for kinds, pieces in zip(found.column("kinds").to_pylist(), found.column("pieces").to_pylist()):
+                at = [i for i, kind in enumerate(kinds or []) if kind == "unit"]
+                for i, done in zip(at, in_turn([pieces[i] for i in at], translate, batch, last_translations(k, chars))):
+                    pieces[i] = done
+                texts.append("".join(pieces or []))
+                segments.append(len(at))
+            columns = [found.column("doc_id"), pa.array(texts, pa.string()), pa.array(segments, pa.int64()), found.column("characters")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "segments", "characters"])
+
+    return rows.mapInArrow(run, "doc_id long, text string, segments long, characters long")
 
 
 def translate_free(rows: DataFrame, translate: Translator, *, batch: int = 256) -> DataFrame:
