@@ -13,9 +13,11 @@ from ferrytext.operators import layout as L
 from ferrytext.operators import pixels as P
 from ferrytext.operators import recognition as G
 from ferrytext.sources import archives as Z
+from ferrytext.sources.decoding import decode_text
+from ferrytext.sources.scratch import scratch
 from ferrytext.sources.views import BOXES_SQL, boxes, table
 from ferrytext.sources.writers import write_packages as pack
-from ferrytext.streaming.jobs import batch_throughput
+from ferrytext.streaming import jobs as S
 
 _catalog = Catalog()
 QUERIES, ORACLE_SQL, query = _catalog.queries, _catalog.sql, _catalog.query
@@ -168,8 +170,53 @@ def horizontal_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(L.horizontal_wrap(t, F.lit(14), F.lit(200)), "|").alias("lines"))
 
 
-@query(f"WITH RECURSIVE {SAMPLES} SELECT download_id, round(max(t), 6) AS last FROM samples GROUP BY download_id")
+@query(
+    f"""WITH RECURSIVE {SAMPLES}, s AS (SELECT *, row_number() OVER (PARTITION BY download_id ORDER BY t, bytes) AS i, t = max(t) OVER (PARTITION BY download_id) AS force FROM samples),
+    walk AS (SELECT download_id, i, t, bytes, t AS last, true AS kept FROM s WHERE i = 1
+      UNION ALL SELECT s.download_id, s.i, s.t, s.bytes, CASE WHEN s.t - walk.last >= 0.8 OR s.force THEN s.t ELSE walk.last END, s.t - walk.last >= 0.8 OR s.force
+      FROM walk JOIN s ON s.download_id = walk.download_id AND s.i = walk.i + 1)
+    SELECT download_id, round(t, 6) AS t, bytes, round(CASE WHEN dt > 0 THEN greatest(0.0, db / dt) ELSE 0.0 END, 6)::DOUBLE AS speed FROM
+      (SELECT *, t - min(t) OVER w AS dt, bytes - arg_min(bytes, t) OVER w AS db FROM walk WHERE kept
+      WINDOW w AS (PARTITION BY download_id ORDER BY t RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+)
 def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.max("t").over(Window.partitionBy("download_id"))
-    rows = rate_samples(spark, sf_dir).withColumn("force", F.col("t") == last)
-    return batch_throughput(rows).groupBy("download_id").agg(F.round(F.max("t"), 6).alias("last"))
+    """Samples come in two portions, earlier and later ones; the stream is stopped between them and goes on from its
+    checkpoint."""
+    rows = rate_samples(spark, sf_dir).withColumn("force", F.col("t") == F.max("t").over(Window.partitionBy("download_id")))
+    middle = rows.agg(F.percentile_approx("t", 0.5)).first()[0] or 0.0
+    at = scratch(spark, "rates")
+    for portion in (rows.where(F.col("t") <= middle), rows.where(F.col("t") > middle)):
+        portion.write.mode("append").parquet(f"{at}/in")
+        stream = S.stream_throughput(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), 3600, "4 hours")
+        sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append")
+        sink.trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return found.select("download_id", F.round("t", 6).alias("t"), "bytes", F.round("speed", 6).alias("speed"))
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of text files with a document to a line, as JSON; 1,000 lines a file at most."""
+    at = scratch(spark, "texts")
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("archive"), F.to_json(F.struct("doc_id", "text")).alias("value"))
+    docs.write.partitionBy("archive").option("maxRecordsPerFile", 1_000).text(at)
+    return at
+
+
+def _documents_of(files: DataFrame) -> DataFrame:
+    """(doc_id, text) of the files (content) of such a folder."""
+    lines = F.explode(T.split_lines(F.col("text")))
+    rows = decode_text(files.select("content")).select(lines.alias("line"))
+    return rows.select(F.from_json("line.content", "doc_id long, text string").alias("x")).select("x.*")
+
+
+@query("SELECT doc_id, text FROM documents")
+def read_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents_of(Z.read_text_files(spark, text_files(spark, sf_dir)))
+
+
+@query("SELECT doc_id, text FROM documents")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, at = text_files(spark, sf_dir), scratch(spark, "ingested")
+    handle = lambda files: _documents_of(files).write.mode("append").parquet(f"{at}/out")
+    S.stream_ingest(spark, folder, f"{at}/state", handle).awaitTermination()
+    return spark.read.schema("doc_id long, text string").parquet(f"{at}/out")

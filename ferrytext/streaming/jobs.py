@@ -60,18 +60,26 @@ def batch_throughput(samples: DataFrame) -> DataFrame:
     return samples.select("download_id", "t", "bytes", "force").groupBy("download_id").applyInPandas(run, EMITTED)
 
 
-def stream_throughput(samples: DataFrame) -> DataFrame:
-    """The same over a stream of samples; the state of a download is its last emission and the samples of one window."""
+def stream_throughput(samples: DataFrame, seconds: float = 1.0, watermark: str = "10 seconds") -> DataFrame:
+    """The same over a stream of samples, whose times are in units of so many seconds. The state of a download is its last
+    emission and the samples of one window; once the watermark is a window past its last emission it goes, as nothing
+    that comes later can depend on it. Samples behind the watermark are left out."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, ts, ns = state.get if state.exists else (None, [], [])
         group = pd.concat(list(frames)).sort_values(["t", "bytes"])
         out, last, kept = throttled(list(group[["t", "bytes", "force"]].itertuples(index=False, name=None)), last, list(zip(ts, ns)))
         state.update((last, [float(t) for t, _ in kept], [int(n) for _, n in kept]))
+        state.setTimeoutTimestamp(max(int((last + WINDOW) * seconds * 1000), state.getCurrentWatermarkMs()) + 1)
         rows = pd.DataFrame(out, columns=["t", "bytes", "speed"])
         rows.insert(0, "download_id", key[0])
         yield rows
 
-    return samples.select("download_id", "t", "bytes", "force").groupBy("download_id").applyInPandasWithState(
-        run, EMITTED, "last double, ts array<double>, ns array<bigint>", "append", GroupStateTimeout.NoTimeout
+    at = F.timestamp_micros((F.col("t") * seconds * 1_000_000).cast("long"))
+    timed = samples.select("download_id", "t", "bytes", "force", at.alias("at")).withWatermark("at", watermark)
+    return timed.groupBy("download_id").applyInPandasWithState(
+        run, EMITTED, "last double, ts array<double>, ns array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
