@@ -15,6 +15,8 @@ from ferrytext.operators.archives import TEXT
 from ferrytext.operators.ops import job_status_fold
 
 WINDOW, THROTTLE = 4.0, 0.8
+#: Seconds by which event times are late, as a watermark begins at the epoch and clocks may begin at 0.
+DAY = 86_400
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -73,12 +75,12 @@ def stream_throughput(samples: DataFrame, seconds: float = 1.0, watermark: str =
         group = pd.concat(list(frames)).sort_values(["t", "bytes"])
         out, last, kept = throttled(list(group[["t", "bytes", "force"]].itertuples(index=False, name=None)), last, list(zip(ts, ns)))
         state.update((last, [float(t) for t, _ in kept], [int(n) for _, n in kept]))
-        state.setTimeoutTimestamp(max(int((last + WINDOW) * seconds * 1000), state.getCurrentWatermarkMs()) + 1)
+        state.setTimeoutTimestamp(max(int(((last + WINDOW) * seconds + DAY) * 1000), state.getCurrentWatermarkMs()) + 1)
         rows = pd.DataFrame(out, columns=["t", "bytes", "speed"])
         rows.insert(0, "download_id", key[0])
         yield rows
 
-    at = F.timestamp_micros((F.col("t") * seconds * 1_000_000).cast("long"))
+    at = F.timestamp_micros(((F.col("t") * seconds + DAY) * 1_000_000).cast("long"))
     timed = samples.select("download_id", "t", "bytes", "force", at.alias("at")).withWatermark("at", watermark)
     return timed.groupBy("download_id").applyInPandasWithState(
         run, EMITTED, "last double, ts array<double>, ns array<bigint>", "append", GroupStateTimeout.EventTimeTimeout

@@ -150,6 +150,30 @@ def test_region_statistics_by_definition():
     assert triangle.sum() == 45 and triangle[0, 8] and triangle[8, 0] and not triangle[5, 5]
 
 
+def png(rgb):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", rgb.shape[1], rgb.shape[0], 8, 2, 0, 0, 0)
+    rows = b"".join(b"\0" + row.tobytes() for row in rgb)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_page_images_and_text_files_are_read(spark, tmp_path):
+    import numpy as np
+
+    rgb = np.random.default_rng(1).integers(0, 256, (5, 7, 3), np.uint8)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.PNG").write_bytes(png(rgb))
+    (tmp_path / "in" / "broken.png").write_bytes(b"no picture")
+    (tmp_path / "in" / "a.txt").write_bytes("あ".encode("cp932"))
+    rows = Z.read_page_images(spark, str(tmp_path / "in")).collect()
+    assert [(r["height"], r["width"], bytes(r["rgb"])) for r in rows] == [(5, 7, rgb.tobytes())]
+    texts = Z.read_text_files(spark, str(tmp_path / "in")).collect()
+    assert [bytes(r["content"]) for r in texts] == ["あ".encode("cp932")]
+
+
 def test_throttle():
     out, *_ = S.throttled([(0.0, 0, False), (0.5, 5, False), (0.9, 9, False), (5.0, 50, False), (5.1, 51, True)], None, [])
     assert [x[0] for x in out] == [0.0, 0.9, 5.0, 5.1]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrytext.functions import text as T
 from ferrytext.operators import cleanup as C
+from ferrytext.operators import layout as L
 from ferrytext.operators import units as U
 from ferrytext.sources.decoding import decode_text
 
@@ -85,8 +86,63 @@ def test_unknown_translator():
 
 
 def test_clean_translation(spark):
-    raw = ["<think>a\nb</think> 好", "译文： \"x\"", "“x”", '"', "'y'", "翻译:z"]
-    assert column(spark, raw, T.clean_translation) == ["好", "x", "“x”", '"', "y", "z"]
+    raw = ["<think>a\nb</think> 好", "译文： \"x\"", "“x”", '"', "'y'", "翻译:z", "翻译 \u3000： z", "a翻译:z"]
+    assert column(spark, raw, T.clean_translation) == ["好", "x", "“x”", '"', "y", "z", "z", "a翻译:z"]
+
+
+def test_inner_text_knows_all_entities(spark):
+    raw = [" <b>a</b>&nbsp;&hellip;<ruby>漢<rt>かん</rt></ruby>&#x3042;&#12356;&eacute;&copy;&amp;lt;", "plain", None, "&unknown; &"]
+    assert column(spark, raw, T.inner_text) == ["a\xa0…漢あいé©&lt;", "plain", None, "&unknown; &"]
+
+
+@pytest.mark.parametrize(("batch", "k", "chars"), [(8, 4, 1800), (2, 5, 40), (3, 1, 7), (4, 0, 10), (1, 3, 0)])
+def test_contexts_are_what_translators_see(spark, batch, k, chars):
+    rng = random.Random(batch)
+    rows = [(d, i, "xyz"[: rng.randint(0, 3)] + str(i)) for d in range(4) for i in range(rng.randint(1, 30))]
+    units = spark.createDataFrame(rows, "doc_id long, unit_idx int, unit string")
+    seen = {}
+    for kind, context in (("rolling", U.last_translations(k, chars)), ("page", U.grown(chars))):
+        for d in range(4):
+            U.in_turn([r[2] for r in rows if r[0] == d], lambda t, *, context: seen.setdefault((kind, d), []).append(context) or t, batch, context)
+    done = units.withColumnRenamed("unit", "translation")
+    of = lambda found: {(r["doc_id"], r["batch"]): r["context"] for r in found.collect()}
+    rolling = of(U.rolling_context(done, batch, k, chars))
+    assert rolling == {(d, i): c for (kind, d), cs in seen.items() if kind == "rolling" for i, c in enumerate(cs)}
+    if chars:
+        assert of(U.page_context(done, batch, chars)) == {(d, i): c for (kind, d), cs in seen.items() if kind == "page" for i, c in enumerate(cs)}
+
+
+def test_localized_documents_equal_the_steps_one_by_one(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("あ漢a。！?\n\r 　") for _ in range(rng.randint(0, 300))) for _ in range(30)] + ["", None, "no script\n"]
+    rows = docs(spark, *texts)
+    layout = U.build_units(rows, 20)
+    found = layout.where("kind = 'unit'").select("doc_id", "unit_idx", F.col("piece").alias("unit"))
+    want = {r["doc_id"]: r["text"] for r in U.restore_document(layout, U.translate_units(found, U.tail)).collect()}
+    got = {r["doc_id"]: r for r in U.localized(rows, U.tail, max_chars=20).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["text"] == want.get(i, "") and got[i]["characters"] == (None if t is None else len(t))
+        assert got[i]["segments"] == sum(r["doc_id"] == i for r in found.collect()) if i < 3 else True
+
+
+def test_lines_are_filled_greedily(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aあbい\n漢c") for _ in range(rng.randint(0, 80))) for _ in range(60)] + [None]
+
+    def filled(text, size, width):
+        text = text.replace("\n", "")
+        if len(text) <= 3:
+            return [text]
+        out, line, used = [], "", 0
+        for c in text:
+            w = 500 if c.isascii() else 1000
+            if line and (used + w) * size > width * 1000:
+                out, line, used = out + [line], "", 0
+            line, used = line + c, used + w
+        return out + [line]
+
+    got = column(spark, texts, lambda c: L.horizontal_wrap(c, F.lit(14), F.lit(100)))
+    assert got == [None if t is None else filled(t, 14, 100) for t in texts]
 
 
 def test_clip_noise_and_names(spark):
@@ -114,6 +170,8 @@ def test_clean_recognition(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(raw + [None])], "i int, c string")
     got = C.clean_recognition(rows, "c", ["transcribe"]).orderBy("i").collect()
     assert [r["c"] for r in got] == ["題\n本文\n終", None]
+    known = spark.createDataFrame([("请按照图片内容\n本文\nAs markdown:",)], "c string")
+    assert C.clean_recognition(known, "c").first()["c"] == "本文"
 
 
 def test_decoding(spark):
