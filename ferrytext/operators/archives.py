@@ -92,11 +92,16 @@ def chapter_start(chapters: DataFrame) -> DataFrame:
     return chapters.withColumn("start", F.coalesce(F.sum("n_units").over(before), F.lit(0)))
 
 
+def unit_chapters(chapters: DataFrame) -> DataFrame:
+    """(book_id, chapter_ord, unit_idx): a row for every unit of a book with the chapter that it is in."""
+    last = F.col("start") + F.col("n_units") - 1
+    return chapter_start(chapters).where("n_units > 0").select("book_id", "chapter_ord", F.explode(F.sequence(F.col("start"), last)).alias("unit_idx"))
+
+
 def chapter_translations(chapters: DataFrame, translations: DataFrame) -> DataFrame:
-    """(book_id, chapter_ord, unit_idx, translation): book-wide units put into their chapters by interval."""
-    c = chapter_start(chapters).alias("c")
-    inside = (F.col("c.book_id") == F.col("t.book_id")) & (F.col("t.unit_idx") >= F.col("c.start")) & (F.col("t.unit_idx") < F.col("c.start") + F.col("c.n_units"))
-    return translations.alias("t").join(c, inside).select("t.book_id", "c.chapter_ord", "t.unit_idx", "t.translation")
+    """(book_id, chapter_ord, unit_idx, translation): book-wide units put into their chapters, unit by unit."""
+    found = translations.join(unit_chapters(chapters), ["book_id", "unit_idx"])
+    return found.select("book_id", "chapter_ord", "unit_idx", "translation")
 
 
 def member_override(members: DataFrame, replaced: DataFrame) -> DataFrame:
