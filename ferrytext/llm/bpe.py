@@ -13,7 +13,7 @@ import gc
 import hashlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -21,9 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ferrytext.llm.common import slices, text_rows
+from ferrytext.llm.common import slices, text_rows, tidied, worker_copy
 
 WORD_BITS = 64
+#: Texts of about so many bytes are encoded together.
+SLICE_BYTES = 2 << 20
 
 
 class RankQueue:
@@ -219,7 +221,16 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
-@lru_cache(maxsize=2)
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without runs of the garbage collector: the tables hold many small objects and no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _codec(path: str, pattern: str, most: int, split_blanks: bool) -> tuple[Encoder, list[bytes | None]]:
     with open(path, "rb") as f:
         bpe = Bpe(parse_ranks(f.read()))
@@ -239,20 +250,20 @@ def encode_decode(
     ids and, with ``with_ids``, the ids. ``ranks_path`` is a rank file that each executor has (installed with its
     package).
 
-    Null and empty texts have no tokens; both digests are those of the empty string. Repeated rows give repeated
-    rows; other columns are ignored.
+    Null and empty texts have no tokens; both digests are those of the empty string. Texts of any length are encoded whole;
+    merges of equal rank go from left to right; repeated rows give repeated rows; an empty table gives an empty result;
+    other columns are ignored.
     """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     fields += [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = _codec(ranks_path, pattern, cache_entries, split_blanks)
+        encoder, tokens = worker_copy(_codec, ranks_path, pattern, cache_entries, split_blanks)
         names = [str(i) for i in range(len(tokens))]
-        for batch in slices(batches, 3 << 20):
-            gc.disable()  # the tables hold many small objects and no cycles
-            encoded = encoder.encode([x.decode("utf-8", "replace") for x in batch.column("text").to_pylist()])
-            gc.enable()
+        for batch in slices(batches, SLICE_BYTES):
+            with uncollected():
+                encoded = encoder.encode([x.decode("utf-8", "replace") for x in batch.column("text").to_pylist()])
             digests, decoded = [], []
             for packed in encoded:
                 ids = packed.tolist()
@@ -266,4 +277,4 @@ def encode_decode(
         encoder.trim(cache_entries // 8)
 
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return text_rows(docs).mapInArrow(run, ddl)
+    return text_rows(docs).mapInArrow(tidied(run), ddl)

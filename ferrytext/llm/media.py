@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrytext.llm.common import slices
+from ferrytext.llm.common import slices, tidied
 
 SIDE = 24
 _FIELD = re.compile(rb"(?:\s|#[^\n]*\n)*([0-9]+)")
@@ -188,7 +188,8 @@ def text_media_digests(docs: DataFrame) -> DataFrame:
     """Stores each text as a grey map, decodes it, cuts it into NPY tiles, reads both back and returns digests.
 
     The stored form is the grey map; ``npy_sha256`` and ``n_tiles`` describe the tiles, whose samples in reading
-    order must equal the payload. Null and empty texts are one unit of bytes 255.
+    order must equal the payload. Null and empty texts are one unit of bytes 255; long texts are taken whole, one picture each;
+    repeated rows give repeated rows; an empty table gives an empty result; columns other than doc_id and text are ignored.
     """
     schema = (
         "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint,"
@@ -221,4 +222,4 @@ def text_media_digests(docs: DataFrame) -> DataFrame:
             arrays = [pa.array([x[i] for x in out], f.type) for i, f in enumerate(list(out_schema)[2:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *arrays], schema=out_schema)
 
-    return texts_as_media(docs).mapInArrow(run, schema)
+    return texts_as_media(docs).mapInArrow(tidied(run), schema)

@@ -18,10 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrytext.llm.common import LOWER_TABLE, slices, stored, text_rows
+from ferrytext.llm.common import LOWER_TABLE, slices, stored, text_rows, tidied
 from ferrytext.llm.components import components
 
 SEGMENTS, WIDTH, MOST = 4, 16, 3
+#: So many hashes of a text are spread into bits at once.
+SHINGLES = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -33,7 +35,9 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     n = max(1, len(words) - shingle + 1)
     shingles = map(b" ".join, zip(*(words[i : i + n] for i in range(min(shingle, len(words))))))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), ">u8", n)
-    ones = np.unpackbits(hashes.view(np.uint8)).reshape(n, 64).sum(axis=0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for a in range(0, n, SHINGLES):
+        ones += np.unpackbits(hashes[a : a + SHINGLES].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -45,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id bigint, fp bigint")
+    return text_rows(docs).mapInArrow(tidied(run), "doc_id bigint, fp bigint")
 
 
 def _key(i: int) -> Column:
@@ -80,9 +84,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     gives an empty result.
     """
     seen = stored(fingerprints(docs, shingle), "fingerprints")
-    found = components(links(seen.select("fp").distinct()))
-    rooted = seen.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "doc_id", "fp", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    each = stored(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    found = components(links(each.select("fp")))
+    rooted = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted, "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    # tables of their own on both sides, so that a hot root or fingerprint can be split over tasks
+    named = stored(rooted.join(least, "root").select("fp", "component_id"), "named")
+    return seen.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

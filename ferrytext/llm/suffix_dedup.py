@@ -20,12 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrytext.llm.common import slices, stored
+from ferrytext.llm.common import dropped, slices, stored, tidied
 from ferrytext.llm.suffix_sort import common_prefix, deep_shallow_sort
 
 LENGTH = 400
 GRAM = 64
-SEGMENT = 4 << 20
+#: Bytes that are searched for spans at once, and that come from Python in a batch.
+SEGMENT, BATCH = 1 << 20, 2 << 20
+#: Bytes of a passage of about fifty words.
+PASSAGE = 240
 #: Variants that one group may hold: about 1 KB and, in array operations, 20,000 comparisons each.
 MOST_VARIANTS = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -99,20 +102,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 _SPANS = pa.schema(
-    [("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())]
+    [("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string()), ("text", pa.binary())]
     + [(c, pa.list_(pa.int64())) for c in ("first", "last", "anchor", "gram", "span")]
 )
-_SPANS_DDL = "doc_id long, k1 long, k2 long, n_bytes long, sha256 string, " + ", ".join(
+_SPANS_DDL = "doc_id long, k1 long, k2 long, n_bytes long, sha256 string, text binary, " + ", ".join(
     f"{c} array<bigint>" for c in ("first", "last", "anchor", "gram", "span")
 )
 
 
 def _spans(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row per document with its spans; of equal texts in a task only the first has them."""
+    """One row per document; of equal texts in a task only the first has its text and spans, as has no text too short for
+    a span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, seen = Anchors(length, gram), set()
-        for batch in slices(batches, SEGMENT // 2):
+        for batch in slices(batches, BATCH):
             texts = batch.column("text").to_pylist()
             keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
             parts: list[list[np.ndarray]] = [[] for _ in texts]
@@ -131,11 +135,12 @@ def _spans(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                     )
                 held.clear()
 
-            size = 0
+            size, kept = 0, [None] * len(texts)
             for i, (text, key) in enumerate(zip(texts, keys)):
                 if len(text) < length or key in seen:
                     continue
                 seen.add(key)
+                kept[i] = text
                 for start in range(0, len(text) - length + 1, SEGMENT):
                     data = text[start : start + SEGMENT + length - 1]
                     if size + len(data) > SEGMENT:
@@ -152,12 +157,13 @@ def _spans(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                     *(batch.column(c) for c in ("doc_id", "k1", "k2")),
                     pa.array(map(len, texts), pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+                    pa.array(kept, pa.binary()),
                     *(pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns),
                 ],
                 schema=_SPANS,
             )
 
-    return keyed.mapInArrow(run, _SPANS_DDL)
+    return keyed.mapInArrow(tidied(run), _SPANS_DDL)
 
 
 def shared_extents(strings: list[bytes], anchors: list[int], length: int, gram: int) -> list[tuple[int, int] | None]:
@@ -215,7 +221,7 @@ def _partial(variants: DataFrame, length: int, gram: int) -> DataFrame:
             yield _found(out)
         yield _found(list(settle(group)))
 
-    return variants.select(*names).repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "k1 long, k2 long, start long, end long")
+    return variants.select(*names).repartition("gram").sortWithinPartitions("gram").mapInArrow(tidied(run), "k1 long, k2 long, start long, end long")
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
@@ -229,11 +235,12 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     spans removed, the digest of the kept bytes, and them as text without broken characters."""
     keyed = _keyed(docs)
     table = stored(_spans(keyed, length, gram), "spans")
-    texts = table.select("doc_id", "k1", "k2", "n_bytes", "sha256")
+    texts = stored(table.select("doc_id", "k1", "k2", "n_bytes", "sha256"), "text-keys")
     copies = texts.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes")).where("n > 1")
 
     spans = table.select("k1", "k2", F.explode(F.arrays_zip("first", "last", "anchor", "gram", "span")).alias("s")).select("k1", "k2", "s.*")
-    twice = spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # a table of its own, so that the join can split a hot gram
+    twice = stored(spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "shared-grams")
     spans = stored(spans.join(twice, "gram").withColumn("before", F.col("anchor") - F.col("first")), "shared-spans")
     kinds = spans.groupBy("gram", "before", "span").agg(
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last", "anchor")).alias("one")
@@ -243,11 +250,14 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
         "k1", "k2", F.col("first").alias("start"), (F.col("last") + length).alias("end")
     )
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("variants"), F.min("n").alias("least")).where("variants > 1 and least = 1")
+    mixed = stored(mixed, "mixed-grams")
     needed = kinds.join(mixed, "gram").select(
         "gram", "one.*", (F.col("n") == 1).alias("single"), (F.col("variants") > most_variants).alias("hot")
     )
     touched = full.select("k1", "k2").unionByName(needed.select("k1", "k2")).distinct()
-    sources = stored(_first_of_key(keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text").join(touched, ["k1", "k2"])), "texts")
+    # at most a copy of a text per task is there; the grouping leaves one
+    sources = table.where("text is not null").select("k1", "k2", "text").join(touched, ["k1", "k2"])
+    sources = stored(sources.groupBy("k1", "k2").agg(F.first("text").alias("text")), "texts")
     wanted = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "first", "last", "anchor", "single", "hot")).alias("wanted"))
     cut = (
         sources.join(wanted, ["k1", "k2"])
@@ -269,22 +279,9 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
         "k1", "k2", F.col("end").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept"),
     )
-    return texts, removed.unionByName(gone)
-
-
-def _first_of_key(rows: DataFrame) -> DataFrame:
-    """One row per key where a task has several; keys were brought together by a join, unless it split a hot one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            new = []
-            for key in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()):
-                new.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(new, pa.bool_()))
-
-    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, text binary")
+    removed = stored(removed.unionByName(gone), "removed")
+    dropped(table, twice, spans, kinds, mixed, sources, cut)
+    return texts, removed
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
@@ -306,7 +303,7 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
             )
 
     return rows.select("gram", "k1", "k2", "first", "anchor", "single", "text").mapInArrow(
-        run, "gram long, k1 long, k2 long, start long, before long, single boolean, h1 long, h2 long"
+        tidied(run), "gram long, k1 long, k2 long, start long, before long, single boolean, h1 long, h2 long"
     )
 
 
@@ -334,33 +331,43 @@ def _cut_out(rows: DataFrame) -> DataFrame:
             )
 
     return rows.select("k1", "k2", "text", "ranges").mapInArrow(
-        run, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
+        tidied(run), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
 
 
-def removal_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_variants: int = MOST_VARIANTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
+def removal_digests(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_variants: int = MOST_VARIANTS, *, passage: int | None = None
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with ``passage``, another length, also
+    n_repeated: how many bytes strings of that length which repeat cover. They are not removed.
 
     Null and empty texts, and texts shorter than ``length``, keep all they have; repeated rows are copies of each
     other and lose everything from ``length`` bytes on; an empty table gives an empty result.
     """
     texts, removed = repeated_parts(docs, length, gram, most_variants)
-    return texts.join(removed.drop("kept"), ["k1", "k2"], "left").select(
+    rows, more = texts.join(removed.drop("kept"), ["k1", "k2"], "left"), []
+    if passage is not None:
+        _, shorter = repeated_parts(docs, passage, gram, most_variants)
+        rows = rows.join(shorter.select("k1", "k2", F.col("n_removed").alias("n_repeated")), ["k1", "k2"], "left")
+        more = [F.coalesce("n_repeated", F.lit(0)).alias("n_repeated")]
+    return rows.select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
+        *more,
     )
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_variants: int = MOST_VARIANTS) -> DataFrame:
-    """``docs`` with the repeated bytes gone from ``text``; all columns stay. A character of which a byte is removed
-    goes as a whole. Null texts stay null."""
+    """``docs`` with the repeated bytes gone from ``text``; all columns stay, whatever their names. A character of which a
+    byte is removed goes as a whole. Null texts stay null, empty ones and those shorter than ``length`` stay as they
+    are; of repeated rows all lose their text; an empty table gives an empty result."""
     _, removed = repeated_parts(docs, length, gram, most_variants)
-    text = F.coalesce(docs["text"], F.lit(""))
-    names = docs.columns
-    rows = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(7), text)})
-    kept = removed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("kept").alias("__kept"))
-    rows = rows.withColumn("__null", F.col("text").isNull())
-    return rows.join(kept, ["__k1", "__k2"], "left").withColumn("text", F.when(~F.col("__null"), F.coalesce("__kept", "text"))).select(*names)
+    text = docs["text"]
+    long = F.octet_length(text) >= length
+    rows = docs.where(long).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    cut = rows.join(removed.select("k1", "k2", "kept"), ["k1", "k2"], "left")
+    new = [F.coalesce("kept", "row.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return cut.select(*new).unionByName(docs.where(~F.coalesce(long, F.lit(False))))

@@ -17,10 +17,10 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrytext.llm.common import ALNUM_TABLE, fold, slices, text_rows
+from ferrytext.llm.common import ALNUM_TABLE, fold, slices, stored, text_rows, tidied
 
 
 @dataclass(frozen=True)
@@ -132,10 +132,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.rows_per_class)
+    # places of ids on a scale on which a label's bound is 64 steps; only the first 128 are counted, for both labels
+    totals = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    share = lambda n: F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)) * F.lit(64.0 * n / settings.rows_per_class)
+    ids = ids.withColumn("step", F.floor(F.when(F.col("toxic") == 1, share(totals.get(1, 0))).otherwise(share(totals.get(0, 0)))))
+    limit, held = {0: 0, 1: 0}, {0: 0, 1: 0}
+    for r in sorted(ids.where("step < 128").groupBy("toxic", "step").count().collect(), key=lambda r: r["step"]):
+        held[r["toxic"]] += r["count"]
+        if held[r["toxic"]] <= settings.rows_per_class:
+            limit[r["toxic"]] = r["step"] + 1
+    ids = ids.where(F.col("step") < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0]))
     half = F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string")).cast("binary")) % 2
-    rows = text_rows(docs).join(F.broadcast(ids.drop("nth")), "doc_id")
+    rows = text_rows(docs).join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id")
     return rows.select("text", "toxic", half.cast("int").alias("half"))
 
 
@@ -170,7 +178,7 @@ def learn_scores(sample: DataFrame, settings: Settings) -> list[dict[bytes, floa
     tokens. Those with the largest z over both halves come to the driver."""
     columns = ["c0", "c1", "t0", "t1"]
     counted = (
-        sample.mapInArrow(_token_counts, "key binary, c0 long, c1 long, t0 long, t1 long")
+        sample.mapInArrow(tidied(_token_counts), "key binary, c0 long, c1 long, t0 long, t1 long")
         .groupBy("key")
         .agg(*(F.sum(c).alias(c) for c in columns))
         .withColumn("level", F.substring("key", 1, 1))
@@ -202,19 +210,24 @@ def learn_scores(sample: DataFrame, settings: Settings) -> list[dict[bytes, floa
     return out
 
 
-def _fit_gumbel(positive: np.ndarray, sums: np.ndarray, words: int, neutral: float) -> tuple[float, float]:
+def _fit_gumbel(positive: dict[float, int], sums: dict[float, int], words: int, neutral: float) -> tuple[float, float]:
     """Rate and log K of the law of clean texts' best segments, P(best < x) = exp(-K words exp(-rate x)). The rate solves
-    mean(exp(rate * score)) = 1 over clean tokens (``positive`` scores, all others neutral); K follows from how many of
-    their segments reach the median sum."""
-    if not len(positive):
+    mean(exp(rate * score)) = 1 over clean tokens (``positive`` scores and how many there are, all others neutral); K follows
+    from how many of their segments (``sums`` and how many there are) reach the median sum."""
+    if not positive:
         return 1.0, -math.log(max(2, words))
+    scores, times = np.array(list(positive)), np.array(list(positive.values()))
     low, high = 1e-3, 8.0
     for _ in range(60):
         rate = (low + high) / 2
-        mean = (np.exp(np.minimum(rate * positive, 600)).sum() + (words - len(positive)) * math.exp(rate * neutral)) / words
+        mean = ((np.exp(np.minimum(rate * scores, 600)) * times).sum() + (words - times.sum()) * math.exp(rate * neutral)) / words
         low, high = (rate, high) if mean < 1 else (low, rate)
-    middle = float(np.median(sums))
-    return rate, math.log(int((sums >= middle).sum())) + rate * middle - math.log(words)
+    left, total = 0, sum(sums.values())
+    for middle in sorted(sums):
+        left += sums[middle]
+        if 2 * left >= total:
+            break
+    return rate, math.log(total - left + sums[middle]) + rate * middle - math.log(words)
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -232,9 +245,17 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learns from labelled rows of folds 1 to 4 of 5. Without rows of both labels every score is near 0."""
+    """Learns from labelled rows of folds 1 to 4 of 5. Without rows of both labels every score is near 0.
+
+    Null texts, labels and ids, repeated rows and labels, and texts of any length are taken as they are; an id that has
+    both labels counts as toxic. The driver gets at most ``features`` tokens, a row per distinct token score and rounded
+    sum, and a number per row of the bounded sample.
+    """
     sample = training_sample(docs, labels, settings)
     *halves, scores = learn_scores(sample, settings)
+    raw = Model(scores, settings.neutral)
+    if not scores:
+        return raw
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = [_Scores(halves[1], settings.neutral), _Scores(halves[0], settings.neutral)]
@@ -248,17 +269,19 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             lists = [pa.array(x, pa.list_(pa.float64())) for x in (sums, positive)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *lists, pa.array(sizes, pa.int64())], ["toxic", "sums", "positive", "words"])
 
-    # each half is scored with what the other half taught; at most 2 * rows_per_class rows
-    seen = sample.mapInArrow(best, "toxic int, sums array<double>, positive array<double>, words long").collect()
-    raw = Model(scores, settings.neutral)
-    if not scores or len({r["toxic"] for r in seen}) < 2:
+    # each half is scored with what the other half taught
+    seen = stored(sample.mapInArrow(tidied(best), "toxic int, sums array<double>, positive array<double>, words long"), "sample-scores")
+    clean = seen.where("toxic = 0")
+    times = lambda c, digits: {r[0]: r[1] for r in clean.select(F.explode(F.transform(c, lambda s: F.round(s, digits))).alias("s")).groupBy("s").count().collect()}
+    words = clean.agg(F.sum("words")).first()[0] or 0
+    rate, log_k = _fit_gumbel(times("positive", 3), times("sums", 1), max(1, words), settings.neutral)
+    floor = F.log(F.greatest(F.col("words"), F.lit(1))) + log_k
+    evidence = F.aggregate("sums", F.lit(0.0), lambda x, s: x + F.greatest(F.lit(0.0), s * rate - floor))
+    rows = seen.select("toxic", F.log1p(evidence).alias("x")).toArrow()
+    y = rows["toxic"].to_numpy().astype(float)
+    if len(set(y)) < 2:
         return raw
-    clean = [r for r in seen if r["toxic"] == 0]
-    flat = lambda k: np.array([s for r in clean for s in r[k]], float)
-    rate, log_k = _fit_gumbel(flat("positive"), flat("sums"), max(1, sum(r["words"] for r in clean)), settings.neutral)
-    floor = lambda r: log_k + math.log(r["words"] or 1)
-    x = np.array([math.log1p(sum(max(0.0, rate * s - floor(r)) for s in r["sums"])) for r in seen])
-    slope, intercept = _fit_logistic(x, np.array([float(r["toxic"]) for r in seen]))
+    slope, intercept = _fit_logistic(rows["x"].to_numpy(), y)
     return Model(scores, settings.neutral, rate, log_k, slope, intercept)
 
 
@@ -266,7 +289,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted (1 from score 0.5) and ``passages``: first word, word after the last, sum and
     significance of every significant segment.
 
-    Null and empty texts have no passage and the score of such texts. Repeated rows give repeated rows.
+    Null and empty texts have no passage and the score of such texts. Repeated rows give repeated rows, texts are
+    scanned whole, an empty table gives an empty result, and columns other than doc_id and text are ignored. Of segments
+    that tie, the scan reports all: they don't overlap.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.struct(
@@ -288,19 +313,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "predicted", "passages"])
 
     ddl = "doc_id bigint, score double, predicted int, passages array<struct<start:int,end:int,sum:double,significance:double>>"
-    return text_rows(docs).mapInArrow(run, ddl)
+    return text_rows(docs).mapInArrow(tidied(run), ddl)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text isn't predicted toxic. Null texts count as empty."""
+    """The rows of ``docs``, all columns, whose text isn't predicted toxic. Null texts count as empty; repeated rows stay or
+    go together. Only texts go to Python, and an answer per row comes back."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shipped.value
         lookup = _Scores(m.scores, m.neutral)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            clean = pa.array([m.score(m.passages(words_of(t or b""), lookup)) < 0.5 for t in texts], pa.bool_())
-            yield batch.filter(clean)
+        for part in texts:
+            yield pa.array([m.score(m.passages(words_of(t.as_buffer().to_pybytes()), lookup)) < 0.5 for t in part], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.coalesce(docs["text"], F.lit("")).cast("binary")))
