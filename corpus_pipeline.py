@@ -11,13 +11,23 @@ from ferrytext.llm.bpe import encode_decode
 from ferrytext.llm.common import documents, stored
 from ferrytext.llm.decontaminate import contamination
 from ferrytext.llm.simhash import near_duplicates
-from ferrytext.llm.suffix_dedup import without_repeats
+from ferrytext.llm.suffix_dedup import PASSAGE, without_repeats
+
+
+#: The stages share the executors' memory one after the other, so texts go to Python in batches of so many bytes, unless
+#: the session has a bound of its own.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the passage search doesn't predict as toxic; it learns from their labels. The stages share the
-    executors' memory one after the other, so texts go to Python in small batches from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Documents that the passage search doesn't predict as toxic; it learns from their labels. Null and empty texts stay,
+    repeated rows stay or go together, an empty table stays empty."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -29,7 +39,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints one row: that with the smallest id, of those with the same id the one with
     the fewest characters, then by hash. Rows of one id whose texts aren't linked are in groups of their own. A row
-    without an id can't be named, so it stays."""
+    without an id can't be named, so it stays. Null and empty texts are linked to each other like any texts; an empty table
+    stays empty."""
+    small_batches(spark)
     rows = keyed(docs)
     found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
     rank = F.struct("doc_id", "n_chars", F.xxhash64(*docs.columns).alias("hash"), "__row")
@@ -41,12 +53,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that occur again anywhere; ``n_chars`` follows the text."""
-    return without_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    """Texts without the bytes of strings of PASSAGE bytes, about fifty words, that occur again anywhere; ``n_chars`` follows
+    the text. All rows stay; null texts stay null, short and empty ones as they are, and texts of repeated rows lose all that
+    repeats."""
+    small_batches(spark)
+    return without_repeats(docs, PASSAGE).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark windows; each row by its own text."""
+    """Documents of which less than a twentieth of the words lies in benchmark windows; each row by its own text. Null and
+    empty texts stay, as do all where the benchmark is empty."""
+    small_batches(spark)
     rows = keyed(docs)
     found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("__row"))
@@ -54,7 +71,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the digests of the ids and of what they decode to."""
+    """Token ids of every text, with the digests of the ids and of what they decode to; null and empty texts have none."""
+    small_batches(spark)
     return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
