@@ -1,27 +1,27 @@
 """Language identification by cross-parsing entropy.
 
-Per language a suffix automaton is built over a bounded sample of labelled text. A text is cut greedily into
-longest matches (phrases) against each automaton; the language that needs the fewest phrases, normalised by text
-length and by the logarithm of the sample's length, wins. Texts are parsed in blocks of ``BLOCK`` symbols, all
-blocks and languages of a batch in step, as array operations. Work is per document: no shuffle.
+Per language a suffix automaton is built over a bounded sample of labelled text. A text is cut greedily into longest
+matches (phrases) against each automaton; the language that needs the fewest phrases, normalised by the logarithm of
+the sample's length, wins. Symbols are the UTF-8 bytes of lower-case letters, and a blank for anything else, so no
+letter of any alphabet is merged with another. All texts of a batch are parsed in step, as array operations, each from its
+first symbol to its last. Work is per document: no shuffle.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrytext.llm.common import fold, slices, text_rows
+from ferrytext.llm.common import fold, slices, text_rows, tidied, worker_copy
 
-BLOCK = 512
-#: Symbols: 0 fills blocks up, 1 is anything but a letter, 2 a letter that no sample has, then letters.
-FILL, BLANK, OTHER, FIRST = 0, 1, 2, 3
+#: The symbol of a byte that no sample has; all others are numbered from 1.
+OTHER = 0
+#: Texts of about so many bytes are parsed together.
+SLICE_BYTES = 8 << 20
 
 
 class SuffixAutomaton:
@@ -58,75 +58,82 @@ class SuffixAutomaton:
 class Parser:
     """Counts phrases of many texts against all languages. ``samples``: (language, text) pairs."""
 
-    def __init__(self, samples: tuple[tuple[str, str], ...], max_letters: int = 250) -> None:
-        letters = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
-        self.symbols = {c: i + FIRST for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:max_letters])}
-        self.by_char = np.full(0x110000, BLANK, np.uint8)
-        self.alpha = np.zeros(0x110000, bool)
+    def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
+        #: code points of letters to those of their lower-case forms, of all else to blanks
+        self.lower = np.full(0x110000, 32, np.uint32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
-                self.alpha[cp] = True
-                low = c.lower()
-                self.by_char[cp] = self.symbols.get(low, OTHER)
-        width = FIRST + len(self.symbols)
-        tables, self.roots, self.sizes, base = [], [], [], 0
-        for _, text in samples:
-            coded = self.code(text)
-            automaton = SuffixAutomaton(coded.tolist())
-            table = np.full((len(automaton.next), width), -1, np.int64)
+                self.lower[cp] = ord(low) if len(low := c.lower()) == 1 else cp
+        coded = [self.data(text)[0] for _, text in samples]
+        used = sorted(set().union(*coded))
+        self.symbol = np.full(256, OTHER, np.uint8)
+        self.symbol[used] = np.arange(1, len(used) + 1)
+        width, tables, self.roots, self.sizes, base = len(used) + 1, [], [], [], 0
+        for data in coded:
+            symbols = self.symbol[np.frombuffer(data, np.uint8)].tolist()
+            automaton = SuffixAutomaton(symbols)
+            dead = len(automaton.next)  # after a symbol that the sample lacks, which is a phrase of its own
+            table = np.full((dead + 1, width), -1, np.int64)
             for state, go in enumerate(automaton.next):
                 for symbol, to in go.items():
                     table[state, symbol] = to
-            # where the match ends, the next phrase starts with this symbol: ~target marks the end of a phrase
-            fresh = np.maximum(table[0], 0)
+            # where a match ends, the next phrase starts with this symbol: ~target marks the end of a phrase
+            fresh = np.where(table[0] < 0, dead, table[0])
             table = np.where(table < 0, ~((base + fresh) * width), (base + table) * width)
-            table[:, FILL] = (base + np.arange(len(table))) * width
+            table[0] = (base + fresh) * width  # only a text's first symbol is read here
             tables.append(table)
             self.roots.append(base * width)
-            self.sizes.append(max(2, len(coded)))
+            self.sizes.append(max(2, len(symbols)))
             base += len(table)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        kind = np.int32 if base * width < 1 << 31 else np.int64
+        self.table = np.concatenate(tables).astype(kind).ravel() if tables else np.zeros(0, kind)
 
-    def code(self, text: str) -> np.ndarray:
-        return self.by_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    def data(self, text: str) -> tuple[bytes, bool]:
+        """The bytes that are parsed, and whether the text has a letter."""
+        points = self.lower[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        return points.tobytes().decode("utf-32-le").encode(), bool((points != 32).any())
+
+    def code(self, data: bytes) -> np.ndarray:
+        return self.symbol[np.frombuffer(data, np.uint8)]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each coded text (rows) in each language (columns)."""
-        blocks = [max(1, -(-len(t) // BLOCK)) for t in texts]
-        first = np.cumsum([0, *blocks])
-        lanes = np.zeros((first[-1], BLOCK), np.uint8)
-        flat = lanes.reshape(-1)
-        for t, at in zip(texts, first):
-            flat[at * BLOCK : at * BLOCK + len(t)] = t
-        steps = np.ascontiguousarray(lanes.T).astype(np.int32)
-        n, k = len(lanes), len(self.roots)
-        state = np.repeat(np.array(self.roots, np.int32), n).reshape(k, n)
-        ended = np.zeros((k, n), np.int32)
-        for symbols in steps:
-            to = self.table.take(state + symbols)
-            sign = to >> 31
-            ended -= sign
-            state = to ^ sign
-        ended += lanes[:, 0] != FILL  # the last phrase
-        return np.add.reduceat(ended, first[:-1], axis=1).T
-
-
-@lru_cache(maxsize=2)
-def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(samples)
-
-
-def training_sample(
-    docs: DataFrame, *, rows_per_language: int = 64, chars_per_row: int = 1_000, symbols_per_language: int = 20_000
-) -> tuple[tuple[str, str], ...]:
-    """(language, text) pairs from folds 0 and 2 of 3 with a language and a text: of each language the rows of the
-    lowest id hashes, as many as are allowed. Bounded by the three parameters; each task keeps no more rows."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.uint8)
+        starts = np.cumsum(sizes[order]) - sizes[order]
+        kind = self.table.dtype
+        state = np.tile(np.array(self.roots, kind), (len(texts), 1))
+        ended = np.zeros(state.shape, np.int64)
+        at, sign = 0, 8 * kind.itemsize - 1
+        for end in np.unique(sizes):  # so many symbols the texts that are left have at least
+            n = int((sizes >= end).sum())
+            mine, now, count = starts[:n], state[:n], ended[:n]
+            for t in range(at, int(end)):
+                to = self.table.take(now + flat.take(mine + t)[:, None], mode="clip")
+                over = to >> sign
+                count -= over
+                np.bitwise_xor(to, over, out=now)
+            at = int(end)
+        ended += (sizes[order] > 0)[:, None]  # the last phrase
+        out = np.empty_like(ended)
+        out[order] = ended
+        return out
+
+
+def training_sample(docs: DataFrame, *, rows_per_language: int = 64, chars_per_row: int = 312) -> tuple[tuple[str, str], ...]:
+    """(language, text) pairs from folds 0 and 2 of 3 with a language and a text: of each language the rows of the lowest
+    id hashes, at most ``rows_per_language``, and of each a piece of at most ``chars_per_row`` characters from a place chosen
+    by hash. This bounds the automata; each task keeps no more rows. Rows without a letter, a language or a text are
+    passed over; of rows that tie any may be taken; without labelled rows the result is empty."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    room = F.greatest(F.lit(0), F.length("text") - chars_per_row)
+    piece = F.substring(F.col("text"), (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), room + 1)).cast("int"), F.lit(chars_per_row))
     rows = (
         docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"))
         .where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1) & F.col("text").rlike(r"\p{L}"))
-        .select("lang", "doc_id", F.substring("text", 1, chars_per_row).alias("text"))
+        .select("lang", "doc_id", piece.alias("text"))
         .withColumn("nth", F.row_number().over(order))
         .where(F.col("nth") <= rows_per_language)
         .collect()
@@ -134,30 +141,31 @@ def training_sample(
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["nth"])):
         out.setdefault(r["lang"], []).append(r["text"])
-    return tuple((lang, "\n".join(texts)[:symbols_per_language]) for lang, texts in out.items())
+    return tuple((lang, "\n".join(texts)) for lang, texts in out.items())
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame:
     """doc_id, lang_pred, score (1 - best / second of the normalised phrase counts; 1 if one language is known) and
     phrases per symbol of the best language.
 
-    ``und`` with score 0 for null texts, texts without a letter and where no language is known. Ties go to the
-    language that sorts first. Repeated rows give repeated rows.
+    ``und`` with score 0 for null and empty texts, texts without a letter and where no language is known. Ties go to the
+    language that sorts first. Texts are parsed whole; repeated rows give repeated rows; an empty table gives an empty
+    result; columns other than doc_id and text are ignored.
     """
     samples = tuple(sorted(samples))
     shipped = docs.sparkSession.sparkContext.broadcast(samples)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("phrases_per_symbol", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(shipped.value)
+        parser: Parser = worker_copy(Parser, shipped.value)
         names = [x for x, _ in shipped.value]
         scale = np.log2(parser.sizes)
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, SLICE_BYTES):
             coded, letters = [], []
-            for text in batch.column("text").to_pylist():
-                points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-                letters.append(bool(parser.alpha[points].any()))
-                coded.append(parser.by_char[points])
+            for text in batch.column("text"):
+                data, has_letter = parser.data(text.as_buffer().to_pybytes().decode("utf-8", "replace"))
+                letters.append(has_letter)
+                coded.append(parser.code(data))
             langs, scores, rates = ["und"] * len(coded), [0.0] * len(coded), [None] * len(coded)
             if names:
                 cost = parser.phrases(coded) * scale
@@ -172,4 +180,4 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame
                 [batch.column("doc_id"), pa.array(langs), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], schema=schema
             )
 
-    return text_rows(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double, phrases_per_symbol double")
+    return text_rows(docs).mapInArrow(tidied(run), "doc_id bigint, lang_pred string, score double, phrases_per_symbol double")
