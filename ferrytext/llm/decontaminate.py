@@ -20,7 +20,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrytext.llm.common import ALNUM_TABLE, slices, stored, text_rows
+from ferrytext.llm.common import ALNUM_TABLE, slices, stored, text_rows, tidied
 
 WINDOW = 13
 BLOCK_BYTES = 6 << 20
@@ -88,7 +88,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, block_byte
                 schema=_INDEX,
             )
 
-    index = text_rows(docs).mapInArrow(run, INDEX_SCHEMA)
+    index = text_rows(docs).mapInArrow(tidied(run), INDEX_SCHEMA)
     if joined is not None:
         index = stored(index, "index")  # block numbers come from partitions, so it is made once
         kept = index.where("term is not null").join(joined, "term", "left_semi")
@@ -139,19 +139,38 @@ class Searcher:
             else:
                 yield at, len(phrase), owners
 
-    def near(self, postings: dict[bytes, np.ndarray], terms: int = 4) -> Iterator[tuple[np.ndarray, int]]:
-        """(positions of its rarest word, item) where the item's rarest words, ``terms`` at most, all stand within
-        the item's length of it, in any order."""
+    def near(self, postings: dict[bytes, np.ndarray], starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(document, item) where as many words in a row as the item has, all of the document, hold each of the item's words, in
+        any order. Candidates are places of the rarest word that have all others near enough in their document."""
         for i, words in enumerate(self.words):
-            lists = sorted((postings.get(w) for w in words), key=lambda x: 0 if x is None else len(x))[:terms]
+            lists = [postings.get(w) for w in words]
             if any(x is None for x in lists):
                 continue
-            at = lists[0]
+            lists.sort(key=len)
+            at, span = lists[0].astype(np.int64), self.spans[i]
+            doc = np.searchsorted(starts, at, "right") - 1
+            low, high = np.maximum(starts[doc], at - span + 1), np.minimum(starts[doc + 1] - 1, at + span)
             for other in lists[1:]:
-                j = np.searchsorted(other, at - self.spans[i])
-                at = at[(j < len(other)) & (other[np.minimum(j, len(other) - 1)] <= at + self.spans[i])]
-            if len(at):
-                yield at, i
+                j = np.searchsorted(other, low)
+                ok = (j < len(other)) & (other[np.minimum(j, len(other) - 1)] < high)
+                at, doc, low, high = at[ok], doc[ok], low[ok], high[ok]
+                if not len(at):
+                    break
+            found = -1
+            for p, d, a, b in zip(at.tolist(), doc.tolist(), low.tolist(), high.tolist()):
+                if d != found and _together(lists, np.arange(a, p + 1), span, b):
+                    found = d
+                    yield d, i
+
+
+def _together(lists: list[np.ndarray], first: np.ndarray, span: int, end: int) -> bool:
+    """Whether from one of the places ``first`` on, ``span`` places hold one of each list, all before ``end``."""
+    last = np.minimum(first + span, end)
+    ok = np.ones(len(first), bool)
+    for x in lists:
+        j = np.searchsorted(x, first)
+        ok &= (j < len(x)) & (x[np.minimum(j, len(x) - 1)] < last)
+    return bool(ok.any())
 
 
 def _member(values: np.ndarray, within: np.ndarray) -> np.ndarray:
@@ -188,9 +207,8 @@ def _search_block(table: pa.Table, searcher: Searcher, proximity: bool) -> pa.Ta
         np.add.at(edge, at + length, -1)
         for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
             items[d] |= owners
-    for at, i in searcher.near(postings) if proximity else ():
-        for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
-            near[d].add(i)
+    for d, i in searcher.near(postings, starts) if proximity else ():
+        near[d].add(i)
     change = np.diff(np.cumsum(edge) > 0, prepend=False, append=False)
     bounds = np.flatnonzero(change).reshape(-1, 2)
     hits = defaultdict(list)
@@ -223,7 +241,7 @@ def search(
     index: DataFrame, items: DataFrame, *, window: int = WINDOW, proximity: bool = True
 ) -> tuple[DataFrame, int]:
     """For every document of the index and chunk of the benchmark: the hit runs of words, the items of which a
-    window occurs and, with ``proximity``, the items whose rarest words stand close together.
+    window occurs and, with ``proximity``, the items whose words all stand within as many words as the item has.
 
     ``items``: item_id and words. A benchmark over CHUNK_BYTES is taken in chunks by hash of the item; the rows of
     one document (same block and nth) from several chunks are to be merged, as ``contamination`` does. Returns the
@@ -244,47 +262,44 @@ def search(
     return out, max(1, chunks)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document, by windows of 13 words.
+def contamination(docs: DataFrame, benchmark: DataFrame, *, proximity: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per document, by windows of 13 words; with ``proximity``
+    also n_near, the items whose words all stand within as many words as the item has.
 
     Null and empty texts have no words and are clean; an item without words is never found; a null item_id counts
-    as an item without a name; repeated rows give repeated rows.
+    as an item without a name, and items of one name as one; repeated rows give repeated rows; an empty table of documents
+    gives an empty result and an empty benchmark finds nothing; columns other than the id and text are ignored. A text larger
+    than a block is a block of its own.
     """
     items = benchmark_words(benchmark)
     index = build_index(docs, items.select(F.explode("words")))
-    found, chunks = search(index, items, proximity=False)
+    found, chunks = search(index, items, proximity=proximity)
     if chunks > 1:
         found = found.groupBy("block", "nth").agg(
             F.first("doc_id").alias("doc_id"),
             F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("hits")).alias("hits"),
-            F.flatten(F.collect_list("items")).alias("items"),
+            *(F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "near")),
         )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for n_words, hits, items in zip(*(batch.column(c).to_pylist() for c in ("n_words", "hits", "items"))):
-                n_hit, end = 0, 0
-                for h in sorted(hits, key=lambda h: h["start"]):
-                    n_hit += max(0, h["end"] - max(end, h["start"]))
-                    end = max(end, h["end"])
-                ids = sorted({x or "" for x in items})
-                digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
-                out.append((n_hit, len(ids), digest, n_hit > 0 and 20 * n_hit >= n_words))
-            arrays = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), *arrays],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return found.select("doc_id", "n_words", "hits", "items").mapInArrow(
-        run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    zero, names = F.lit(0).cast("long"), lambda c: F.array_distinct(F.transform(c, lambda x: F.coalesce(x, F.lit(""))))
+    more = lambda so_far, h: F.struct(  # noqa: E731  runs of several chunks may overlap
+        (so_far["n"] + F.greatest(zero, h["end"] - F.greatest(so_far["end"], h["start"]))).alias("n"),
+        F.greatest(so_far["end"], h["end"]).alias("end"),
+    )
+    n_hit = F.aggregate(F.array_sort("hits"), F.struct(zero.alias("n"), zero.alias("end")), more)["n"]
+    rows = found.select("doc_id", "n_words", n_hit.alias("n_hit"), names("items").alias("items"), names("near").alias("near"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        *([F.size("near").cast("long").alias("n_near")] if proximity else []),
     )
 
 
 def oracle(window: int = WINDOW) -> str:
-    """The rows of ``contamination`` in DuckDB SQL."""
+    """The rows of ``contamination`` with ``proximity`` in DuckDB SQL."""
     words = lambda text: (
         f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
         " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -301,8 +316,18 @@ def oracle(window: int = WINDOW) -> str:
       FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bl))),
     found AS (SELECT rid, i, n, item FROM places JOIN phrases USING (n, phrase)),
     hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM found) GROUP BY rid),
-    its AS (SELECT rid, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY rid)
+    its AS (SELECT rid, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY rid),
+    pairs AS (SELECT rid, item, d.w AS w, need, n FROM d JOIN (SELECT item, list_distinct(w) AS need, len(w) AS n FROM bl) ON list_has_all(d.w, need)),
+    spots AS (
+      SELECT rid, item, n, need, i, word FROM (SELECT rid, item, n, need, unnest(w) AS word, unnest(range(len(w))) AS i FROM pairs)
+      WHERE list_contains(need, word)),
+    runs AS (
+      SELECT a.rid, a.item FROM spots a JOIN spots b ON a.rid = b.rid AND a.item IS NOT DISTINCT FROM b.item AND a.need = b.need
+        AND a.n = b.n AND b.i BETWEEN a.i AND a.i + a.n - 1
+      GROUP BY a.rid, a.item, a.need, a.n, a.i HAVING count(DISTINCT b.word) = len(a.need)),
+    near AS (SELECT rid, count(DISTINCT coalesce(item, '')) AS n_near FROM runs GROUP BY rid)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
       coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
-      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-    FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
+      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+      coalesce(n_near, 0)::BIGINT AS n_near
+    FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid) LEFT JOIN near USING (rid)"""

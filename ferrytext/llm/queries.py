@@ -13,7 +13,7 @@ from ferrytext.llm.license_scan import scan_licenses
 from ferrytext.llm.lm_score import score_texts
 from ferrytext.llm.media import text_media_digests
 from ferrytext.llm.simhash import near_duplicates
-from ferrytext.llm.suffix_dedup import removal_digests
+from ferrytext.llm.suffix_dedup import PASSAGE, removal_digests
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal_digests(documents(spark, sf_dir))
+    return removal_digests(documents(spark, sf_dir), passage=PASSAGE)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), proximity=True)
 
 
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
