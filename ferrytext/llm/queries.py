@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytext.llm import decontaminate, langid, sharding, toxicity
+from ferrytext.llm import decontaminate, fill_in_middle, langid, sharding, toxicity
 from ferrytext.llm.bpe import encode_decode
 from ferrytext.llm.common import documents, fold
 from ferrytext.llm.license_scan import scan_licenses
@@ -82,6 +82,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_lm_score": op2_lm_score,
@@ -93,6 +107,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_shard": op9_shard,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-ORACLE_SQL = {"op8_decontaminate": decontaminate.oracle(), "op9_shard": sharding.oracle(8)}
+ORACLE_SQL = {"op8_decontaminate": decontaminate.oracle(), "op9_shard": sharding.oracle(8), "op11_fill_in_middle": fill_in_middle.oracle()}
