@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytext.llm import decontaminate, fill_in_middle, langid, sharding, toxicity
+from ferrytext.llm import decontaminate, fill_in_middle, fingerprints, langid, sharding, toxicity
 from ferrytext.llm.bpe import encode_decode
 from ferrytext.llm.common import documents, fold
 from ferrytext.llm.license_scan import scan_licenses
@@ -96,6 +96,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_fingerprints(documents(spark, sf_dir))
+    return found.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_lm_score": op2_lm_score,
@@ -108,6 +113,7 @@ QUERIES = {
     "op9_shard": op9_shard,
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 ORACLE_SQL = {"op8_decontaminate": decontaminate.oracle(), "op9_shard": sharding.oracle(8), "op11_fill_in_middle": fill_in_middle.oracle()}
