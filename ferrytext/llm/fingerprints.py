@@ -25,7 +25,7 @@ from ferrytext.llm.common import slices, tidied, worker_copy
 PRIME_BITS = 31
 PRIME = np.uint64((1 << PRIME_BITS) - 1)
 BASES = 1_203_787_381, 1_889_162_053
-GRAM = 24
+GRAM = 12
 SLOT_BITS = 7
 SLOTS = 1 << SLOT_BITS
 #: Code points whose arrays are held at once, and bytes of text that go to Python in one piece.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrytext.llm import decontaminate, fill_in_middle, fingerprints, langid, sharding, toxicity
+from ferrytext.llm import decontaminate, fill_in_middle, fingerprints, langid, merkle, sharding, toxicity
 from ferrytext.llm.bpe import encode_decode
 from ferrytext.llm.common import documents, fold
 from ferrytext.llm.license_scan import scan_licenses
@@ -101,6 +101,13 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(documents(spark, sf_dir), altered=fold(F.col("doc_id"), 7) == 0)
+    back = merkle.folded(F.coalesce("other_leaf", "leaf"), F.col("path"))
+    rows = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), back.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_lm_score": op2_lm_score,
@@ -114,6 +121,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_fingerprints": op12_fingerprints,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLE_SQL = {"op8_decontaminate": decontaminate.oracle(), "op9_shard": sharding.oracle(8), "op11_fill_in_middle": fill_in_middle.oracle()}
+ORACLE_SQL = {"op8_decontaminate": decontaminate.oracle(), "op9_shard": sharding.oracle(8), "op11_fill_in_middle": fill_in_middle.oracle(), "op13_merkle": merkle.oracle()}
