@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrytext.llm.common import ALNUM_TABLE, fold, slices, stored, text_rows, tidied
+from ferrytext.llm.common import ALNUM_TABLE, dropped, fold, slices, stored, text_rows, tidied
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
     """text (binary), toxic and half (0 or 1, by hash) of at most rows_per_class documents per label, the lowest
     by hash of the id among the labelled rows of folds 1 to 4 of 5.
 
-    The chosen ids are at most 2 * rows_per_class rows, so they are broadcast and texts aren't shuffled.
+    The chosen ids are at most 2 * rows_per_class rows, so they are broadcast. Of an id that many rows have, one row is taken,
+    that with the lowest hash of its text: the bound is on rows, and no id outweighs others.
     """
     ids = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
@@ -144,7 +145,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
     ids = ids.where(F.col("step") < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0]))
     half = F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string")).cast("binary")) % 2
     rows = text_rows(docs).join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id")
-    return rows.select("text", "toxic", half.cast("int").alias("half"))
+    first = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    return first.select(F.col("row.text").alias("text"), "toxic", half.cast("int").alias("half"))
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +253,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     both labels counts as toxic. The driver gets at most ``features`` tokens, a row per distinct token score and rounded
     sum, and a number per row of the bounded sample.
     """
-    sample = training_sample(docs, labels, settings)
+    sample = stored(training_sample(docs, labels, settings), "sample")
     *halves, scores = learn_scores(sample, settings)
     raw = Model(scores, settings.neutral)
     if not scores:
+        dropped(sample)
         return raw
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     floor = F.log(F.greatest(F.col("words"), F.lit(1))) + log_k
     evidence = F.aggregate("sums", F.lit(0.0), lambda x, s: x + F.greatest(F.lit(0.0), s * rate - floor))
     rows = seen.select("toxic", F.log1p(evidence).alias("x")).toArrow()
+    dropped(sample, seen)
     y = rows["toxic"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return raw
