@@ -1,7 +1,7 @@
 """Hilbert-curve sharding with DataFrame functions only.
 
 Each row gets three small coordinates (size on a log scale, source, language), their index on a Hilbert curve,
-and a place in the order (index, sub-bucket of the id, id). Runs of that order with row counts at most one apart are the
+and a place in the order (index, sub-bucket of a hash of the row, row). Runs of that order with row counts at most one apart are the
 shards, so a shard's files cover a compact part of all three dimensions. The order is global, yet no task sorts
 more than a sub-bucket: places come from counts per cell and sub-bucket.
 """
@@ -17,6 +17,8 @@ BITS = 4
 SIDE = 1 << BITS
 #: Rows that a sub-bucket of a cell should hold at most; a cell of a third of all rows has many sub-buckets.
 BUCKET_ROWS = 250_000
+#: Equal rows that one task makes of their number at a time.
+EQUAL_ROWS = 100_000
 
 
 def hilbert_steps() -> list[tuple[str, str]]:
@@ -78,9 +80,10 @@ def coordinates(size: Column, source: Column, lang: Column) -> list[Column]:
 def hilbert_shards(docs: DataFrame, shards: int = 8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null) and h, the curve's index.
 
-    Shards are runs of the order (h, crc32 of the id, id, size, text_crc32); the first (rows mod shards) have a row more.
-    Slots count from 0 in each shard. Null ids come first in their sub-bucket; equal rows get slots next to each
-    other; an empty table gives an empty result. Columns other than doc_id, text, source and lang are ignored.
+    Shards are runs of the order (h, spread, id, size, text_crc32), spread being the crc32 of the last three; the first (rows mod
+    shards) have a row more. Slots count from 0 in each shard. Rows without an id and rows of one id are spread by their texts; rows
+    equal in all three count as one with a number until they have got their slots, next to each other. Texts of any length are read
+    once where they lie; an empty table gives an empty result. Columns other than doc_id, text, source and lang are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs["text"], F.lit(""))
@@ -91,8 +94,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bucket_rows: int = BUCKET_R
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         (x * SIDE * SIDE + y * SIDE + z).alias("cell"),
-        F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")).alias("spread"),
     )
+    rows = rows.withColumn("spread", F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32").cast("binary")))
     rows = stored(rows, "shard-keys")  # small: texts are read once
     total = rows.count()
     parts = 1
@@ -112,9 +115,16 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bucket_rows: int = BUCKET_R
         .join(F.broadcast(cells), "cell")
         .select("cell", "bucket", "h", (F.col("cell_first") + F.col("bucket_first")).alias("first"))
     )
-    nth = F.row_number().over(Window.partitionBy("cell", "bucket").orderBy("spread", "doc_id", "size", "text_crc32")) - 1
-    placed = rows.withColumn("nth", nth).join(firsts, ["cell", "bucket"])
-    place = F.col("first") + F.col("nth")
+    alike = rows.groupBy("cell", "bucket", "spread", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("cell", "bucket").orderBy("spread", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.withColumn("nth", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # numbers over EQUAL_ROWS are cut, and the pieces dealt to all tasks, before rows are made of them
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(EQUAL_ROWS).cast("long")))
+    many = alike.where(F.col("n") > EQUAL_ROWS).withColumn("from", every).withColumn("nth", F.col("nth") + F.col("from"))
+    many = many.withColumn("n", F.least(F.lit(EQUAL_ROWS), F.col("n") - F.col("from"))).repartition("cell", "nth").drop("from")
+    alike = alike.where(F.col("n") <= EQUAL_ROWS).unionByName(many)
+    placed = alike.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).join(firsts, ["cell", "bucket"])
+    place = F.col("first") + F.col("nth") + F.col("copy")
     low, more = divmod(total, shards)
     long_rows = more * (low + 1)
     in_long = place < long_rows
@@ -152,10 +162,11 @@ def oracle(shards: int = 8) -> str:
     """The rows of ``hilbert_shards`` in DuckDB SQL."""
     keys = f"""
     SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32,
-      {_crc32_sql("coalesce(doc_id::VARCHAR, '')")} AS spread,
       {_crc32_sql("coalesce(source, '')")} % {SIDE} AS y, {_crc32_sql("coalesce(lang, '')")} % {SIDE} AS z
     FROM documents"""
-    ctes = [f"keys AS ({keys})"]
+    ctes = [f"bare AS ({keys})"]
+    own = "coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32"
+    ctes.append(f"keys AS (SELECT *, {_crc32_sql(own)} AS spread FROM bare)")
     ctes.append(f"s0 AS (SELECT *, greatest(0, least({SIDE - 1}, floor(log2(size) * 2)::BIGINT - 16)) AS x, 0::BIGINT AS t FROM keys)")
     for i, (name, sql) in enumerate(hilbert_steps()):
         have = f"* REPLACE ({sql} AS {name})" if name != "h" else f"*, {sql} AS h"
