@@ -142,6 +142,31 @@ def test_language_model(docs, none):
     assert score_texts(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_language_model_scores_depend_on_no_partitioning(spark, docs):
+    def scores(parts):
+        rows = RNG.sample(ROWS, len(ROWS))
+        got = score_texts(spark.createDataFrame(rows, SCHEMA).repartition(parts), RANKS, P.PATTERN).collect()
+        return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["base_score"], r["score"]) for r in got)
+
+    first = scores(1)
+    assert first == scores(3) == scores(7)
+
+
+def test_a_windows_score_depends_on_no_other_window():
+    rng = np.random.default_rng(5)
+    windows = rng.integers(0, 60, (400, attention.WINDOW + 1))
+    follows = rng.integers(0, 9, (61, attention.CLASSES))
+    pairs = tuple(np.zeros(0, np.int64) for _ in range(3))
+    model = attention.AttentionModel(np.arange(61) + 1, np.arange(61) % attention.CLASSES, follows, pairs, windows, steps=20)
+    texts = [rng.integers(0, 60, n) for n in (5, 31, 400, 9, 1)]
+    alone = [model.log10(t, np.array([len(t)]))[0] for t in texts]
+    for n in (0, 3, 64, 501):
+        others = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(n)]
+        every = others + texts + others[:7]
+        got = model.log10(np.concatenate(every), np.array(list(map(len, every))))
+        assert got[n : n + len(texts)].tolist() == alone
+
+
 def test_subwords_of_a_word_depend_on_the_word_alone():
     subwords = lm_score.Subwords(RANKS, P.PATTERN)
     words = ["the", "\u00a0", "\u00a0x\u00a0", "a" * 1_500, "été", "(x).", "\u2003", "中文字", "the", "12345", "é" * 700]
@@ -474,6 +499,18 @@ def test_shards(docs, none):
     assert sharding.hilbert_shards(none).count() == 0
 
 
+def test_shards_of_rows_that_are_equal_or_have_no_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL_ROWS", 7)
+    rows = [(None, "same", "a", "en")] * 50 + [(3, f"t{i % 9}", "a", "en") for i in range(40)] + [(None, f"u{i}", None, None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    got = sharding.hilbert_shards(docs, 8, bucket_rows=10).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(t) + 1, zlib.crc32(t.encode())) for i, t, _, _ in rows)
+    key = lambda r: (r["h"], zlib.crc32(f"{'' if r['doc_id'] is None else r['doc_id']}:{r['size']}:{r['text_crc32']}".encode()), r["doc_id"] or -1, r["size"], r["text_crc32"])
+    placed = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [key(r) for r in placed] == sorted(map(key, got))
+    assert [(r["shard"], r["slot"]) for r in placed] == [(s, n) for s in range(8) for n in range(15)]
+
+
 def test_curve_visits_neighbours(spark):
     cells = {r["h"]: r["cell"] for r in sharding.curve(spark).collect()}
     assert sorted(cells) == list(range(4096))
@@ -526,6 +563,16 @@ def test_sample_of_labelled_rows_is_bounded(spark):
     assert all_rows == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(4_000))
 
 
+def test_toxicity_takes_one_row_of_an_id(spark):
+    docs = spark.range(20_000).selectExpr("id % 10 doc_id", "concat('text ', id % 3000) text").repartition(4)
+    labels = spark.range(10).selectExpr("id doc_id", "cast(id % 2 as int) toxic")
+    rows = toxicity.training_sample(docs, labels, toxicity.Settings(rows_per_class=5)).collect()
+    taught = [i for i in range(10) if zlib.crc32(str(i).encode()) % 5]
+    assert Counter(r["toxic"] for r in rows) == Counter(i % 2 for i in taught)
+    again = toxicity.training_sample(docs.repartition(7), labels, toxicity.Settings(rows_per_class=5)).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
 def test_toxicity(spark, docs, none):
     rows = [(i, sentence(40) + (" vile scum fool" * 2 if i % 5 == 0 else ""), i % 5 == 0) for i in range(400)]
     known = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")

@@ -60,3 +60,27 @@ def test_rows_with_null_or_repeated_ids_are_judged_by_themselves(spark, tmp_path
     rows = [(5, clean[0]), (5, clean[1]), (7, clean[1]), (3, clean[2]), (5, clean[2]), (8, clean[5]), (8, clean[5]), (None, clean[6]), (None, clean[7])]
     want = [(5, clean[0]), (5, clean[1]), (3, clean[2]), (8, clean[5]), (-1, clean[6]), (-1, clean[7])]
     assert left(corpus_pipeline.drop_near_duplicates, rows) == sorted(want)
+
+
+def test_other_columns_of_any_name_and_null_ids_stay_whole(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row long, nth long, row string, `a.b` int"
+    text = "one two three four five six seven eight"
+    rows = [(None, text, None, None, None, 777, 1, "x", 4), (None, text, "en", "s", 39, 888, 2, "y", 5), (1, text, "en", "s", 39, 999, 3, "z", 6)]
+    rows += [(None, "quite other words stand here and nowhere else", None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[2:], key=str)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect()), key=str) == sorted(rows, key=str)
+    only_null = corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id is null"), str(tmp_path))
+    assert only_null.where("text like 'one%'").count() == 1
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
