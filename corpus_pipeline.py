@@ -20,6 +20,7 @@ BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH where it is unset. It stays set: a stage's plan runs after the stage has returned."""
     if spark.conf.get(BATCH[0], None) is None:
         spark.conf.set(*BATCH)
 
@@ -32,24 +33,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for every row, as ids may be null or repeated; stored, so that it stays."""
-    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """``row``, a struct of all columns of ``docs``, whatever their names, and ``nth``, a number of its own for every row, as ids
+    may be null or repeated; stored, so that it stays."""
+    return stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("nth")), "rows")
+
+
+def numbered_texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("nth").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints one row: that with the smallest id, of those with the same id the one with
-    the fewest characters, then by hash. Rows of one id whose texts aren't linked are in groups of their own. A row
-    without an id can't be named, so it stays. Null and empty texts are linked to each other like any texts; an empty table
-    stays empty."""
+    the fewest characters, then by hash of the id, text, language and source; a row without an id stays only where no row of its
+    group has one. Rows of one id whose texts aren't linked are in groups of their own. Null and empty texts are linked to each
+    other like any texts; an empty table stays empty; other columns, of any name, stay as they are."""
     small_batches(spark)
     rows = keyed(docs)
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
-    rank = F.struct("doc_id", "n_chars", F.xxhash64(*docs.columns).alias("hash"), "__row")
-    ranks = rows.where("doc_id is not null").select("__row", rank.alias("rank"))
-    groups = found.select(F.col("doc_id").alias("__row"), "component_id").join(ranks, "__row").groupBy("component_id")
-    first = groups.agg(F.min("rank").alias("rank")).select("rank.__row")
-    kept = rows.where("doc_id is not null").join(first, "__row", "left_semi")
-    return kept.unionByName(rows.where("doc_id is null")).select(*docs.columns)
+    found = near_duplicates(numbered_texts(rows))
+    of_row = lambda *names: [F.col(f"row.{n}") for n in names]
+    rank = F.struct(F.col("row.doc_id").isNull(), *of_row("doc_id", "n_chars"), F.xxhash64(*of_row("doc_id", "text", "lang", "source")), "nth")
+    ranks = rows.select("nth", rank.alias("rank"))
+    groups = found.select(F.col("doc_id").alias("nth"), "component_id").join(ranks, "nth").groupBy("component_id")
+    first = groups.agg(F.min("rank").alias("rank")).select("rank.nth")
+    return rows.join(first, "nth", "left_semi").select("row.*")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,16 +68,18 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark windows; each row by its own text. Null and
-    empty texts stay, as do all where the benchmark is empty."""
+    empty texts stay, as do all where the benchmark is empty; an empty table stays empty; other columns, of any name, stay as
+    they are."""
     small_batches(spark)
     rows = keyed(docs)
-    found = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__row"))
-    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+    found = contamination(numbered_texts(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("nth"))
+    return rows.join(bad, "nth", "left_anti").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the digests of the ids and of what they decode to; null and empty texts have none."""
+    """Token ids of every text, with the digests of the ids and of what they decode to; null and empty texts have none. Repeated
+    rows are coded each, texts of any length whole, an empty table stays empty."""
     small_batches(spark)
     return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
