@@ -29,15 +29,15 @@ GRAM = 12
 SLOT_BITS = 7
 SLOTS = 1 << SLOT_BITS
 #: Code points whose arrays are held at once, and bytes of text that go to Python in one piece.
-BLOCK = 1 << 17
+BLOCK = 1 << 14
 PIECE = 4 << 20
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
     """``x`` modulo PRIME, for x below 2^62."""
-    bits = np.uint64(PRIME_BITS)
-    x = (x & PRIME) + (x >> bits)
-    return np.where(x >= PRIME, x - PRIME, x)
+    high = x >> np.uint64(PRIME_BITS)
+    high += x & PRIME
+    return np.minimum(high, high - PRIME)  # below PRIME the difference wraps around and is the larger one
 
 
 class Powers:
@@ -90,12 +90,13 @@ def common_extension(a: np.ndarray, b: np.ndarray, powers: Powers | None = None)
     powers, done, most = powers or tables(), 0, min(len(a), len(b))
     while done < most:
         end = min(done + BLOCK, most)
-        left, right = PrefixHashes(a[done:end], powers), PrefixHashes(b[done:end], powers)
+        left, right = PrefixHashes(a[done:end], powers).sums, PrefixHashes(b[done:end], powers).sums
         low, high = 0, end - done
-        if left.span(0, high) != right.span(0, high):
+        same = lambda i: left[0, i] == right[0, i] and left[1, i] == right[1, i]  # noqa: E731  both spans begin the arrays
+        if not same(high):
             while low < high:
                 middle = (low + high + 1) // 2
-                if left.span(0, middle) == right.span(0, middle):
+                if same(middle):
                     low = middle
                 else:
                     high = middle - 1
