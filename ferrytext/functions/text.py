@@ -122,10 +122,13 @@ def echoes(line: Column, keywords: Column) -> Column:
 
 
 def sanitize_filename(c: Column) -> Column:
-    """URL-decoded last part of a path with safe characters only, 180 at most; ``upload.bin`` if nothing is left."""
-    decoded = F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
-    name = F.regexp_extract(decoded, r"[^/\\]*\z", 0)
-    name = F.left(F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w.\-()\[\] ]+", "_"), r"\A[ .]+|[ .]+\z", ""), F.lit(180))
+    """Last part of a path with safe characters only (letters, numbers, ``_.-()[]`` and blanks), 180 at most; ``upload.bin`` if
+    nothing is left. Escapes are decoded one run at a time: bad ones stay as they are, and bytes that are no UTF-8 are unsafe."""
+    runs = F.regexp_extract_all(c, F.lit(r"(?s)(?:%[0-9A-Fa-f]{2})+|%|[^%]+"), 0)
+    bytes_of = lambda run: F.make_valid_utf8(F.unhex(F.replace(run, F.lit("%"), F.lit(""))).cast("string"))
+    decoded = F.array_join(F.transform(runs, lambda run: F.when(run.rlike(r"\A%."), bytes_of(run)).otherwise(run)), "")
+    name = py_strip(F.regexp_extract(decoded, r"[^/\\]*\z", 0))
+    name = F.left(F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}_.\-()\[\] ]+", "_"), r"\A[ .]+|[ .]+\z", ""), F.lit(180))
     return F.when(name == "", F.lit("upload.bin")).otherwise(name)
 
 

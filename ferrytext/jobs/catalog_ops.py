@@ -71,12 +71,17 @@ def running_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {MEMBERS} SELECT archive_id, ordinal, (row_number() OVER (PARTITION BY archive_id ORDER BY key, encode(name), ordinal) - 1)::INT AS nth FROM
+    rf"""WITH {MEMBERS}, named AS (SELECT archive_id, ordinal, CASE WHEN ordinal % 3 = 0 THEN 'p' || repeat('7', (ordinal % 50)::INT) || ordinal % 11 ELSE name END AS name FROM members)
+    SELECT archive_id, ordinal, (row_number() OVER (PARTITION BY archive_id ORDER BY key, encode(name), ordinal) - 1)::INT AS nth FROM
     (SELECT *, list_transform(list_filter(regexp_extract_all(lower(name), '[^0-9]*[0-9]*'), lambda p: p <> ''),
-    lambda p: {{'t': encode(regexp_extract(p, '\A[^0-9]*')), 'n': coalesce(try_cast(regexp_extract(p, '[0-9]*\z') AS DECIMAL(38,0)), -1)}}) AS key FROM members)"""
+    lambda p: {{'t': encode(regexp_extract(p, '\A[^0-9]*')), 'n': CASE WHEN regexp_matches(p, '[0-9]\z') THEN lpad(ltrim(regexp_extract(p, '[0-9]*\z'), '0'), 99, '0') ELSE '' END}}) AS key FROM named)"""
 )
 def natural_path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.natural_path_order(members(spark, sf_dir)).select("archive_id", "ordinal", "nth")
+    """Every third name is a p and a number of up to 51 digits."""
+    nth = F.col("ordinal")
+    long_number = F.concat(F.lit("p"), F.repeat(F.lit("7"), (nth % 50).cast("int")), (nth % 11).cast("string"))
+    named = members(spark, sf_dir).withColumn("name", F.when(nth % 3 == 0, long_number).otherwise(F.col("name")))
+    return A.natural_path_order(named).select("archive_id", "ordinal", "nth")
 
 
 #: Books: every archive; manifest ids from page ids; the spine leaves out every third page, runs backwards and has an
@@ -326,13 +331,27 @@ def redact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", m.alias("m"), key.alias("k")).select("doc_id", F.col("m")[F.col("k")].alias("a"), F.col("m")["name"].alias("b"))
 
 
+#: Uploaded names by page_id % 6, as Spark and DuckDB expressions of the page's number, and what becomes of them.
+_NAMES = [
+    ("..%2Fbook%3F", ".txt", "book_", ".txt"),
+    ("x\\a+b%20", ".md", "a_b ", ".md"),
+    ("a%20b%zz", "%", "a b_zz", "_"),
+    ("dir/%09 é%E3%81%82(", ")[1]\t. ", "éあ(", ")[1]_"),
+    ("%E3%81a%FF%fe", " . ", "_a_", ""),
+    (" \t%2e", ".%20", "", ""),
+]
+
+
 @query(
-    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'book_' || page_id || '.txt' WHEN 1 THEN 'a+b ' || page_id || '.md' ELSE 'upload.bin' END AS name FROM pages"""
+    "SELECT page_id, CASE page_id % 6 "
+    + " ".join(f"WHEN {k} THEN '{after}' || page_id || '{end}'" for k, (_, _, after, end) in enumerate(_NAMES))
+    + " END AS name FROM pages"
 )
 def sanitize_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, k = F.col("page_id").cast("string"), F.col("page_id") % 3
-    raw = F.when(k == 0, F.concat(F.lit("..%2Fbook%3F"), p, F.lit(".txt"))).when(k == 1, F.concat(F.lit("x\\a+b%20"), p, F.lit(".md"))).otherwise(F.lit("dir/ .. "))
-    return table(spark, sf_dir, "pages").select("page_id", F.replace(T.sanitize_filename(raw), F.lit("a_b"), F.lit("a+b")).alias("name"))
+    """Names with folders, escapes good and bad, bytes that are no UTF-8, and white space at their ends."""
+    p, k = F.col("page_id").cast("string"), F.col("page_id") % 6
+    raw = F.coalesce(*[F.when(k == i, F.concat(F.lit(before), p, F.lit(end))) for i, (before, end, _, _) in enumerate(_NAMES)])
+    return table(spark, sf_dir, "pages").select("page_id", T.sanitize_filename(raw).alias("name"))
 
 
 @query(r"WITH files AS (" + JOB_FILES_SQL + r") SELECT doc_id, regexp_replace(name, '(\.[A-Za-z]+)\z', '_zh\1') AS path FROM files")

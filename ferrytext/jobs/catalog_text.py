@@ -231,12 +231,14 @@ def drop_consecutive_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {KANA}, {LINES}, s AS (SELECT doc_id, line_no, left(content, line_no % 3) AS t FROM parts) SELECT doc_id, line_no::INT AS line_no, "
-    + STRIP("t") + r" = '' OR regexp_matches(" + STRIP("t") + r", '\A[\x00-\x7f]\z') AS noise FROM s"
+    f"WITH {KANA}, {LINES}, s AS (SELECT doc_id, line_no, content, ' ' || right(content, 1) || chr(9) AS mark FROM parts) SELECT doc_id, line_no::INT AS line_no, "
+    + ", ".join(STRIP(t) + r" = '' OR regexp_matches(" + STRIP(t) + r", '\A[\x00-\x7f]\z') AS " + name for t, name in (("content", "noise"), ("mark", "mark_noise")))
+    + " FROM s"
 )
 def is_noise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.left("content", F.col("line_no") % 3)
-    return split_lines(spark, sf_dir).select("doc_id", "line_no", T.is_noise_text(start).alias("noise"))
+    """Whole lines, and beside them their last characters between white space, as texts of one character."""
+    mark = F.concat(F.lit(" "), F.right("content", F.lit(1)), F.lit("\t"))
+    return split_lines(spark, sf_dir).select("doc_id", "line_no", T.is_noise_text(F.col("content")).alias("noise"), T.is_noise_text(mark).alias("mark_noise"))
 
 
 @query(f"SELECT doc_id, CASE WHEN len(c) > 300 THEN left(c, 300) || chr(10) || '[…]' ELSE c END AS clipped FROM (SELECT doc_id, {STRIP('text')} AS c FROM documents)")

@@ -55,11 +55,16 @@ def running_quota(members: DataFrame, max_files: int = MAX_FILES, max_bytes: int
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key: text and digit runs in turn, beginning with text (maybe empty); digits compare as numbers."""
+    """Sort key: text and digit runs in turn, beginning with text (maybe empty); digits compare as numbers of any size: by
+    how many there are after leading zeros (-1 for none at all), then by themselves."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([^0-9]*)([0-9]*)"), 0)
-    part = lambda p: F.struct(
-        F.regexp_extract(p, r"\A[^0-9]*", 0).alias("txt"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(p, r"[0-9]*\z", 0), F.lit("")), F.lit("9" * 38)), F.lit(-1)).alias("num")
-    )
+
+    def part(p: Column) -> Column:
+        digits = F.regexp_extract(p, r"[0-9]*\z", 0)
+        number = F.ltrim(digits, F.lit("0"))
+        size = F.when(digits == "", F.lit(-1)).otherwise(F.length(number))
+        return F.struct(F.regexp_extract(p, r"\A[^0-9]*", 0).alias("txt"), size.alias("size"), number.alias("number"))
+
     return F.transform(F.filter(parts, lambda p: p != ""), part)
 
 

@@ -148,7 +148,8 @@ def test_lines_are_filled_greedily(spark):
 def test_clip_noise_and_names(spark):
     assert column(spark, ["12345678901234567890", " ab "], lambda c: T.clip(c, 8)) == ["12345678\n[…]", "ab"]
     assert column(spark, ["", " ", "a", "あ", "ab"], T.is_noise_text) == [True, True, True, False, False]
-    assert column(spark, ["..%2Fbook%3F.txt", "a/b\\c+d%zz.md", " .. "], T.sanitize_filename)[:1] == ["book_.txt"]
+    names = ["..%2Fbook%3F.txt", "a/b\\c+d%zz.md", " .. ", "a%20b%zz.txt", "\tx\u3000", "%E3%81%82%e3%81.txt", "²ⅷ%", None, "n" * 200]
+    assert column(spark, names, T.sanitize_filename) == ["book_.txt", "c_d_zz.md", "upload.bin", "a b_zz.txt", "x", "あ_.txt", "²ⅷ_", None, "n" * 180]
     assert column(spark, ["../outside.txt", "/a", "a/..b", "a\\..\\b"], T.unsafe_member) == [True, True, False, True]
     assert column(spark, ["a/b.txt", ".hidden", "x"], T.output_name) == ["a/b_zh.txt", ".hidden_zh", "x_zh"]
 
