@@ -49,6 +49,10 @@ def test_natural_order_and_kinds(spark):
     names = [(0, i, n) for i, n in enumerate(["10.jpg", "2.jpg", "1.jpg", "a/2.png"])]
     rows = spark.createDataFrame(names, "archive_id int, ordinal long, name string")
     assert [r["name"] for r in A.natural_path_order(rows).orderBy("nth").collect()] == ["1.jpg", "2.jpg", "10.jpg", "a/2.png"]
+    names = ["p2", "p007", "p10", "p" + "9" * 40, "p1" + "0" * 40, "p", "p0", "p2a"]
+    many = spark.createDataFrame([(1, i, n) for i, n in enumerate(names[::-1])], "archive_id int, ordinal int, name string")
+    want = ["p", "p0", "p2", "p2a", "p007", "p10", "p" + "9" * 40, "p1" + "0" * 40]
+    assert [r["name"] for r in A.natural_path_order(many).orderBy("nth").collect()] == want
     assert A.classify_archive(rows).first()["kind"] == "manga"
     tie = spark.createDataFrame([(0, "a.jpg"), (0, "b.txt"), (1, "c.epub"), (2, "d.txt")], "archive_id int, name string")
     assert {r["archive_id"]: r["kind"] for r in A.classify_archive(tie).collect()} == {0: "manga", 1: "error", 2: "novel"}
