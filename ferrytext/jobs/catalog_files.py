@@ -16,6 +16,7 @@ from ferrytext.sources import archives as Z
 from ferrytext.sources.decoding import decode_text
 from ferrytext.sources.scratch import scratch
 from ferrytext.sources.views import BOXES_SQL, boxes, table
+from ferrytext.sources import writers as W
 from ferrytext.sources.writers import write_packages as pack
 from ferrytext.streaming import jobs as S
 
@@ -121,6 +122,41 @@ def _image_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("page_id", F.explode(both).alias("r")).select("page_id", "r.*")
 
 
+#: Volumes of a hundred ids: their documents one after the other, in order.
+_VOLUMES = """volumes AS (SELECT coalesce(floor(doc_id / 100)::BIGINT::VARCHAR, 'none') AS volume, coalesce(string_agg(text, chr(10) ORDER BY doc_id, text), '') AS text
+  FROM documents GROUP BY 1)"""
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("none"))
+    texts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    rows = table(spark, sf_dir, "documents").groupBy(name.alias("volume")).agg(texts.alias("x"))
+    return rows.select("volume", F.array_join(F.col("x.text"), "\n").alias("text"))
+
+
+@query(f"WITH {_VOLUMES} SELECT volume, 'EFBBBF' || hex(encode(text)) AS data FROM volumes")
+def write_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes written as files, and the files read back as bytes."""
+    at = scratch(spark, "files")
+    W.write_document_files(volumes(spark, sf_dir).select(F.concat("volume", F.lit("/text_zh.txt")).alias("path"), "text"), at)
+    files = Z.read_text_files(spark, at)
+    return files.select(F.regexp_extract("path", "([^/]+)/text_zh", 1).alias("volume"), F.hex("content").alias("data"))
+
+
+@query(
+    f"""WITH {_VOLUMES} SELECT volume, 60 AS width, (20 * (n + 1))::INT AS height, sha256(hex(encode(text)) || repeat('FF', (n + 1) * {_BAND} - strlen(text))) AS pixels
+    FROM (SELECT *, ceil(strlen(text) / {_BAND})::BIGINT AS n FROM volumes)"""
+)
+def read_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bytes of volumes as pictures 60 wide, written as BMP files and read by Spark's source of images."""
+    size = (F.ceil(F.octet_length("text") / _BAND) + 1).cast("int")
+    data = F.rpad(F.encode("text", "UTF-8"), size * _BAND, F.unhex(F.lit("FF")))
+    path, at = F.concat("volume", F.lit("/page.bmp")), scratch(spark, "pictures")
+    W.write_page_images(volumes(spark, sf_dir).select(path.alias("path"), (size * 20).alias("height"), F.lit(60).alias("width"), data.alias("rgb")), at)
+    name = F.regexp_extract("origin", "([^/]+)/page", 1)
+    return Z.read_page_images(spark, f"{at}/*").select(name.alias("volume"), "width", "height", F.sha2(F.hex("rgb"), 256).alias("pixels"))
+
+
 @query()
 def region_pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.region_pixel_stats(page_images(spark, sf_dir), _image_regions(spark, sf_dir))

@@ -270,3 +270,42 @@ def test_archives_over_the_quota_are_cut_into_volumes(spark, tmp_path, monkeypat
         assert sums == {a: (sum(r[0] == a for r in want), sum(r[3] for r in want if r[0] == a)) for a in (0, 7, -3)}
         packed = Z.read_archive_members(Q.packages(spark, str(tmp_path))[0]).groupBy("archive_id").count()
         assert packed.agg(F.max("count")).first()[0] <= Q.VOLUME_FILES and (packed.count() > 8) == (size < 2_000)
+
+
+def test_files_appear_together_or_not_at_all(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from ferrytext.sources.writers import write_document_files
+
+    docs = lambda *rows: spark.createDataFrame(list(rows), "path string, text string, content string").repartition(3)
+    out = tmp_path / "out"
+    write_document_files(docs(("a/x.txt", "あ", "clash"), ("a/y.txt", None, ""), ("z.txt", "w" * 300_000, None)), str(out))
+    assert not [p for p in tmp_path.iterdir() if p.name != "out"]
+    files = lambda: {str(p.relative_to(out)): p.read_bytes() for p in out.rglob("*") if p.is_file()}
+    want = {"a/x.txt": "﻿あ".encode(), "a/y.txt": b"\xef\xbb\xbf", "z.txt": b"\xef\xbb\xbf" + b"w" * 300_000}
+    assert files() == want
+    for bad in ("/etc/x", "a/../../x", "a/", None):
+        with pytest.raises(PySparkException):
+            write_document_files(docs(("fine.txt", "t", ""), (bad, "t", "")), f"{tmp_path}/failed")
+    with pytest.raises(ValueError):
+        write_document_files(docs(("q.txt", "1", ""), ("q.txt", "2", "")), f"{tmp_path}/failed")
+    with pytest.raises(PySparkException):
+        write_document_files(docs(("n.txt", "n", "")), str(out))
+    assert files() == want
+    write_document_files(docs(("n.txt", "n", "")), f"file://{out}", "overwrite")
+    write_document_files(docs(), f"{tmp_path}/empty")
+    assert files() == {"n.txt": b"\xef\xbb\xbfn"}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["empty", "out"] and not list((tmp_path / "empty").iterdir())
+
+
+def test_bitmaps_are_read_back(spark, tmp_path):
+    import numpy as np
+
+    from ferrytext.sources.writers import write_page_images
+
+    rng = np.random.default_rng(2)
+    pictures = {f"{w}x{h}": (h, w, rng.integers(0, 256, (h, w, 3), np.uint8).tobytes()) for w, h in ((1, 1), (5, 3), (8, 2), (60, 41))}
+    rows = [(f"{k}.bmp", *v) for k, v in pictures.items()]
+    write_page_images(spark.createDataFrame(rows, "path string, height int, width int, rgb binary"), f"{tmp_path}/out")
+    got = Z.read_page_images(spark, f"{tmp_path}/out").collect()
+    assert {r["origin"].rsplit("/", 1)[1][:-4]: (r["height"], r["width"], bytes(r["rgb"])) for r in got} == pictures
