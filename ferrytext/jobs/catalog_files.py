@@ -127,7 +127,7 @@ _VOLUMES = """volumes AS (SELECT coalesce(floor(doc_id / 100)::BIGINT::VARCHAR,
   FROM documents GROUP BY 1)"""
 
 
-def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bound_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("none"))
     texts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
     rows = table(spark, sf_dir, "documents").groupBy(name.alias("volume")).agg(texts.alias("x"))
@@ -138,7 +138,7 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volumes written as files, and the files read back as bytes."""
     at = scratch(spark, "files")
-    W.write_document_files(volumes(spark, sf_dir).select(F.concat("volume", F.lit("/text_zh.txt")).alias("path"), "text"), at)
+    W.write_document_files(bound_volumes(spark, sf_dir).select(F.concat("volume", F.lit("/text_zh.txt")).alias("path"), "text"), at)
     files = Z.read_text_files(spark, at)
     return files.select(F.regexp_extract("path", "([^/]+)/text_zh", 1).alias("volume"), F.hex("content").alias("data"))
 
@@ -152,7 +152,7 @@ def read_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.ceil(F.octet_length("text") / _BAND) + 1).cast("int")
     data = F.rpad(F.encode("text", "UTF-8"), size * _BAND, F.unhex(F.lit("FF")))
     path, at = F.concat("volume", F.lit("/page.bmp")), scratch(spark, "pictures")
-    W.write_page_images(volumes(spark, sf_dir).select(path.alias("path"), (size * 20).alias("height"), F.lit(60).alias("width"), data.alias("rgb")), at)
+    W.write_page_images(bound_volumes(spark, sf_dir).select(path.alias("path"), (size * 20).alias("height"), F.lit(60).alias("width"), data.alias("rgb")), at)
     name = F.regexp_extract("origin", "([^/]+)/page", 1)
     return Z.read_page_images(spark, f"{at}/*").select(name.alias("volume"), "width", "height", F.sha2(F.hex("rgb"), 256).alias("pixels"))
 
@@ -165,7 +165,9 @@ def region_pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def erase_flat_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.erase_flat_regions(page_images(spark, sf_dir), _image_regions(spark, sf_dir))
-    return rows.select("page_id", F.sha2("rgb", 256).alias("sha256"), F.concat_ws(",", F.col("needs_inpaint").cast("array<string>")).alias("needs_inpaint"))
+    anew = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["length"]).alias("inpaint_pixels")
+    ids = F.concat_ws(",", F.col("needs_inpaint").cast("array<string>")).alias("needs_inpaint")
+    return rows.select("page_id", F.sha2("rgb", 256).alias("sha256"), ids, anew, F.sha2(F.to_json("runs"), 256).alias("runs_sha256"))
 
 
 def looping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,12 @@ def merge_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def merge_regions_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of at most a fifth of the page."""
+    return R.merge_regions(fit(spark, sf_dir), cap=PAGE_WIDTH * PAGE_HEIGHT / 5)
+
+
 @query(
     f"""WITH {BOXES} SELECT page_id, (region_id % 3)::INT AS grp, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, round(avg(confidence), 6) AS confidence,
     string_agg(text, '' ORDER BY y0, x0, region_id) AS text, count(*) AS n_regions FROM fit GROUP BY page_id, region_id % 3"""

@@ -27,18 +27,25 @@ def _shrink(mask: np.ndarray) -> np.ndarray:
 
 
 def polygon_mask(points: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Pixels whose centres are inside a polygon, by crossings of a ray to the left, and those on its edges."""
-    y, x = np.mgrid[:height, :width]
-    inside, edge = np.zeros((height, width), bool), np.zeros((height, width), bool)
+    """Pixels whose centres are inside a polygon, by scan lines, and those on its edges. Every edge turns inside and outside
+    about from where it crosses a line on; the work is one step for each line that an edge crosses, and one a pixel."""
+    turns, edge = np.zeros((height, width + 1), np.int32), np.zeros((height, width), bool)
     for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0)):
         if ay != by:
-            crosses = (y >= min(ay, by)) & (y < max(ay, by))
-            inside ^= crosses & (x >= ax + (y - ay) * (bx - ax) / (by - ay))
+            y = np.arange(max(min(ay, by), 0), min(max(ay, by), height))
+            x = np.ceil(ax + (y - ay) * (bx - ax) / (by - ay)).clip(0, width).astype(int)
+            turns[y, x] += 1
         n = int(max(abs(bx - ax), abs(by - ay), 1))
         at = np.round(np.linspace((ax, ay), (bx, by), n + 1)).astype(int)
         at = at[(at >= 0).all(1) & (at[:, 0] < width) & (at[:, 1] < height)]
         edge[at[:, 1], at[:, 0]] = True
-    return inside | edge
+    return (np.cumsum(turns, axis=1)[:, :width] % 2 == 1) | edge
+
+
+def runs_of(mask: np.ndarray) -> list[dict]:
+    """Runs (start, length) of a mask's pixels, counted row by row."""
+    ends = np.flatnonzero(np.diff(mask.ravel().astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    return [{"start": int(a), "length": int(b - a)} for a, b in ends]
 
 
 def region_stats(rgb: np.ndarray, polygon: np.ndarray, padding: int = PADDING) -> dict:
@@ -114,25 +121,31 @@ def region_pixel_stats(images: DataFrame, regions: DataFrame, padding: int = PAD
     return _pages(images, regions).mapInArrow(run, PIXELS)
 
 
+RUNS = "runs array<struct<start: bigint, length: bigint>>"
+
+
 def erase_flat_regions(images: DataFrame, regions: DataFrame, padding: int = PADDING) -> DataFrame:
-    """(page_id, rgb, needs_inpaint): text on flat ground, and some pixels around it, filled with its background, in order of
-    regions; the ids of other regions are listed. All regions are judged on the picture as it came."""
+    """(page_id, rgb, needs_inpaint, runs): text on flat ground, and some pixels around it, filled with its background, in
+    order of regions; the ids of other regions are listed, and the union of their texts' masks, which is to be painted
+    anew, is given as runs (start, length) of pixels, counted row by row. All regions are judged on the picture as it
+    came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for page_id, rgb, found in _each(batch, padding):
-                out, rest = rgb.copy(), []
+                out, rest, anew = rgb.copy(), [], np.zeros(rgb.shape[:2], bool)
                 for region_id, s in found:
+                    mask = s["mask"]
                     if s["spread"] >= FLAT:
                         rest.append(region_id)
+                        anew[s["y0"] : s["y0"] + mask.shape[0], s["x0"] : s["x0"] + mask.shape[1]] |= mask
                         continue
-                    mask = s["mask"]
                     for _ in range(max(2, min(4, padding))):
                         mask = _grow(mask)
                     out[s["y0"] : s["y0"] + mask.shape[0], s["x0"] : s["x0"] + mask.shape[1]][mask] = s["background"]
-                rows.append((page_id, out.tobytes(), rest))
-            types = (pa.int64(), pa.binary(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["page_id", "rgb", "needs_inpaint"])
+                rows.append((page_id, out.tobytes(), rest, runs_of(anew)))
+            types = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["page_id", "rgb", "needs_inpaint", "runs"])
 
-    return _pages(images, regions).mapInArrow(run, "page_id long, rgb binary, needs_inpaint array<int>")
+    return _pages(images, regions).mapInArrow(run, f"page_id long, rgb binary, needs_inpaint array<int>, {RUNS}")

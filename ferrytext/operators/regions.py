@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -94,32 +97,59 @@ def _mergeable() -> Column:
 
 
 def region_pairs(regions: DataFrame) -> DataFrame:
-    """(page_id, a, b), a < b: regions of one page and orientation that belong together."""
-    a, b = regions.alias("a"), regions.alias("b")
-    same = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.orientation") == F.col("b.orientation"))
-    pairs = a.join(b, same & (F.col("a.region_id") < F.col("b.region_id"))).where(_mergeable())
-    return pairs.select(F.col("a.page_id"), F.col("a.region_id").alias("a"), F.col("b.region_id").alias("b"))
+    """(page_id, a, b), a < b: regions of one page and orientation that belong together. Regions meet in cells of a grid of
+    their page only, so that those far from each other are no candidates and a page with many regions is many groups."""
+    pairs, ids = _candidates(regions).where(_mergeable()), ("a.region_id", "b.region_id")
+    return pairs.select(F.col("a.page_id"), F.least(*ids).alias("a"), F.greatest(*ids).alias("b"))
 
 
-def _pair_matrix(box: np.ndarray, vertical: np.ndarray) -> np.ndarray:
-    """The same test for all regions of a page at once."""
+def _candidates(regions: DataFrame) -> DataFrame:
+    """Regions a and b that meet in a cell, a being in a higher octave of character sizes or, in the same, of the lesser id.
+    Cells are squares of four times the octave's least size. Sizes that are near enough differ by two octaves at most: a
+    stands in the cells of its octave, grown across by the farthest gap that is allowed, b in those of its own octave and
+    the two above. Of the cells in which a pair meets only that counts which holds the lower corner of the overlap."""
+    c = F.col
+    width, height = F.greatest(F.lit(1), c("x1") - c("x0")), F.greatest(F.lit(1), c("y1") - c("y0"))
+    size, upright = char_size(c("orientation"), width, height), c("orientation") == "vertical"
+    octave = F.floor(F.log2(size)).cast("int")
+    grown = [F.when(upright == flag, F.ceil(size * GAPS[kind][0])).otherwise(0) for flag, kind in ((True, "vertical"), (False, "horizontal"))]
+    side = lambda octave: F.lit(4.0) * F.pow(F.lit(2.0), octave)
+
+    def celled(rows: DataFrame) -> DataFrame:
+        cells = lambda lo, hi, by: F.sequence(*(F.floor(v / side(c("level"))) for v in (c(lo) - c(by), F.greatest(lo, hi) + c(by))))
+        return rows.select("*", F.explode(cells("x0", "x1", "by_x")).alias("cx")).select("*", F.explode(cells("y0", "y1", "by_y")).alias("cy"))
+
+    sized = regions.select("page_id", "region_id", "orientation", "x0", "y0", "x1", "y1", octave.alias("octave"))
+    by = {"by_x": grown[0].cast("long"), "by_y": grown[1].cast("long")}
+    a = celled(sized.withColumns({"level": c("octave"), **by})).alias("a")
+    levels = F.explode(F.sequence(c("octave"), c("octave") + math.ceil(math.log2(SIZE_RATIO))))
+    b = celled(sized.withColumns({"level": levels, **dict.fromkeys(by, F.lit(0))})).alias("b")
+    same = [c(f"a.{k}") == c(f"b.{k}") for k in ("page_id", "orientation", "level", "cx", "cy")]
+    larger = (c("a.octave") > c("b.octave")) | ((c("a.octave") == c("b.octave")) & (c("a.region_id") < c("b.region_id")))
+    first = [F.floor(F.greatest(c(f"a.{k}0") - c(f"a.by_{k}"), c(f"b.{k}0")) / side(c("a.level"))) == c(f"a.c{k}") for k in "xy"]
+    return a.join(b, reduce(and_, [*same, larger, *first]))
+
+
+def _pair_matrix(box: np.ndarray, vertical: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """The same test for all regions of a page at once: rows for those of ``of``, or all."""
+    of = np.arange(len(box)) if of is None else of
     x0, y0, x1, y1 = box.T
     w, h = np.maximum(1, x1 - x0), np.maximum(1, y1 - y0)
     size = np.where(vertical, w, h)
-    each = lambda f, v: f(v[:, None], v[None])
+    each = lambda f, v: f(v[of, None], v[None])
     union = (each(np.maximum, x1) - each(np.minimum, x0)) * (each(np.maximum, y1) - each(np.minimum, y0))
     area = w * h
-    mean = (size[:, None] + size) / 2
+    mean = (size[of, None] + size) / 2
     cut = lambda lo, hi: each(np.minimum, hi) - each(np.maximum, lo)
     (v_gap, v_lap), (h_gap, h_lap) = GAPS["vertical"], GAPS["horizontal"]
     cx, cy = cut(x0, x1), cut(y0, y1)
     along_v = (-cx <= mean * v_gap) & (np.maximum(0, cy) >= each(np.minimum, h) * v_lap)
     along_h = (-cy <= mean * h_gap) & (np.maximum(0, cx) >= each(np.minimum, w) * h_lap)
     return (
-        (vertical[:, None] == vertical)
+        (vertical[of, None] == vertical)
         & (each(np.maximum, size) / each(np.minimum, size) <= SIZE_RATIO)
-        & (union <= (area[:, None] + area) * AREA_RATIO)
-        & np.where(vertical[:, None], along_v, along_h)
+        & (union <= (area[of, None] + area) * AREA_RATIO)
+        & np.where(vertical[of, None], along_v, along_h)
     )
 
 
@@ -142,23 +172,36 @@ def column_order(box: list[list[int]] | np.ndarray) -> list[int]:
     return np.lexsort((rank, y0, column, -np.array(rights, np.int64)[column])).tolist()
 
 
-def _groups(pairs: np.ndarray, box: np.ndarray, cap: float) -> list[list[int]]:
+def _groups(belongs: Callable[[int], np.ndarray], box: np.ndarray, cap: float) -> list[list[int]]:
     """Groups joined until nothing changes: always the first two, in order, of which a pair belongs together and (cap > 0)
-    whose common box is at most cap."""
-    groups = [[i] for i in range(len(box))]
-    while True:
-        for i, j in ((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))):
-            both = groups[i] + groups[j]
-            x0, y0 = box[both, :2].min(0)
-            x1, y1 = box[both, 2:].max(0)
-            if (cap <= 0 or (x1 - x0) * (y1 - y0) <= cap) and pairs[np.ix_(groups[i], groups[j])].any():
-                groups[i] = both
-                del groups[j]
+    whose common box is at most cap. ``belongs``: which regions belong to one.
+
+    As the first group is tried with all others, it takes one region after the other, each time the first that may come,
+    until none may. A box only grows, so what was refused stays refused, also as a part of a larger group: groups are
+    made one by one, and every region's row is looked up once."""
+    free, groups = np.ones(len(box), bool), []
+    while free.any():
+        i = int(free.argmax())
+        group, near, common = [], np.zeros(len(box), bool), box[i].copy()
+        while True:
+            group.append(i)
+            free[i] = False
+            near |= belongs(i)
+            common[:2], common[2:] = np.minimum(common[:2], box[i, :2]), np.maximum(common[2:], box[i, 2:])
+            may = near & free
+            if cap > 0 and may.any():
+                low, high = np.minimum(common[:2], box[:, :2]), np.maximum(common[2:], box[:, 2:])
+                may &= (high - low).prod(axis=1) <= cap
+            i = int(may.argmax())
+            if not may[i]:
                 break
-        else:
-            return groups
+        groups.append(group)
+    return groups
 
 
+#: Regions of a page up to which all pairs are tested at once; beyond it one region's pairs at a time, in bounded memory.
+AT_ONCE = 512
+
 MERGED = (
     "page_id long, nth int, x0 int, y0 int, x1 int, y1 int, text string, confidence double, orientation string, n_regions int"
 )
@@ -172,10 +215,13 @@ def merge_regions(regions: DataFrame, cap: float = 0) -> DataFrame:
     def page(page_id: int, regions: list[dict]) -> list[tuple]:
         box = np.array([[r[c] for c in ("x0", "y0", "x1", "y1")] for r in regions], np.int64)
         vertical = np.array([r["orientation"] == "vertical" for r in regions])
-        pairs = _pair_matrix(box, vertical) if len(box) > 1 else np.eye(1, dtype=bool)
-        alone = pairs.sum() == len(box)  # each region goes with itself only
+        if len(box) > AT_ONCE:
+            belongs, alone = lambda i: _pair_matrix(box, vertical, np.array([i]))[0], False
+        else:
+            pairs = _pair_matrix(box, vertical) if len(box) > 1 else np.eye(1, dtype=bool)
+            belongs, alone = pairs.__getitem__, pairs.sum() == len(box)  # alone: each goes with itself only
         rows = []
-        for group in [[i] for i in range(len(box))] if alone else _groups(pairs, box, cap):
+        for group in [[i] for i in range(len(box))] if alone else _groups(belongs, box, cap):
             if len(group) > 1:
                 if vertical[group[0]]:
                     group = [group[k] for k in column_order(box[group].tolist())]

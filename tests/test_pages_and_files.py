@@ -309,3 +309,96 @@ def test_bitmaps_are_read_back(spark, tmp_path):
     write_page_images(spark.createDataFrame(rows, "path string, height int, width int, rgb binary"), f"{tmp_path}/out")
     got = Z.read_page_images(spark, f"{tmp_path}/out").collect()
     assert {r["origin"].rsplit("/", 1)[1][:-4]: (r["height"], r["width"], bytes(r["rgb"])) for r in got} == pictures
+
+
+def random_regions(rng, n, spread):
+    lefts, tops = rng.integers(-20, spread, n), rng.integers(-20, spread, n)
+    return [(int(x), int(y), int(x + rng.integers(1, 70)), int(y + rng.integers(1, 40))) for x, y in zip(lefts, tops)]
+
+
+def test_groups_are_those_of_merging_the_first_two_again_and_again():
+    import time
+
+    import numpy as np
+
+    def by_rule(pairs, box, cap):
+        groups = [[i] for i in range(len(box))]
+        fits = lambda g: cap <= 0 or (box[g, 2:].max(0) - box[g, :2].min(0)).prod() <= cap
+        while True:
+            found = ((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)) if fits(groups[i] + groups[j]) and pairs[np.ix_(groups[i], groups[j])].any())
+            i, j = next(found, (None, None))
+            if i is None:
+                return groups
+            groups[i] += groups.pop(j)
+
+    rng = np.random.default_rng(3)
+    for n in [0, 1, 2, *range(3, 40)] * 3:
+        box = np.array(random_regions(rng, n, 150), np.int64).reshape(-1, 4)
+        vertical = rng.random(n) < 0.3
+        pairs = R._pair_matrix(box, vertical)
+        for i in range(n):
+            assert (R._pair_matrix(box, vertical, np.array([i]))[0] == pairs[i]).all()
+        for cap in (0, 900, 4_000, 12_000):
+            assert R._groups(pairs.__getitem__, box, cap) == by_rule(pairs, box, cap)
+    box = np.array(random_regions(rng, 2_000, 1_500), np.int64)
+    began = time.process_time()
+    row = lambda i: R._pair_matrix(box, vertical=np.zeros(2_000, bool), of=np.array([i]))[0]
+    assert sum(map(len, R._groups(row, box, 0))) == 2_000 and time.process_time() - began < 4
+
+
+def test_regions_meet_in_cells(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    box = random_regions(rng, 700, 900) + [(0, 0, 700, 9), (0, 12, 690, 21), (5, 5, 5, 5), (5, 5, 4, 4), (3, 3, 9, 900)]
+    rows = [(1 + i % 2, i, *b, 0.9, "t", "vertical" if i % 3 == 0 else "horizontal") for i, b in enumerate(box * 2)]
+    page = [[r for r in rows if r[0] == p] for p in (1, 2)]
+    want = set()
+    for some in page:
+        pairs = R._pair_matrix(np.array([r[2:6] for r in some]), np.array([r[8] == "vertical" for r in some]))
+        want |= {(some[0][0], some[i][1], some[j][1]) for i, j in np.argwhere(np.triu(pairs, 1))}
+    frame = spark.createDataFrame(rows, REGION)
+    got = [tuple(r) for r in R.region_pairs(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert R._candidates(frame).count() < sum(len(p) ** 2 / 2 for p in page) / 5
+
+
+def test_scan_lines_fill_what_a_ray_to_the_left_says():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for k in range(200):
+        points = rng.integers(-6, 30, (3 + k % 6, 2))
+        y, x = np.mgrid[:22, :19]
+        want = np.zeros((22, 19), bool)
+        for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0)):
+            if ay != by:
+                want ^= (y >= min(ay, by)) & (y < max(ay, by)) & (x >= ax + (y - ay) * (bx - ax) / (by - ay))
+        got = P.polygon_mask(points, 22, 19)
+        lines = P.polygon_mask(np.repeat(points, 1, axis=0), 22, 19) & ~want
+        assert not (want & ~got).any()
+        for py, px in np.argwhere(lines):  # the rest lies on an edge, to half a pixel
+            near = []
+            for p, q in zip(points.astype(float), np.roll(points, -1, axis=0).astype(float)):
+                t = 0 if (p == q).all() else np.clip(np.dot([px, py] - p, q - p) / np.dot(q - p, q - p), 0, 1)
+                near.append(np.abs([px, py] - (p + t * (q - p))).max())
+            assert min(near) <= 0.5 + 1e-9
+
+
+def test_masks_to_be_painted_anew_are_runs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rgb = rng.integers(0, 256, (40, 50, 3), np.uint8)
+    boxes = [(1, 4, 4, 30, 20), (2, 10, 12, 44, 33), (3, 90, 90, 99, 99)]
+    images = spark.createDataFrame([(1, 40, 50, rgb.tobytes()), (2, 2, 2, b"\xff" * 12)], "page_id long, height int, width int, rgb binary")
+    regions = spark.createDataFrame([(1, *b) for b in boxes], "page_id long, region_id int, x0 int, y0 int, x1 int, y1 int")
+    got = {r["page_id"]: r for r in P.erase_flat_regions(images, regions).collect()}
+    want = np.zeros((40, 50), bool)
+    for _, x0, y0, x1, y1 in boxes[:2]:
+        s = P.region_stats(rgb, np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)]))
+        for y, x in np.argwhere(s["mask"]):
+            want[s["y0"] + y, s["x0"] + x] = True
+    assert got[1]["needs_inpaint"] == [1, 2] and bytes(got[1]["rgb"]) == rgb.tobytes() and got[2]["runs"] == []
+    marked = [i for r in got[1]["runs"] for i in range(r["start"], r["start"] + r["length"])]
+    assert marked == np.flatnonzero(want).tolist() and want.any()
