@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrytext.functions import text as T
 from ferrytext.jobs.catalog import Catalog
-from ferrytext.jobs.catalog_ops import SAMPLES, rate_samples
+from ferrytext.jobs.catalog_ops import EVENTS, SAMPLES, job_events, rate_samples
 from ferrytext.operators import cleanup as C
 from ferrytext.operators import layout as L
 from ferrytext.operators import pixels as P
@@ -232,6 +232,43 @@ def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("download_id", F.round("t", 6).alias("t"), "bytes", F.round("speed", 6).alias("speed"))
 
 
+_KEEP, _DELAY = 24 * 3_600_000, 6 * 3_600_000
+_LATEST = lambda c: f"arg_max({c}, (ts, seq)) AS {c}"
+_FOLD = f"min(ts) AS created, max(ts) AS updated, max(seq) FILTER (ts = top) AS seq, {', '.join(map(_LATEST, ('kind', 'status', 'progress', 'message')))}"
+_TOP = "max(ts) OVER (PARTITION BY job_id) AS top"
+_GONE = lambda mark: f"status IN ('completed', 'failed') AND epoch_us(updated) // 1000 + {_KEEP} <= (SELECT w FROM {mark})"
+
+
+@query(
+    f"""WITH {EVENTS}, parts AS (SELECT ev.*, ts <= make_timestamp((SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 FROM ev)) AND seq % 10 <> 0 AS early FROM ev),
+    mark1 AS (SELECT max(epoch_us(ts)) // 1000 - {_DELAY} AS w FROM parts WHERE early), mark2 AS (SELECT max(epoch_us(ts)) // 1000 - {_DELAY} AS w FROM parts),
+    one AS (SELECT job_id, {_FOLD} FROM (SELECT *, {_TOP} FROM parts WHERE early) GROUP BY job_id), gone AS (SELECT * FROM one WHERE {_GONE("mark1")}),
+    late AS (SELECT count(*) AS late_rows FROM parts WHERE NOT early AND epoch_us(ts) // 1000 <= (SELECT w FROM mark1)),
+    later AS (SELECT job_id, ts, ts AS since, seq, kind, status, progress, message, true AS new FROM parts WHERE NOT early AND epoch_us(ts) // 1000 > (SELECT w FROM mark1)
+      UNION ALL SELECT job_id, updated, created, seq, kind, status, progress, message, false FROM one ANTI JOIN gone USING (job_id)),
+    two AS (SELECT job_id, {_FOLD.replace("min(ts)", "min(since)")}, bool_or(new) AS new FROM (SELECT *, {_TOP} FROM later) GROUP BY job_id),
+    log AS (SELECT *, false AS expired FROM one UNION ALL SELECT *, true FROM gone UNION ALL SELECT * EXCLUDE (new), false FROM two WHERE new
+      UNION ALL SELECT * EXCLUDE (new), true FROM two WHERE {_GONE("mark2")})
+    SELECT job_id, created AS created_at, updated AS updated_at, kind, status, progress, message, expired, late_rows FROM log, late"""
+)
+def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of the earlier half of the time come first, but every tenth comes with the later half; the stream is stopped
+    between the two and goes on from its checkpoint."""
+    rows = job_events(spark, sf_dir)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.min(us), F.max(us)).first()
+    early, at, late = (us <= ((first or 0) + (last or 0)) // 2) & (F.col("seq") % 10 != 0), scratch(spark, "jobs"), 0
+    for portion in (rows.where(early), rows.where(~early)):
+        portion.write.mode("append").parquet(f"{at}/in")
+        stream = S.stream_job_state(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{_DELAY} milliseconds", _KEEP)
+        with S.rocksdb_state(spark):
+            sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append")
+            run = sink.trigger(availableNow=True).start(f"{at}/out")
+            run.awaitTermination()
+        late += S.late_rows(run.recentProgress)
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").withColumn("late_rows", F.lit(late).cast("long"))
+
+
 def text_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder of text files with a document to a line, as JSON; 1,000 lines a file at most."""
     at = scratch(spark, "texts")

@@ -19,6 +19,9 @@ SIZE_RATIO, AREA_RATIO = 2.5, 1.7
 #: Per orientation: largest gap across in character sizes, least overlap along as a share of the smaller side.
 GAPS = {"vertical": (1.8, 0.2), "horizontal": (2.0, 0.15)}
 
+#: Side of a cell in which regions meet, in character sizes: large enough that most regions lie in one.
+CELL = 16.0
+
 
 def region_bounds(polygon: Column) -> Column:
     """(x0, y0, x1, y1) of an array of (x, y)."""
@@ -105,7 +108,7 @@ def region_pairs(regions: DataFrame) -> DataFrame:
 
 def _candidates(regions: DataFrame) -> DataFrame:
     """Regions a and b that meet in a cell, a being in a higher octave of character sizes or, in the same, of the lesser id.
-    Cells are squares of four times the octave's least size. Sizes that are near enough differ by two octaves at most: a
+    Cells are squares of CELL times the octave's least size. Sizes that are near enough differ by two octaves at most: a
     stands in the cells of its octave, grown across by the farthest gap that is allowed, b in those of its own octave and
     the two above. Of the cells in which a pair meets only that counts which holds the lower corner of the overlap."""
     c = F.col
@@ -113,7 +116,7 @@ def _candidates(regions: DataFrame) -> DataFrame:
     size, upright = char_size(c("orientation"), width, height), c("orientation") == "vertical"
     octave = F.floor(F.log2(size)).cast("int")
     grown = [F.when(upright == flag, F.ceil(size * GAPS[kind][0])).otherwise(0) for flag, kind in ((True, "vertical"), (False, "horizontal"))]
-    side = lambda octave: F.lit(4.0) * F.pow(F.lit(2.0), octave)
+    side = lambda octave: F.lit(CELL) * F.pow(F.lit(2.0), octave)
 
     def celled(rows: DataFrame) -> DataFrame:
         cells = lambda lo, hi, by: F.sequence(*(F.floor(v / side(c("level"))) for v in (c(lo) - c(by), F.greatest(lo, hi) + c(by))))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ferrytext.functions.text import extension
 from ferrytext.operators.archives import TEXT
@@ -29,7 +33,8 @@ def stream_ingest(spark: SparkSession, folder: str, checkpoint: str, handle: Cal
 
 
 def stream_job_status(events: DataFrame, watermark: str | None = None) -> DataFrame:
-    """``job_status_fold`` over a stream, for update mode. With a watermark, late rows beyond it are left out."""
+    """``job_status_fold`` over a stream, for update mode: a job's state stays for good. ``stream_job_state`` lets finished
+    jobs go and leaves late rows out."""
     return job_status_fold(events.withWatermark("ts", watermark) if watermark else events)
 
 
@@ -85,3 +90,80 @@ def stream_throughput(samples: DataFrame, seconds: float = 1.0, watermark: str =
     return timed.groupBy("download_id").applyInPandasWithState(
         run, EMITTED, "last double, ts array<double>, ns array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+FINISHED = ("completed", "failed")
+_RECORD = "created long, us long, seq long, kind string, status string, progress int, message string"
+_LOGGED = f"job_id long, {_RECORD}, expired boolean"
+
+
+def _plain(v):
+    """A value of a frame as Python's own; missing ones are None."""
+    return None if pd.isna(v) else v.item() if hasattr(v, "item") else v
+
+
+class JobState(StatefulProcessor):
+    """A job's latest record by (us, seq), in microseconds, with the time of its first update. A finished job goes once the
+    watermark is ``keep`` milliseconds past its last update; an update that comes later begins a new record."""
+
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.record = handle, handle.getValueState("record", _RECORD)
+
+    def _due(self, record: tuple) -> int | None:
+        return record[1] // 1000 + self.keep if record[4] in FINISHED else None
+
+    def _row(self, key: tuple, record: tuple, expired: bool) -> pd.DataFrame:
+        names = [x.split()[0] for x in _LOGGED.split(", ")]
+        return pd.DataFrame([(key[0], *record, expired)], columns=names).astype({"progress": "Int32"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = tuple(self.record.get()) if self.record.exists() else None
+        for frame in rows:
+            last = frame.sort_values(["us", "seq"]).iloc[-1]
+            first = min(int(frame["us"].min()), known[0] if known else int(frame["us"].min()))
+            found = tuple(_plain(last[c]) for c in ("us", "seq", "kind", "status", "progress", "message"))
+            latest = found if not known or found[:2] >= known[1:3] else known[1:]
+            known = (first, *latest[:4], None if latest[4] is None else int(latest[4]), latest[5])
+        self.record.update(known)
+        if (due := self._due(known)) is not None:
+            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key, known, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = tuple(self.record.get()) if self.record.exists() else None
+        if known and (due := self._due(known)) is not None and due <= expiredTimerInfo.getExpiryTimeInMs():
+            self.record.clear()
+            yield self._row(key, known, True)
+
+
+def stream_job_state(events: DataFrame, watermark: str = "6 hours", keep: int = 24 * 3_600_000) -> DataFrame:
+    """(job_id, created_at, updated_at, kind, status, progress, message, expired), for append mode: after every micro-batch
+    the record of each job that it updates, and once more, expired, when a finished job leaves the state. Rows at or
+    behind the watermark change nothing; ``late_rows`` counts them. State is a record per job that is not finished or not
+    long so. It needs the state store of RocksDB (``rocksdb_state``). Updates without an id are of one job; those without
+    a time are left out. Times without a zone are in that of the session."""
+    ts = F.col("ts").cast("timestamp")
+    timed = events.where("ts IS NOT NULL").select("job_id", "seq", ts.alias("ts"), F.unix_micros(ts).alias("us"), "kind", "status", "progress", "message")
+    log = timed.withWatermark("ts", watermark).groupBy("job_id").transformWithStateInPandas(JobState(keep), _LOGGED, "Append", "EventTime")
+    at = lambda c: F.timestamp_micros(c).cast(events.schema["ts"].dataType)
+    return log.select("job_id", at("created").alias("created_at"), at("us").alias("updated_at"), "kind", "status", "progress", "message", "expired")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def late_rows(progress: Iterable[StreamingQueryProgress]) -> int:
+    """Rows behind the watermark, over some micro-batches."""
+    return sum(state.numRowsDroppedByWatermark for p in progress for state in p.stateOperators)
