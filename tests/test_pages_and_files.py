@@ -410,16 +410,17 @@ def test_finished_jobs_leave_the_state_and_late_rows_are_counted(spark, tmp_path
     at = lambda h: d.datetime(2024, 1, 1) + d.timedelta(hours=h)
     first = [(1, 1, at(0), "t", "running", 5, "a"), (1, 2, at(1), "t", "completed", 100, "b"), (2, 3, at(2), "t", "failed", None, None), (3, 4, at(48), "t", "queued", 0, "")]
     second = [(1, 5, at(43), "t", "running", 9, "again"), (2, 6, at(42), "t", "running", 1, "at the mark"), (2, 7, at(3), "t", "running", 1, "late"), (3, 8, at(45), "t", "failed", 7, "older"), (4, 9, at(200), "t", "failed", 1, "new")]
-    out, late = [], []
+    out, late, seen = [], [], []
     for rows in (first, second):
         frame = events(spark, rows).withColumn("extra", F.lit(1))
         frame.write.mode("append").parquet(f"{tmp_path}/in")
         log = S.stream_job_state(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"))
         with S.rocksdb_state(spark):
-            run = log.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out{len(out)}")
+            run = log.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
             run.awaitTermination(120)
         late.append(S.late_rows(run.recentProgress))
-        found = spark.read.schema(log.schema).parquet(f"{tmp_path}/out{len(out)}").collect()
+        found = [r for r in spark.read.schema(log.schema).parquet(f"{tmp_path}/out").collect() if r not in seen]
+        seen += found
         out.append({(r["job_id"], r["expired"]): (r["created_at"], r["updated_at"], r["status"], r["progress"], r["message"]) for r in found})
     one, two = (at(0), at(1), "completed", 100, "b"), (at(2), at(2), "failed", None, None)
     assert out[0] == {(1, False): one, (1, True): one, (2, False): two, (2, True): two, (3, False): (at(48), at(48), "queued", 0, "")}
