@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ferrytext.llm.common import slices, tidied, worker_copy
 
@@ -197,13 +198,17 @@ def with_fingerprint(rows: DataFrame, text: str, to: str, against: str | None =
     return kept.mapInArrow(tidied(run), ", ".join(types))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal slots among those that either of two fingerprints fills, 0 to 1; 1 if neither fills any."""
-    starts = F.sequence(F.lit(1), F.lit(4 * SLOTS), F.lit(4))
-    slot = lambda c, i: F.substring(c, i, F.lit(4))
-    filled = F.size(F.filter(starts, lambda i: (slot(a, i) != "0000") | (slot(b, i) != "0000")))
-    equal = F.size(F.filter(starts, lambda i: (slot(a, i) == slot(b, i)) & (slot(a, i) != "0000")))
-    return F.when(a == b, 1.0).when(filled == 0, 1.0).otherwise(equal / filled)
+@F.arrow_udf(DoubleType())
+def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Share of equal slots among those that either of two fingerprints fills, 0 to 1; 1 if neither fills any; null if one is null."""
+    known = np.flatnonzero((a.is_valid().to_numpy(False) & b.is_valid().to_numpy(False)))
+    slots = lambda x: np.frombuffer("".join(x.take(pa.array(known)).to_pylist()).encode(), "S4").reshape(-1, SLOTS)
+    left, right = slots(a), slots(b)
+    filled = ((left != b"0000") | (right != b"0000")).sum(axis=1)
+    equal = ((left == right) & (left != b"0000")).sum(axis=1)
+    shares = np.full(len(a), np.nan)
+    shares[known] = np.where(filled == 0, 1.0, equal / np.maximum(filled, 1))
+    return pa.array(shares, pa.float64(), mask=np.isin(np.arange(len(a)), known, invert=True))
 
 
 #: Bytes of text that a bucket of the order of ids holds on average, and keys sampled per bucket to find where to cut.
