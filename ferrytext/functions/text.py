@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -164,9 +166,11 @@ def output_name(path: Column, suffix: str = "_zh") -> Column:
     return F.regexp_replace(path, r"(?s)\A(.*?[^/])(\.[^./]+)?\z", f"$1{suffix}$2")
 
 
-def inner_text(c: Column) -> Column:
-    """Text of a block: ruby readings and tags go, all entities, named and numbered, are decoded, ends are stripped."""
-    return py_strip(unescape(F.regexp_replace(F.regexp_replace(c, r"(?is)<rt\b[^>]*>.*?</rt>", ""), r"(?s)<[^>]+>", "")))
+def inner_text(c: Column, closed: bool = False) -> Column:
+    """Text of a block: ruby readings and tags go, all entities, named and numbered, are decoded (``closed``: those that end
+    in a semicolon only), ends are stripped."""
+    c = F.regexp_replace(F.regexp_replace(c, r"(?is)<rt\b[^>]*>.*?</rt>", ""), r"(?s)<[^>]+>", "")
+    return py_strip(unescape_closed(c) if closed else unescape(c))
 
 
 @F.arrow_udf(StringType())
@@ -175,6 +179,16 @@ def unescape(texts: pa.Array) -> pa.Array:
     return pa.array([t if t is None or "&" not in t else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
+_ENTITY = re.compile(r"&(?:#\d+|#[xX][\da-fA-F]+|(\w+));")
+
+
+@F.arrow_udf(StringType())
+def unescape_closed(texts: pa.Array) -> pa.Array:
+    """The same for whole entities, their semicolon included: a text may have been cut within one."""
+    whole = lambda m: html.unescape(m[0]) if m[1] is None or f"{m[1]};" in html5 else m[0]
+    return pa.array([t if t is None or "&" not in t else _ENTITY.sub(whole, t) for t in texts.to_pylist()], pa.string())
+
+
 #: Block elements, and elements that show a picture.
 BLOCK = r"(?is)<(p|h[1-6]|blockquote)\b[^>]*>(.*?)</\1>"
 MEDIA = r"(?i)<(?:img|image|svg)\b"
