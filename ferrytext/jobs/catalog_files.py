@@ -173,7 +173,8 @@ def erase_flat_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def looping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents, those of every third document three times over."""
     lines = T.normalize_ocr_lines(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(lines, lines, lines)).otherwise(lines).alias("lines"))
+    rows = C.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(lines, lines, lines)).otherwise(lines).alias("lines"))
 
 
 @query()

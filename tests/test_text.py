@@ -1,6 +1,8 @@
 """Text operators on small fixtures with exact expectations, and against plain statements of the same rules."""
 
 import random
+import time
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +186,30 @@ def test_decoding(spark):
     got = decode_text(rows).orderBy("i").collect()
     assert [(r["text"], r["encoding"]) for r in got] == [c[1:] for c in cases]
     assert got[4]["error"]
+
+
+def test_long_documents_are_searched_for_loops_in_time():
+    draw = random.Random(3)
+    syllables = ["th", "er", "an", "in", "ou", "re", "ti", "on", "es", "qua", "x", "vel", "j", "ko"]
+    lines = ["".join(draw.choice(syllables) for _ in range(130)) for _ in range(80)]
+    began = time.monotonic()
+    assert C.collapse_blocks(lines) == lines
+    assert C.collapse_blocks(lines * 3) == lines
+    assert C.truncate_tail("\n".join(lines)) == "\n".join(lines)
+    assert time.monotonic() - began < 5
+
+
+def test_likeness_is_that_of_difflib():
+    draw = random.Random(4)
+    for n in (3, 20, 150, 400):
+        for _ in range(25):
+            a = "".join(draw.choice("abcdefgh") for _ in range(n))
+            b = "".join(draw.choice("abcdefgh") if draw.random() < 0.3 else c for c in a)
+            ratio = SequenceMatcher(None, a, b).ratio()
+            assert C._alike(a, b, 0.7) == (ratio >= 0.7) and C._alike(a, b, ratio)
+            assert 2.0 * C._shared(a, b) / (2 * n) >= ratio
+
+
+def test_entities_that_were_cut_stay(spark):
+    raw = ["a &amp;&amp", "x &eacute; &lt &#12354; &#x3042 &notit; &am"]
+    assert column(spark, raw, lambda c: T.inner_text(c, closed=True)) == ["a &&amp", "x é &lt あ &#x3042 &notit; &am"]
