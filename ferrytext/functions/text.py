@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 #: What counts as white space, what ends a line, what ends a sentence, and the script looked for.
 WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITE_CHARS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_ENDS = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
 SENTENCE_ENDS = "。！？!?"
 JAPANESE = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]"
@@ -23,7 +24,7 @@ MAX_CHARS = 420
 
 def py_strip(c: Column) -> Column:
     """Without white space (ideographic blanks too) at both ends."""
-    return F.regexp_replace(c, rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def has_japanese(c: Column, pattern: str = JAPANESE) -> Column:
@@ -32,11 +33,10 @@ def has_japanese(c: Column, pattern: str = JAPANESE) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Array of (content, ending); only CR and LF are endings, other separators stay in the content."""
+    content = lambda x: F.rtrim(x, F.lit("\r\n"))
     return F.transform(
         F.regexp_extract_all(c, F.lit(LINE), 0),
-        lambda x: F.struct(
-            F.regexp_replace(x, r"[\r\n]+\z", "").alias("content"), F.regexp_extract(x, r"[\r\n]*\z", 0).alias("ending")
-        ),
+        lambda x: F.struct(content(x).alias("content"), F.substring(x, F.length(content(x)) + 1, F.lit(2)).alias("ending")),
     )
 
 
@@ -107,9 +107,9 @@ def is_noise_text(c: Column) -> Column:
 
 def normalize_ocr_line(c: Column) -> Column:
     """A line of recognised text without marks and white space."""
-    c = py_strip(F.regexp_replace(py_strip(c), r"\A`+|`+\z", ""))
-    c = py_strip(F.regexp_replace(F.replace(c, F.lit("*"), F.lit("")), r"\A#+", ""))
-    return F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), rf"[{WHITE}]+", "")
+    c = py_strip(F.btrim(py_strip(c), F.lit("`")))
+    c = F.ltrim(F.replace(c, F.lit("*"), F.lit("")), F.lit("#"))
+    return F.translate(F.regexp_replace(c, r"<[^>]+>", " "), WHITE_CHARS, "")
 
 
 def normalize_ocr_lines(c: Column) -> Column:
