@@ -9,6 +9,7 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,29 +134,31 @@ def _candidates(regions: DataFrame) -> DataFrame:
     return a.join(b, reduce(and_, [*same, larger, *first]))
 
 
-def _pair_matrix(box: np.ndarray, vertical: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
-    """The same test for all regions of a page at once: rows for those of ``of``, or all."""
-    of = np.arange(len(box)) if of is None else of
-    x0, y0, x1, y1 = box.T
-    w, h = np.maximum(1, x1 - x0), np.maximum(1, y1 - y0)
-    size = np.where(vertical, w, h)
-    each = lambda f, v: f(v[of, None], v[None])
-    union = (each(np.maximum, x1) - each(np.minimum, x0)) * (each(np.maximum, y1) - each(np.minimum, y0))
-    area = w * h
-    mean = (size[of, None] + size) / 2
-    cut = lambda lo, hi: each(np.minimum, hi) - each(np.maximum, lo)
+def _together(a: np.ndarray, b: np.ndarray, a_vertical: np.ndarray, b_vertical: np.ndarray) -> np.ndarray:
+    """The same test for boxes (x0, y0, x1, y1 in the last axis) that stand opposite each other."""
+    (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = np.moveaxis(a, -1, 0), np.moveaxis(b, -1, 0)
+    aw, ah, bw, bh = (np.maximum(1, x) for x in (ax1 - ax0, ay1 - ay0, bx1 - bx0, by1 - by0))
+    a_size, b_size = np.where(a_vertical, aw, ah), np.where(b_vertical, bw, bh)
+    union = (np.maximum(ax1, bx1) - np.minimum(ax0, bx0)) * (np.maximum(ay1, by1) - np.minimum(ay0, by0))
+    mean = (a_size + b_size) / 2
+    cx, cy = np.minimum(ax1, bx1) - np.maximum(ax0, bx0), np.minimum(ay1, by1) - np.maximum(ay0, by0)
     (v_gap, v_lap), (h_gap, h_lap) = GAPS["vertical"], GAPS["horizontal"]
-    cx, cy = cut(x0, x1), cut(y0, y1)
-    along_v = (-cx <= mean * v_gap) & (np.maximum(0, cy) >= each(np.minimum, h) * v_lap)
-    along_h = (-cy <= mean * h_gap) & (np.maximum(0, cx) >= each(np.minimum, w) * h_lap)
+    along_v = (-cx <= mean * v_gap) & (np.maximum(0, cy) >= np.minimum(ah, bh) * v_lap)
+    along_h = (-cy <= mean * h_gap) & (np.maximum(0, cx) >= np.minimum(aw, bw) * h_lap)
     return (
-        (vertical[of, None] == vertical)
-        & (each(np.maximum, size) / each(np.minimum, size) <= SIZE_RATIO)
-        & (union <= (area[of, None] + area) * AREA_RATIO)
-        & np.where(vertical[of, None], along_v, along_h)
+        (a_vertical == b_vertical)
+        & (np.maximum(a_size, b_size) / np.minimum(a_size, b_size) <= SIZE_RATIO)
+        & (union <= (aw * ah + bw * bh) * AREA_RATIO)
+        & np.where(a_vertical, along_v, along_h)
     )
 
 
+def _pair_matrix(box: np.ndarray, vertical: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """The test for all regions of a page at once: rows for those of ``of``, or all."""
+    of = np.arange(len(box)) if of is None else of
+    return _together(box[of, None], box[None], vertical[of, None], vertical[None])
+
+
 def column_order(box: list[list[int]] | np.ndarray) -> list[int]:
     """Vertical reading order: from the right, each box joins the column that it overlaps most in y (at least 1, or 4 or its
     height if less), or begins one; columns by their right edge, boxes in a column by top."""
@@ -237,18 +240,50 @@ def merge_regions(regions: DataFrame, cap: float = 0) -> DataFrame:
         return [(page_id, nth, *row) for nth, row in enumerate(rows)]
 
     names = ["region_id", "x0", "y0", "x1", "y1", "text", "confidence", "orientation"]
-    return _by_page(regions, names, page, MERGED)
-
-
-def _by_page(regions: DataFrame, names: list[str], page: Callable[[int, list[dict]], list[tuple]], schema: str) -> DataFrame:
+    return _by_page(regions, names, page, MERGED, _unmerged)
+
+
+#: Regions of a page up to which all pages of a batch are tested for pairs together.
+FEW = 16
+
+
+def _unmerged(keys: pa.Array, found: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Which pages have so few regions, none of which belong together, and their rows: each region is a group."""
+    n = np.diff(found.offsets.to_numpy())
+    first, found_ = np.cumsum(n) - n, found.flatten()
+    column = lambda c: found_.field(c)
+    box = np.stack([column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], axis=1).astype(np.int64)
+    vertical = pc.fill_null(pc.equal(column("orientation"), "vertical"), False).to_numpy(zero_copy_only=False)
+    alone = n <= FEW
+    for k in range(2, int(n[alone].max(initial=0)) + 1):
+        pages = np.flatnonzero(n == k)
+        i, j = (first[pages, None] + side for side in np.triu_indices(k, 1))
+        alone[pages] = ~_together(box[i], box[j], vertical[i], vertical[j]).any(axis=1)
+    page = np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero(alone[page])
+    at = at[np.lexsort((at, box[at, 0], box[at, 1], page[at]))]
+    start = np.cumsum(n * alone) - n * alone
+    take = lambda c: column(c).take(pa.array(at))
+    nth = pa.array((np.arange(len(at)) - start[page[at]]).astype(np.int32))
+    boxes = [pa.array(box[at, c].astype(np.int32)) for c in range(4)]
+    return alone, [keys.take(pa.array(page[at])), nth, *boxes, take("text"), take("confidence"), take("orientation"), pa.array(np.ones(len(at), np.int32))]
+
+
+def _by_page(
+    regions: DataFrame, names: list[str], page: Callable[[int, list[dict]], list[tuple]], schema: str, at_once: Callable | None = None
+) -> DataFrame:
     """Rows of ``page`` (page_id, its regions in order of region_id) for every page, many pages at a time: one exchange,
-    and no frame per page."""
+    and no frame per page. ``at_once`` settles pages of a batch together and tells which; the rest go to ``page``."""
     pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("regions"))
     columns = [x.split()[0] for x in schema.split(", ")]
     types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if at_once:
+                settled, made = at_once(batch.column(0), batch.column(1))
+                yield pa.RecordBatch.from_arrays(made, columns)
+                batch = batch.filter(pa.array(~settled))
             rows = [r for key, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in page(key, found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], columns)
 

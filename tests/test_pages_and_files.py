@@ -3,6 +3,8 @@
 import io
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -433,3 +435,24 @@ def test_finished_jobs_leave_the_state_and_late_rows_are_counted(spark, tmp_path
     new = (at(200), at(200), "failed", 1, "new")
     assert out[1] == {(1, False): (at(43), at(43), "running", 9, "again"), (3, False): (at(45), at(48), "queued", 0, ""), (4, False): new}
     assert late == [0, 2] and "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_pages_without_pairs_are_settled_together():
+    draw = np.random.default_rng(5)
+    pages = []
+    for n in draw.integers(0, 20, 300):
+        low = draw.integers(0, 900, (n, 2))
+        boxes = np.concatenate([low, low + draw.integers(8, 60, (n, 2))], axis=1).tolist()
+        pages.append([dict(zip(("x0", "y0", "x1", "y1"), b), text=f"{k}", confidence=0.5, orientation=("vertical", "horizontal")[k % 2]) for k, b in enumerate(boxes)])
+    alone, columns = R._unmerged(pa.array(range(10, 10 + len(pages))), pa.array(pages).cast(pa.list_(pa.struct(
+        [*((c, pa.int32()) for c in ("x0", "y0", "x1", "y1")), ("text", pa.string()), ("confidence", pa.float64()), ("orientation", pa.string())]
+    ))))
+    want = []
+    for i, page in enumerate(pages):
+        box = np.array([[r[c] for c in ("x0", "y0", "x1", "y1")] for r in page], np.int64).reshape(-1, 4)
+        pairs = R._pair_matrix(box, np.array([r["orientation"] == "vertical" for r in page], bool))
+        assert alone[i] == (len(page) <= R.FEW and pairs.sum() == len(page))
+        if alone[i]:
+            order = sorted(range(len(page)), key=lambda k: (box[k][1], box[k][0]))
+            want += [(i + 10, nth, *box[k].tolist(), page[k]["text"], 0.5, page[k]["orientation"], 1) for nth, k in enumerate(order)]
+    assert 50 < alone.sum() < 300 and list(zip(*(c.to_pylist() for c in columns))) == want
