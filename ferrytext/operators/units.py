@@ -188,6 +188,10 @@ def translate_regions(rows: DataFrame, translate: Translator, *, batch: int = 8,
     return _sequences(rows, "page_id", translate, batch, grown(chars))
 
 
+#: Documents whose pieces are Python objects at one time.
+_ROWS = 64
+
+
 def localized(docs: DataFrame, translate: Translator, *, max_chars: int = MAX_CHARS, batch: int = 8, k: int = 4, chars: int = 1800) -> DataFrame:
     """(doc_id, text, segments, characters): documents with their units translated in order. A document's layout stays in
     its row, so nothing is shuffled."""
@@ -195,7 +199,7 @@ def localized(docs: DataFrame, translate: Translator, *, max_chars: int = MAX_CH
     rows = rows.select("doc_id", "characters", F.col("x.kind").alias("kinds"), F.col("x.piece").alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in batches:
+        for found in (batch.slice(at, _ROWS) for batch in batches for at in range(0, batch.num_rows, _ROWS)):
             texts, segments = [], []
             for kinds, pieces in zip(found.column("kinds").to_pylist(), found.column("pieces").to_pylist()):
                 at = [i for i, kind in enumerate(kinds or []) if kind == "unit"]

@@ -213,3 +213,10 @@ def test_likeness_is_that_of_difflib():
 def test_entities_that_were_cut_stay(spark):
     raw = ["a &amp;&amp", "x &eacute; &lt &#12354; &#x3042 &notit; &am"]
     assert column(spark, raw, lambda c: T.inner_text(c, closed=True)) == ["a &&amp", "x é &lt あ &#x3042 &notit; &am"]
+
+
+def test_long_batches_of_documents_keep_their_rows(spark):
+    n = 2 * U._ROWS + 3
+    rows = docs(spark, *(f"あ{i}。\nplain" for i in range(n)))
+    got = U.localized(rows.coalesce(1), U.echo).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [f"あ{i}。\nplain" for i in range(n)] and {r["segments"] for r in got} == {1}
