@@ -36,8 +36,9 @@ def write_page_images(images: DataFrame, path: str, mode: str = "append") -> Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [bitmap(*(batch.column(c)[i].as_py() for c in ("rgb", "height", "width"))) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+            for i in range(batch.num_rows):  # a picture at a time: a batch of them made anew would be held beside its rows
+                made = bitmap(*(batch.column(c)[i].as_py() for c in ("rgb", "height", "width")))
+                yield pa.RecordBatch.from_arrays([batch.column("path").slice(i, 1), pa.array([made], pa.binary())], ["path", "content"])
 
     rows = images.select("path", "height", "width", "rgb").mapInArrow(run, "path string, content binary")
     write_files(rows, path, mode)
