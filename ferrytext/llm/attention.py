@@ -18,6 +18,8 @@ import numpy as np
 WINDOW, FRESH = 16, 8
 CLASSES, WIDTH, INPUTS = 96, 16, 2048
 HEADS = 64
+#: Adam's largest step in the pass over all windows, a fifth of that in which the network starts.
+PASS_RATE = 0.002
 #: What is taken from every pair's count for ids that it was not seen with, and what an id's count is raised by.
 DISCOUNT, SMOOTH = 0.75, 0.1
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -130,7 +132,8 @@ class AttentionModel:
 
     counts: occurrences per id; cls: the class of each (``classes_of``); follows: how often each class comes after each
     id; pairs: ids, the ids before them, and counts, of the pairs to be remembered, most frequent first; windows: what the network
-    learns from (``windows_of``). Without windows the model is uniform over classes.
+    starts from (``windows_of``); ``passed`` and ``settle`` take it on to all others. Without windows the model is uniform over
+    classes.
     """
 
     def __init__(
@@ -182,39 +185,43 @@ class AttentionModel:
     def loss(self, windows: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log probability of the classes of the last FRESH ids of windows plus one, and its gradients;
         ids from n_ids on don't count."""
-        real, ids = windows[:, -FRESH:] < self.n_ids, np.minimum(windows, self.end)
-        w, inputs, target = self.w, self.inputs[ids[:, :-1]], self.cls[ids[:, -FRESH:]]
-        x = w["E"][inputs] + w["P"]
-        late = x[:, -FRESH:]
-        q, k, v = late @ w["Q"], x @ w["K"], x @ w["V"]
+        n, ids, real = len(windows), np.minimum(windows, self.end), (windows[:, -FRESH:] < self.n_ids).ravel()
+        w, inputs, target = self.w, self.inputs[ids[:, :-1]].ravel(), self.cls[ids[:, -FRESH:]].ravel()
+        flat, each = lambda m: m.reshape(-1, m.shape[-1]), lambda m: m.reshape(n, -1, m.shape[-1])
+        deep = w["E"].take(inputs, axis=0).reshape(n, WINDOW, WIDTH) + w["P"]
+        x, late = flat(deep), flat(deep[:, -FRESH:])
+        q, k, v = each(late @ w["Q"]), each(x @ w["K"]), each(x @ w["V"])
         a = np.exp(np.clip(q @ k.transpose(0, 2, 1) / WIDTH**0.5, -30, 30)) * np.tri(WINDOW, dtype=np.float32)[-FRESH:]
         a /= a.sum(-1, keepdims=True)
-        h = a @ v + late
-        z = h @ w["O"] + w["b"] + self.after[self.row[ids[:, -FRESH - 1 : -1]]]
-        z -= z.max(-1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(-1, keepdims=True)
-        rows = np.arange(target.size)
-        d = p.reshape(-1, CLASSES)
-        value = float(-np.log(d[rows, target.ravel()] + 1e-12)[real.ravel()].mean())
-        d[rows, target.ravel()] -= 1
-        d[~real.ravel()] = 0
-        d = (d / real.sum()).reshape(p.shape)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"b": flat(d).sum(0), "O": flat(h).T @ flat(d)}
-        dh = d @ w["O"].T
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
+        h = flat(a @ v) + late
+        d = h @ w["O"]
+        d += w["b"]
+        d += self.after.take(self.row[ids[:, -FRESH - 1 : -1]].ravel(), axis=0)
+        d -= d.max(-1, keepdims=True)
+        np.exp(d, out=d)
+        mass, rows = d.sum(-1), np.arange(len(target))
+        value = float(-np.log(d[rows, target] / mass + 1e-12)[real].mean())
+        weight = (real / real.sum()).astype(d.dtype)
+        d *= (weight / mass)[:, None]
+        d[rows, target] -= weight
+        g = {"b": np.ones(len(d), d.dtype) @ d, "O": h.T @ d}
+        late_by = d @ w["O"].T
+        dh = each(late_by)
+        da, dv = dh @ v.transpose(0, 2, 1), flat(a.transpose(0, 2, 1) @ dh)
         ds = a * (da - (da * a).sum(-1, keepdims=True)) / WIDTH**0.5
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"Q": flat(late).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv)}
-        dx = dk @ w["K"].T + dv @ w["V"].T
-        dx[:, -FRESH:] += dq @ w["Q"].T + dh
-        g["P"] = dx.sum(0)
+        dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
+        g |= {"Q": late.T @ dq, "K": x.T @ dk, "V": x.T @ dv}
+        dx = dk @ w["K"].T
+        dx += dv @ w["V"].T
+        each(dx)[:, -FRESH:] += each(dq @ w["Q"].T + late_by)
+        g["P"] = each(dx).sum(0)
+        order = np.argsort(inputs.astype(np.uint16), kind="stable")
+        starts = np.flatnonzero(np.diff(inputs[order], prepend=-1))
         g["E"] = np.zeros_like(w["E"])
-        np.add.at(g["E"], inputs.ravel(), flat(dx))
+        g["E"][inputs[order[starts]]] = np.add.reduceat(dx.take(order, axis=0), starts, axis=0)
         return value, g
 
-    def _train(self, windows: np.ndarray, steps: int, batch: int, rng: np.random.Generator) -> None:
+    def _train(self, windows: np.ndarray, steps: int, batch: int, rng: np.random.Generator, top: float = 0.01) -> None:
         """Adam on the windows in random order; all of them, and again where ``steps`` batches need more."""
         if not len(windows):
             return
@@ -226,12 +233,26 @@ class AttentionModel:
                 order = np.concatenate([order, rng.permutation(len(windows))])
             at, order = order[:batch], order[batch:]
             _, g = self.loss(windows[at].astype(np.int64))
-            rate = 0.01 * min(1, step / 30) * (1 - 0.9 * step / steps)
+            rate = top * min(1, step / 30) * (1 - 0.9 * step / steps)
             for k in self.w:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
                 self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
+    def passed(self, windows: np.ndarray, batch: int = 256, top: float = PASS_RATE) -> np.ndarray:
+        """All weights in a row after a pass over the windows, each of which is learned from once; the model stays as it is."""
+        before = self.w
+        self.w = {k: v.copy() for k, v in before.items()}
+        self._train(windows, 0, min(batch, max(1, len(windows))), np.random.default_rng(len(windows)), top)
+        after, self.w = self.w, before
+        return np.concatenate([x.ravel() for x in after.values()])
+
+    def settle(self, weights: np.ndarray) -> None:
+        """Takes weights in a row as its own."""
+        parts = np.split(weights.astype(np.float32), np.cumsum([x.size for x in self.w.values()])[:-1])
+        self.w = {k: x.reshape(v.shape) for (k, v), x in zip(self.w.items(), parts)}
+        self._tables()
+
     def _tables(self) -> None:
         """Queries beside embeddings, keys beside values, by id and by place: what is looked up together lies together."""
         w = self.w

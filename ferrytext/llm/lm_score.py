@@ -5,8 +5,9 @@ stand, and how often its rarer words occur. All else is made from that table. Fr
 a sample; it only routes the work) are counted per document and block and their sums shipped to the tasks. All others
 are summed by word, pre-aggregated, and joined back: a row per block and word.
 
-The model's counts are sums over all training texts; the network learns from windows drawn from all of them, as many as
-grow with the cube root of the corpus.
+The model's counts are sums over all training texts. The network starts from windows drawn from all of them, as many as
+grow with the cube root of the corpus, and then learns from every window: texts are dealt to groups by a hash, each group is
+passed over from the same start, and the weights that come of it are averaged by the number of windows.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ BLOCK_BYTES = 8 << 20
 FREQUENT, FREQUENT_ROWS = 40_000, 8_000
 #: Pairs of ids that the model remembers; all are counted, and the shares of the rest go to single ids.
 MOST_PAIRS = 1 << 19
-#: The network learns from so many times the cube root of the number of windows of all training texts.
+#: The network starts from so many times the cube root of the number of windows of all training texts.
 WINDOWS_PER_ROOT = 1_000
+#: Windows of a group of texts that the network passes over on its own, and the sums of weights that the driver gets.
+GROUP_WINDOWS, SUMS = 1 << 17, 16
 #: Words over so many bytes are merged by the rank queue, whose time is about linear in their length.
 LONG_WORD = 1_000
 
@@ -266,9 +269,79 @@ def drawn_windows(table: DataFrame, end: int) -> np.ndarray:
     return windows[np.lexsort(windows.T)]
 
 
+def _dealt(table: DataFrame, end: int, groups: int) -> DataFrame:
+    """Training texts in groups by a hash of their id and ids: (grp, mark, ids), those of a group one after the other. Neither
+    groups nor their order depend on how the rows came."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _Listed(batch, i, end)
+                starts, names = np.cumsum(x.sizes) - x.sizes, x.doc_ids.to_pylist()
+                ids = [x.ids[starts[d] : starts[d] + x.sizes[d]].tobytes() for d in np.flatnonzero(~x.held)]
+                marks = [zlib.crc32(v, zlib.crc32(str(names[d]).encode())) for d, v in zip(np.flatnonzero(~x.held), ids)]
+                columns = [pa.array([m % groups for m in marks], pa.int32()), pa.array(marks, pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["grp", "mark", "ids"])
+
+    texts = table.where("word is null").select(*_LISTED).mapInArrow(tidied(run), "grp int, mark long, ids binary")
+    return texts.repartition(min(groups, 4096), "grp").sortWithinPartitions("grp", "mark", "ids")
+
+
+def _windows(texts: list[bytes], end: int) -> np.ndarray:
+    """Every window of some texts' ids."""
+    kind = packed(end)
+    stream, first = framed(np.frombuffer(b"".join(texts), kind), np.array([len(t) // kind().itemsize for t in texts]), end)
+    return windows_of(stream.astype(kind), scored_rows(stream, first))
+
+
+def passed_over(table: DataFrame, model: AttentionModel, group: int = GROUP_WINDOWS) -> tuple[np.ndarray, int]:
+    """The network's weights, in a row, after a pass over every window of all training texts, and how many windows these were.
+    Groups of about ``group`` windows are passed over on their own, from the same start; weights are means over groups by
+    their windows."""
+    rows = lambda x: F.when(x["held"], 0).otherwise(1 + F.floor(x["sizes"] / FRESH))
+    size = F.aggregate(F.arrays_zip("held", "sizes"), F.lit(0).cast("long"), lambda n, x: n + rows(x))
+    groups = -(-(table.where("word is null").agg(F.sum(size)).first()[0] or 0) // group)
+    if not groups:
+        return np.zeros(0), 0
+    shipped, end = table.sparkSession.sparkContext.broadcast(model), model.end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, texts, held, nth = shipped.value, [], 0, 0
+
+        def learned(grp: int) -> pa.RecordBatch:
+            windows = _windows(texts, end)
+            columns = [[grp % SUMS], [grp], [nth], [len(windows)], [model.passed(windows).tobytes()]]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "grp", "nth", "n", "weights"])
+
+        last = None
+        for batch in batches:
+            for grp, ids in zip(batch.column("grp").to_pylist(), batch.column("ids").to_pylist()):
+                if texts and (grp != last or held >= 4 * group):  # a group of many copies is several, in bounded memory
+                    yield learned(last)
+                    texts, held, nth = [], 0, nth + 1
+                last, held = grp, held + 1 + len(ids) // (FRESH * packed(end)().itemsize)
+                texts.append(ids)
+        if texts:
+            yield learned(last)
+
+    def add(found: pa.Table) -> pa.Table:
+        sums = 0.0
+        for r in sorted(found.to_pylist(), key=lambda r: (r["grp"], r["nth"])):
+            sums = sums + r["n"] * np.frombuffer(r["weights"], np.float32).astype(float)
+        return pa.table({"part": found["part"][:1], "n": [pc.sum(found["n"]).as_py()], "sums": [sums.tobytes()]})
+
+    tasks = _dealt(table, end, groups).select("grp", "ids").mapInArrow(tidied(run), "part int, grp int, nth int, n long, weights binary")
+    found = stored(tasks.groupBy("part").applyInArrow(add, "part int, n long, sums binary"), "weights").orderBy("part").collect()
+    shipped.unpersist()
+    n = sum(r["n"] for r in found)
+    return sum(np.frombuffer(r["sums"]) for r in found) / n, n
+
+
 def learned(table: DataFrame, n_frequent: int, end: int) -> tuple[AttentionModel, np.ndarray]:
     """The model and the occurrences of frequent words, from the training documents of a table of blocks. The driver gets
-    sums per id, per id and head, and per id and class, at most MOST_PAIRS pairs, and the network's windows."""
+    sums per id, per id and head, and per id and class, at most MOST_PAIRS pairs, the windows that the network starts from, and
+    SUMS sums of its weights."""
     n_ids = end + 1
     sums = stored(counted(table, n_frequent, end), "pair-counts")
 
@@ -308,6 +381,9 @@ def learned(table: DataFrame, n_frequent: int, end: int) -> tuple[AttentionModel
     kept = [kept[c].to_numpy() for c in ("id", "before", "n")]
     order = np.lexsort((kept[0], kept[1], -kept[2]))
     model = AttentionModel(counts, cls, follows, tuple(x[order] for x in kept), drawn_windows(table, end))
+    weights, n = passed_over(table, model)
+    if n:
+        model.settle(weights)
     return model, occurrences
 
 

@@ -200,6 +200,28 @@ def test_language_model_learns_from_all_parts_of_all_texts(spark):
     assert lm_score.counted(lm_score.blocks(held, frequent, RANKS, P.PATTERN), 2, end).where("key >= 0").count() == 0
 
 
+def test_network_learns_from_every_window(spark):
+    """Though only few windows are drawn for its start."""
+    texts = [f"one {'two ' * (i % 9)}three{i % 50} four five {i}" for i in range(600)] + [None, "", "rare " * 900]
+    rows = spark.createDataFrame([*enumerate(texts), (None, "no id"), (None, "no id")], "doc_id long, text string")
+    rows = rows.selectExpr("doc_id", "cast(coalesce(text, '') as binary) text", "coalesce(doc_id % 5 = 1, false) held")
+    subwords = lm_score.Subwords(RANKS, P.PATTERN)
+    end, held = subwords.end, lambda i: i is not None and i % 5 == 1
+    want = sum(1 + len(subwords.encode(lm_score.words_of((t or "").encode()))[0]) // attention.FRESH for i, t in enumerate(texts) if not held(i)) + 2
+    found = []
+    for parts in (1, 4):
+        table = lm_score.blocks(rows.repartition(parts), [b"two", b"rare"], RANKS, P.PATTERN).cache()
+        model, _ = lm_score.learned(table, 2, end)
+        weights, n = lm_score.passed_over(table, model, group=300)
+        assert n == want
+        found.append(weights)
+    assert (found[0] == found[1]).all()
+    few = lm_score._windows([np.array([], lm_score.packed(end)).tobytes()], end)
+    before = model.w["b"].copy()
+    model.settle(weights)
+    assert len(few) == 1 and (model.w["b"] != before).any()
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_language_model_beats_word_counts_on_held_out_texts(spark, sf):
     got = score_texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), RANKS, P.PATTERN)
