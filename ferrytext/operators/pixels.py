@@ -17,9 +17,14 @@ DARK, LIGHT = [25] * 3, [245] * 3
 
 
 def _grow(mask: np.ndarray) -> np.ndarray:
-    """3 x 3 dilation."""
-    wide = np.pad(mask, 1)
-    return np.logical_or.reduce([wide[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)])
+    """3 x 3 dilation of a mask, or of each of many."""
+    wide = mask.copy()
+    wide[..., 1:, :] |= mask[..., :-1, :]
+    wide[..., :-1, :] |= mask[..., 1:, :]
+    out = wide.copy()
+    out[..., 1:] |= wide[..., :-1]
+    out[..., :-1] |= wide[..., 1:]
+    return out
 
 
 def _shrink(mask: np.ndarray) -> np.ndarray:
@@ -48,40 +53,58 @@ def runs_of(mask: np.ndarray) -> list[dict]:
     return [{"start": int(a), "length": int(b - a)} for a, b in ends]
 
 
+def _cut(rgb: np.ndarray, polygon: np.ndarray, padding: int) -> tuple[int, int, np.ndarray]:
+    """Where a region with its padding begins in its picture, and its pixels."""
+    (x0, y0), (x1, y1) = np.maximum(polygon.min(0) - padding, 0), np.minimum(polygon.max(0) + padding, [rgb.shape[1] - 1, rgb.shape[0] - 1])
+    return int(x0), int(y0), rgb[y0 : y1 + 1, x0 : x1 + 1]
+
+
 def region_stats(rgb: np.ndarray, polygon: np.ndarray, padding: int = PADDING) -> dict:
     """Of a region (its corners, which belong to it) with some padding: place in the picture, background (median of the
-    border) and its spread, the text's colour, weight and share of the polygon, and the text's mask.
+    border) and its spread, the text's colour, weight and share of the polygon, and the text's mask."""
+    x0, y0, crop = _cut(rgb, polygon, padding)
+    return {"x0": x0, "y0": y0, **_stats_of(crop[None], polygon_mask(polygon - [x0, y0], *crop.shape[:2]))[0]}
+
+
+def _stats_of(crops: np.ndarray, shape: np.ndarray) -> list[dict]:
+    """The statistics of regions of one size and shape.
 
     Text differs from the background by the percentile of the polygon or the least difference; where that is next to
     nothing, it is what is clearly darker than a light ground or lighter than a dark one; where it is too much, only
     the strongest part is. Its colour is that of the fifth that is farthest from the ground in brightness.
     """
-    (x0, y0), (x1, y1) = np.maximum(polygon.min(0) - padding, 0), np.minimum(polygon.max(0) + padding, [rgb.shape[1] - 1, rgb.shape[0] - 1])
-    crop = rgb[y0 : y1 + 1, x0 : x1 + 1].astype(np.float32)
-    shape = polygon_mask(polygon - [x0, y0], *crop.shape[:2])
-    edge = np.concatenate([crop[0], crop[-1], crop[:, 0], crop[:, -1]])
-    background, spread, area = np.median(edge, axis=0), float(edge.std()), max(1, int(shape.sum()))
-    ground = float(background.mean())
-    difference = np.linalg.norm(crop - background, axis=2)
-    share = lambda q: float(np.percentile(difference[shape], q)) if shape.any() else 0.0
-    mask = shape & (difference >= max(LEAST_DIFFERENCE, share(PERCENTILE)))
-    if mask.sum() < MIN_FILL * area:
-        light = np.floor(crop @ LUMA + 0.5)
-        mask = shape & (light < int(ground - LUMA_STEP) if ground > 128 else light > min(255, int(ground + LUMA_STEP)))
-    if mask.sum() > MAX_FILL * area:
-        mask = shape & (difference >= share(100 * (1 - MAX_FILL)))
-    fill = float(mask.sum() / area)
-    mask = _grow(_shrink(_grow(mask)))
-    contrast = DARK if ground > 128 else LIGHT
-    color, text = contrast, crop[mask]
-    if len(text):
-        far = np.argsort(-np.abs(text.mean(axis=1) - ground), kind="stable")
-        color = np.median(text[far[: max(1, int(len(far) * STRONGEST))]], axis=0).astype(int).tolist()
-    background = background.astype(int).tolist()
-    if np.linalg.norm(np.subtract(color, background)) < CONTRAST:
-        color = contrast
-    weight = "bold" if fill > BOLD else "normal"
-    return {"x0": int(x0), "y0": int(y0), "background": background, "spread": spread, "color": color, "weight": weight, "fill": fill, "mask": mask}
+    n, crops = len(crops), crops.astype(np.float32)
+    edge = np.concatenate([crops[:, 0], crops[:, -1], crops[:, :, 0], crops[:, :, -1]], axis=1)
+    background, spread, area = np.median(edge, axis=1), edge.reshape(n, -1).std(axis=1), max(1, int(shape.sum()))
+    grounds = background.mean(axis=1)
+    difference = np.linalg.norm(crops - background[:, None, None], axis=3)
+    inside = difference[:, shape]
+    share = lambda x, q: np.percentile(x, q, axis=-1).astype(np.float32) if shape.any() else np.zeros(x.shape[:-1], np.float32)
+    least = np.maximum(np.float32(LEAST_DIFFERENCE), share(inside, PERCENTILE))
+    masks = shape & (difference >= least[:, None, None])
+    sums = masks.sum((1, 2))
+    for i in np.flatnonzero(sums < MIN_FILL * area):
+        light, ground = np.floor(crops[i] @ LUMA + 0.5), float(grounds[i])
+        masks[i] = shape & (light < int(ground - LUMA_STEP) if ground > 128 else light > min(255, int(ground + LUMA_STEP)))
+        sums[i] = masks[i].sum()
+    for i in np.flatnonzero(sums > MAX_FILL * area):
+        masks[i] = shape & (difference[i] >= share(inside[i], 100 * (1 - MAX_FILL)))
+        sums[i] = masks[i].sum()
+    masks, far_off = _grow(_shrink(_grow(masks))), -np.abs(crops.mean(axis=3) - grounds[:, None, None])
+    rows = []
+    for i in range(n):
+        mask, fill, contrast = masks[i], float(sums[i] / area), DARK if grounds[i] > 128 else LIGHT
+        color, text, ground = contrast, crops[i][mask], background[i].astype(int).tolist()
+        if len(text):
+            far = np.argsort(far_off[i][mask], kind="stable")
+            strongest = np.sort(text[far[: max(1, int(len(far) * STRONGEST))]], axis=0)
+            k = len(strongest)
+            color = ((strongest[(k - 1) // 2] + strongest[k // 2]) / 2).astype(int).tolist()
+        if sum((a - b) ** 2 for a, b in zip(color, ground)) < CONTRAST**2:
+            color = contrast
+        weight = "bold" if fill > BOLD else "normal"
+        rows.append({"background": ground, "spread": float(spread[i]), "color": color, "weight": weight, "fill": fill, "mask": mask})
+    return rows
 
 
 PIXELS = "page_id long, region_id int, background array<int>, color array<int>, weight string, fill double, flat boolean"
@@ -95,18 +118,36 @@ def _pages(images: DataFrame, regions: DataFrame) -> DataFrame:
     polygon = F.col("polygon") if "polygon" in regions.columns else box
     shapes = regions.select("page_id", F.struct("region_id", polygon.alias("polygon")).alias("r"))
     shapes = shapes.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("regions"))
-    return images.select("page_id", "height", "width", "rgb").join(shapes, "page_id", "left")
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small pictures are much work too
+    return images.select("page_id", "height", "width", "rgb").repartition(parts, "page_id").join(shapes, "page_id", "left")
+
+
+#: Pages whose regions are judged together, and regions of one size and shape, by their pixels at most.
+PAGES_AT_ONCE, PIXELS_AT_ONCE = 64, 1 << 18
 
 
 def _each(batch: pa.RecordBatch, padding: int) -> Iterator[tuple[int, np.ndarray, list[tuple[int, dict]]]]:
-    for page in batch.to_pylist():
-        rgb = np.frombuffer(page["rgb"], np.uint8).reshape(page["height"], page["width"], 3)
-        found = []
-        for r in page["regions"] or []:
-            polygon = np.array([(p["x"], p["y"]) for p in r["polygon"]], np.int64)
-            if len(polygon) and (polygon.min(0) < rgb.shape[1::-1]).all() and (polygon.max(0) >= 0).all():
-                found.append((r["region_id"], region_stats(rgb, polygon, padding)))
-        yield page["page_id"], rgb, found
+    """Pages with the statistics of their regions, in order. Regions of one size and shape are judged together."""
+    for first in range(0, batch.num_rows, PAGES_AT_ONCE):
+        pages, alike = [], {}
+        for page in batch.slice(first, PAGES_AT_ONCE).to_pylist():
+            rgb = np.frombuffer(page["rgb"], np.uint8).reshape(page["height"], page["width"], 3)
+            pages.append((page["page_id"], rgb, found := []))
+            for r in page["regions"] or []:
+                polygon = np.array([(p["x"], p["y"]) for p in r["polygon"]], np.int64)
+                if len(polygon) and (polygon.min(0) < rgb.shape[1::-1]).all() and (polygon.max(0) >= 0).all():
+                    x0, y0, crop = _cut(rgb, polygon, padding)
+                    stats = {"x0": x0, "y0": y0}
+                    found.append((r["region_id"], stats))
+                    polygon -= [x0, y0]
+                    alike.setdefault((crop.shape, polygon.tobytes()), []).append((stats, crop, polygon))
+        for ((height, width, _), _), rows in alike.items():
+            shape, step = polygon_mask(rows[0][2], height, width), max(1, PIXELS_AT_ONCE // (height * width))
+            for a in range(0, len(rows), step):
+                some = rows[a : a + step]
+                for (stats, _, _), made in zip(some, _stats_of(np.stack([crop for _, crop, _ in some]), shape)):
+                    stats.update(made)
+        yield from pages
 
 
 def region_pixel_stats(images: DataFrame, regions: DataFrame, padding: int = PADDING) -> DataFrame:

@@ -412,6 +412,26 @@ def test_masks_to_be_painted_anew_are_runs(spark):
     assert marked == np.flatnonzero(want).tolist() and want.any()
 
 
+def _small_pictures(spark, n):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    pictures = [np.where(rng.random((24, 30, 1)) < rng.random(), 250, rng.integers(0, 256, (24, 30, 3))).astype(np.uint8) for _ in range(n)]
+    images = spark.createDataFrame([(i, 24, 30, x.tobytes()) for i, x in enumerate(pictures)], "page_id long, height int, width int, rgb binary")
+    boxes = [(1, 3, 3, 20, 15), (2, -4, 9, 18, 40), (3, 6, 6, 23, 18)]
+    regions = spark.createDataFrame([(i, *b) for i in range(n) for b in boxes], "page_id long, region_id int, x0 int, y0 int, x1 int, y1 int")
+    corners = {i: np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)]) for i, x0, y0, x1, y1 in boxes}
+    return pictures, images.coalesce(1), regions.coalesce(1), corners
+
+
+def test_small_pictures_are_erased_in_many_tasks(spark):
+    pictures, images, regions, corners = _small_pictures(spark, 150)
+    got = P.erase_flat_regions(images, regions).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) > 1 and len(got) == 150
+    for r in got:
+        assert r["needs_inpaint"] == [i for i, c in corners.items() if P.region_stats(pictures[r["page_id"]], c)["spread"] >= P.FLAT]
+
+
 def test_finished_jobs_leave_the_state_and_late_rows_are_counted(spark, tmp_path):
     import datetime as d
 
