@@ -432,6 +432,15 @@ def test_small_pictures_are_erased_in_many_tasks(spark):
         assert r["needs_inpaint"] == [i for i, c in corners.items() if P.region_stats(pictures[r["page_id"]], c)["spread"] >= P.FLAT]
 
 
+def test_statistics_of_regions_judged_together_are_those_of_each(spark):
+    pictures, images, regions, corners = _small_pictures(spark, 150)
+    got = P.region_pixel_stats(images, regions).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in got}) > 1 and len(got) == 450
+    for r in got:
+        s = P.region_stats(pictures[r["page_id"]], corners[r["region_id"]])
+        assert (r["background"], r["color"], r["weight"], r["fill"], r["flat"]) == (s["background"], s["color"], s["weight"], s["fill"], s["spread"] < P.FLAT)
+
+
 def test_finished_jobs_leave_the_state_and_late_rows_are_counted(spark, tmp_path):
     import datetime as d
 
