@@ -221,9 +221,11 @@ def horizontal_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples come in two portions, earlier and later ones; the stream is stopped between them and goes on from its
     checkpoint."""
+    at = scratch(spark, "rates")
     rows = rate_samples(spark, sf_dir).withColumn("force", F.col("t") == F.max("t").over(Window.partitionBy("download_id")))
+    rows.write.parquet(f"{at}/samples")  # sorted by download once, not once for each portion
+    rows = spark.read.schema(rows.schema).parquet(f"{at}/samples")
     middle = rows.agg(F.percentile_approx("t", 0.5)).first()[0] or 0.0
-    at = scratch(spark, "rates")
     for portion in (rows.where(F.col("t") <= middle), rows.where(F.col("t") > middle)):
         portion.write.mode("append").parquet(f"{at}/in")
         stream = S.stream_throughput(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), 3600, "4 hours")

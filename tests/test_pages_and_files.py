@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +220,34 @@ def test_stream_throughput_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, S.batch_throughput(rows).collect()))
 
 
+def test_stream_throughput_makes_no_frame_work_per_download(spark, tmp_path, monkeypatch):
+    """Its groups are many and small, so each costs a few lists: frames are neither joined nor sorted nor walked."""
+    run = []
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandasWithState", lambda self, f, *_: run.append(f))
+    S.stream_throughput(spark.createDataFrame([], "download_id long, t double, bytes long, force boolean"))
+
+    class State:
+        hasTimedOut, exists, get, due = False, False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, ms):
+            self.due = ms
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    for name in ("sort_values", "itertuples", "insert"):
+        monkeypatch.setattr(pd.DataFrame, name, None)
+    state, samples, got = State(), [(t / 2, t * 10, t == 19) for t in range(20)], []
+    for frames in ([samples[5:10], samples[:5]], [samples[10:][::-1]]):
+        got += [f for f in run[0]((7,), iter([pd.DataFrame(x, columns=["t", "bytes", "force"]) for x in frames]), state)]
+    want, last, kept = S.throttled(samples, None, [])
+    assert [tuple(x) for f in got for x in f.to_numpy().tolist()] == [(7, *x) for x in want]
+    assert state.get == (last, [t for t, _ in kept], [n for _, n in kept]) and state.due > 0
+
+
 def test_stream_ingest_takes_new_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("あ。", encoding="utf-8")
