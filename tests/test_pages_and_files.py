@@ -470,6 +470,17 @@ def test_statistics_of_regions_judged_together_are_those_of_each(spark):
         assert (r["background"], r["color"], r["weight"], r["fill"], r["flat"]) == (s["background"], s["color"], s["weight"], s["fill"], s["spread"] < P.FLAT)
 
 
+def test_pages_from_tables_are_recognised_in_batches(spark):
+    from ferrytext.operators import recognition as G
+
+    cells = "array<struct<region_id: int, x0: int, y0: int, x1: int, y1: int, confidence: double, text: string>>"
+    pages = spark.createDataFrame([(5, [(1, 2, 3, 4, 5, 0.5, "a"), (2, 6, 7, 8, 9, None, None)]), (6, None), (7, []), (8, [(1, 0, 0, 1, 1, 1.0, "b")])], f"page_id long, regions {cells}")
+    got = sorted(map(tuple, G.recognize_pages(pages.coalesce(1), G.from_table).collect()))
+    assert got == sorted(map(tuple, G.recognize_pages(pages, lambda p: G.from_table(p) if p["regions"] else []).collect()))
+    page, columns = G.from_table.at_once(pa.record_batch({"page_id": [5], "regions": [[{c: 1 for c in ("x0", "y0", "x1", "y1", "confidence", "text")}]]}))
+    assert page.tolist() == [0] and len(columns) == 6
+
+
 def test_finished_jobs_leave_the_state_and_late_rows_are_counted(spark, tmp_path):
     import datetime as d
 
