@@ -101,10 +101,44 @@ def _mergeable() -> Column:
 
 
 def region_pairs(regions: DataFrame) -> DataFrame:
-    """(page_id, a, b), a < b: regions of one page and orientation that belong together. Regions meet in cells of a grid of
+    """(page_id, a, b), a < b: regions of one page and orientation that belong together. Pages of at most AT_ONCE regions are
+    tested many at a time, in the exchange that their regions came by. On larger ones regions meet in cells of a grid of
     their page only, so that those far from each other are no candidates and a page with many regions is many groups."""
-    pairs, ids = _candidates(regions).where(_mergeable()), ("a.region_id", "b.region_id")
-    return pairs.select(F.col("a.page_id"), F.least(*ids).alias("a"), F.greatest(*ids).alias("b"))
+    known = regions.dropna(subset=["page_id", "region_id", "orientation", "x0", "y0", "x1", "y1"])
+    large = known.groupBy("page_id").count().where(F.col("count") > AT_ONCE).select("page_id")
+    if large.isEmpty():
+        return _pairs_by_page(known)
+    pairs, ids = _candidates(known.join(large, "page_id", "left_semi")).where(_mergeable() & (F.col("a.region_id") != F.col("b.region_id"))), ("a.region_id", "b.region_id")
+    met = pairs.select(F.col("a.page_id"), F.least(*ids).alias("a"), F.greatest(*ids).alias("b"))
+    return _pairs_by_page(known.join(large, "page_id", "left_anti")).unionByName(met)
+
+
+def _pairs_by_page(regions: DataFrame) -> DataFrame:
+    """The pairs of pages of few regions: pages of one number of regions are tested together."""
+    page, region = (regions.schema[c].dataType.simpleString() for c in ("page_id", "region_id"))
+    names = ["region_id", "orientation", "x0", "y0", "x1", "y1"]
+    pages = regions.groupBy("page_id").agg(F.collect_list(F.struct(*names)).alias("regions")).where(F.size("regions") > 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = batch.column(0), batch.column(1)
+            n, column = np.diff(found.offsets.to_numpy()), found.flatten().field
+            first, ids, kind = np.cumsum(n) - n, column("region_id").to_numpy(), column("region_id").type
+            box = np.stack([column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1).astype(np.int64)
+            vertical = pc.equal(column("orientation"), "vertical").to_numpy(zero_copy_only=False)
+            for k in np.unique(n):
+                one, other = np.triu_indices(k, 1)
+                alike, step = np.flatnonzero(n == k), max(1, (1 << 18) // len(one))
+                for at in range(0, len(alike), step):
+                    some = alike[at : at + step]
+                    i, j = first[some, None] + one, first[some, None] + other
+                    row, pair = np.nonzero(_together(box[i], box[j], vertical[i], vertical[j]) & (ids[i] != ids[j]))
+                    a, b = ids[i[row, pair]], ids[j[row, pair]]
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pa.array(some[row])), pa.array(np.minimum(a, b), kind), pa.array(np.maximum(a, b), kind)], ["page_id", "a", "b"]
+                    )
+
+    return pages.mapInArrow(run, f"page_id {page}, a {region}, b {region}")
 
 
 def _candidates(regions: DataFrame) -> DataFrame:

@@ -481,6 +481,23 @@ def test_pages_from_tables_are_recognised_in_batches(spark):
     assert page.tolist() == [0] and len(columns) == 6
 
 
+def test_pairs_of_small_pages_need_no_cells_and_those_of_large_ones_do(spark):
+    rng, rows = np.random.default_rng(9), []
+    for page, n in [*((p, 1 + p % 20) for p in range(60)), (99, 600)]:
+        x, y, w, h = (rng.integers(lo, hi, n) for lo, hi in ((0, 300), (0, 300), (8, 60), (8, 60)))
+        rows += [(page, i, *map(int, (x[i], y[i], x[i] + w[i], y[i] + h[i]))) for i in range(n)]
+    frame = R.with_orientation(spark.createDataFrame([*rows, (None, 1, 0, 0, 9, 9)], "page_id long, region_id int, x0 int, y0 int, x1 int, y1 int"))
+    want = set()
+    for page in {r[0] for r in rows}:
+        box = np.array([r[2:] for r in rows if r[0] == page])
+        upright = box[:, 3] - box[:, 1] > (box[:, 2] - box[:, 0]) * 1.2
+        want |= {(page, int(a), int(b)) for a, b in np.argwhere(R._pair_matrix(box, upright)) if a < b}
+    got = [tuple(r) for r in R.region_pairs(frame).collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = R.region_pairs(frame.where("page_id < 60"))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
 def test_finished_jobs_leave_the_state_and_late_rows_are_counted(spark, tmp_path):
     import datetime as d
 
