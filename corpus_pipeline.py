@@ -16,7 +16,7 @@ from ferrytext.llm.suffix_dedup import PASSAGE, without_repeats
 
 #: The stages share the executors' memory one after the other, so texts go to Python in batches of so many bytes, unless
 #: the session has a bound of its own.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def small_batches(spark: SparkSession) -> None:

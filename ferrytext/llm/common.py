@@ -55,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str = "tex
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _KEPT: list[Any] = [None, None]
+_OPERATOR: list[str | None] = [None]
 
 
 def worker_copy(make: Callable[..., Any], *args: Any) -> Any:
@@ -67,9 +68,12 @@ def worker_copy(make: Callable[..., Any], *args: Any) -> Any:
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, a function for mapInArrow, after which the worker gives the memory that its task has freed back to the system."""
+    """``run``, a function for mapInArrow, after which the worker gives the memory that its task has freed back to the system.
+    A worker that comes from another function drops what that one has kept first."""
+    operator = f"{run.__module__}.{run.__qualname__}"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(operator)
         try:
             yield from run(batches)
         finally:
@@ -78,6 +82,12 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
+def _begin(operator: str) -> None:
+    if _OPERATOR[0] != operator:
+        _OPERATOR[0], _KEPT[:] = operator, (None, None)
+        _give_back()
+
+
 def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     if _TRIM:

@@ -25,8 +25,8 @@ from ferrytext.llm.suffix_sort import common_prefix, deep_shallow_sort
 
 LENGTH = 400
 GRAM = 64
-#: Bytes that are searched for spans at once, and that come from Python in a batch.
-SEGMENT, BATCH = 1 << 20, 2 << 20
+#: Bytes that are searched for spans at once (some 60 bytes of arrays for each), and that come from Python in a batch.
+SEGMENT, BATCH = 1 << 18, 2 << 20
 #: Bytes of a passage of about fifty words.
 PASSAGE = 240
 #: Variants that one group may hold: about 1 KB and, in array operations, 20,000 comparisons each.

@@ -606,3 +606,35 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(docs, model).where("predicted = 1").count() == 0
     blank = toxicity.train(docs, labels.where("false"))
     assert toxicity.score_documents(docs, blank).where("predicted = 1").count() == 0 and toxicity.without_toxic(none, model).count() == 0
+
+
+def test_worker_drops_tables_of_another_operator():
+    from ferrytext.llm import common
+
+    def one(batches):
+        yield len(common.worker_copy(bytes, 5))
+
+    def other(batches):
+        yield common._KEPT[1]
+
+    assert list(common.tidied(one)(iter([]))) == [5] and common._KEPT[1] == bytes(5)
+    assert list(common.tidied(one)(iter([]))) == [5]
+    assert list(common.tidied(other)(iter([]))) == [None]
+
+
+def test_spans_of_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    text = np.random.default_rng(3).integers(97, 123, 2 << 20, np.uint8).tobytes()
+    batch = suffix_dedup.pa.RecordBatch.from_arrays(
+        [suffix_dedup.pa.array(x, t) for x, t in (([1], "int64"), ([2], "int64"), ([3], "int64"), ([text], "binary"))], ["doc_id", "k1", "k2", "text"]
+    )
+
+    class Keyed:
+        mapInArrow = staticmethod(lambda run, ddl: run)
+
+    tracemalloc.start()
+    found = list(suffix_dedup._spans(Keyed(), suffix_dedup.PASSAGE, suffix_dedup.GRAM)(iter([batch])))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found[0].column("n_bytes").to_pylist() == [len(text)] and most < 64 << 20
