@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,33 +74,31 @@ def _stats_of(crops: np.ndarray, shape: np.ndarray) -> list[dict]:
     nothing, it is what is clearly darker than a light ground or lighter than a dark one; where it is too much, only
     the strongest part is. Its colour is that of the fifth that is farthest from the ground in brightness.
     """
-    n, crops = len(crops), crops.astype(np.float32)
-    edge = np.concatenate([crops[:, 0], crops[:, -1], crops[:, :, 0], crops[:, :, -1]], axis=1)
-    background, spread, area = np.median(edge, axis=1), edge.reshape(n, -1).std(axis=1), max(1, int(shape.sum()))
-    grounds = background.mean(axis=1)
-    difference = np.linalg.norm(crops - background[:, None, None], axis=3)
+    n, area, values = len(crops), max(1, int(shape.sum())), crops.astype(np.float32)
+    edge = np.concatenate([values[:, 0], values[:, -1], values[:, :, 0], values[:, :, -1]], axis=1)
+    background, spread = np.median(edge, axis=1), edge.reshape(n, -1).std(axis=1)
+    grounds, planes = background.mean(axis=1), np.ascontiguousarray(np.moveaxis(values, 3, 0))
+    bright, off = (planes[0] + planes[1] + planes[2]) / np.float32(3), planes - background.T[:, :, None, None]
+    off *= off
+    difference = np.sqrt(off[0] + off[1] + off[2])
     inside = difference[:, shape]
     share = lambda x, q: np.percentile(x, q, axis=-1).astype(np.float32) if shape.any() else np.zeros(x.shape[:-1], np.float32)
     least = np.maximum(np.float32(LEAST_DIFFERENCE), share(inside, PERCENTILE))
     masks = shape & (difference >= least[:, None, None])
     sums = masks.sum((1, 2))
     for i in np.flatnonzero(sums < MIN_FILL * area):
-        light, ground = np.floor(crops[i] @ LUMA + 0.5), float(grounds[i])
+        light, ground = np.floor(values[i] @ LUMA + 0.5), float(grounds[i])
         masks[i] = shape & (light < int(ground - LUMA_STEP) if ground > 128 else light > min(255, int(ground + LUMA_STEP)))
         sums[i] = masks[i].sum()
     for i in np.flatnonzero(sums > MAX_FILL * area):
         masks[i] = shape & (difference[i] >= share(inside[i], 100 * (1 - MAX_FILL)))
         sums[i] = masks[i].sum()
-    masks, far_off = _grow(_shrink(_grow(masks))), -np.abs(crops.mean(axis=3) - grounds[:, None, None])
+    masks = _grow(_shrink(_grow(masks)))
+    colors, found = _strongest(crops, masks, np.abs(bright - grounds[:, None, None]))
     rows = []
-    for i in range(n):
-        mask, fill, contrast = masks[i], float(sums[i] / area), DARK if grounds[i] > 128 else LIGHT
-        color, text, ground = contrast, crops[i][mask], background[i].astype(int).tolist()
-        if len(text):
-            far = np.argsort(far_off[i][mask], kind="stable")
-            strongest = np.sort(text[far[: max(1, int(len(far) * STRONGEST))]], axis=0)
-            k = len(strongest)
-            color = ((strongest[(k - 1) // 2] + strongest[k // 2]) / 2).astype(int).tolist()
+    for i, (mask, color, ground, fill) in enumerate(zip(masks, colors.tolist(), background.astype(int).tolist(), (sums / area).tolist())):
+        contrast = DARK if grounds[i] > 128 else LIGHT
+        color = color if found[i] else contrast
         if sum((a - b) ** 2 for a, b in zip(color, ground)) < CONTRAST**2:
             color = contrast
         weight = "bold" if fill > BOLD else "normal"
@@ -107,40 +106,73 @@ def _stats_of(crops: np.ndarray, shape: np.ndarray) -> list[dict]:
     return rows
 
 
+def _strongest(crops: np.ndarray, masks: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each region the median colour of the fifth of its mask that is farthest, of equally far pixels the first ones; and
+    whether its mask has any pixel. Pixels are sorted by distance and place in one number."""
+    n, counts = len(crops), masks.sum((1, 2))
+    taken = np.maximum(1, (counts * STRONGEST).astype(int))
+    places = np.arange(far[0].size, dtype=np.uint64)
+    keys = ~far.reshape(n, -1).view(np.uint32) & np.uint64(0xFFFFFFFF)
+    keys = np.where(masks.reshape(n, -1), keys << np.uint64(32) | places, np.iinfo(np.uint64).max)
+    keys.sort(axis=1)
+    first = keys[:, : taken.max()] & np.uint64(0xFFFFFFFF)
+    colors = np.take_along_axis(crops.reshape(n, -1, 3), np.minimum(first, places[-1]).astype(np.int64)[:, :, None], axis=1).astype(np.uint16)
+    colors[np.arange(first.shape[1]) >= taken[:, None]] = 1 << 15
+    colors, nth = np.sort(colors.transpose(0, 2, 1), axis=2), np.arange(n)
+    return (colors[nth, :, (taken - 1) // 2] + colors[nth, :, taken // 2]) // 2, counts > 0
+
+
 PIXELS = "page_id long, region_id int, background array<int>, color array<int>, weight string, fill double, flat boolean"
 
 
 def _pages(images: DataFrame, regions: DataFrame) -> DataFrame:
     """Images (page_id, height, width, rgb) with the corners of their regions, given as ``polygon`` (an array of x, y) or as
-    x0, y0, x1, y1: pictures are shuffled once."""
+    x0, y0, x1, y1: pictures are shuffled once and never sorted."""
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     box = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
     polygon = F.col("polygon") if "polygon" in regions.columns else box
     shapes = regions.select("page_id", F.struct("region_id", polygon.alias("polygon")).alias("r"))
     shapes = shapes.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("regions"))
     parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small pictures are much work too
-    return images.select("page_id", "height", "width", "rgb").repartition(parts, "page_id").join(shapes, "page_id", "left")
+    return images.select("page_id", "height", "width", "rgb").repartition(parts, "page_id").join(shapes.hint("shuffle_hash"), "page_id", "left")
 
 
 #: Pages whose regions are judged together, and regions of one size and shape, by their pixels at most.
 PAGES_AT_ONCE, PIXELS_AT_ONCE = 64, 1 << 18
 
 
+def _on_pages(regions: pa.ListArray, sizes: list[tuple[int, int]], padding: int) -> Iterator[tuple[int, int, list[int], list[int], np.ndarray]]:
+    """Of regions of which any part lies on their pages (of these widths and heights): number of the page, id, where they begin
+    and end with their padding, and the corners from there on."""
+    flat, of_page = regions.flatten(), pc.fill_null(regions.value_lengths(), 0).to_numpy()
+    polygons = flat.field("polygon")
+    points, n = polygons.flatten(), polygons.value_lengths()
+    if n.null_count or points.null_count or any(points.field(c).null_count for c in "xy"):
+        raise ValueError("a region without its corners")
+    corners = np.stack([points.field(c).to_numpy() for c in "xy"], axis=1).astype(np.int64)
+    n, extents = n.to_numpy(), np.array(sizes, np.int64).reshape(-1, 2)
+    pages, ids, ends, filled = np.repeat(np.arange(len(of_page)), of_page), flat.field("region_id").to_pylist(), np.cumsum(n), np.flatnonzero(n)
+    if not len(filled):
+        return
+    starts, extents = (ends - n)[filled], extents[pages[filled]]
+    low, high = np.minimum.reduceat(corners, starts), np.maximum.reduceat(corners, starts)
+    begin, end = np.maximum(low - padding, 0), np.minimum(high + padding + 1, extents)
+    inside = (low < extents).all(1) & (high >= 0).all(1)
+    for i, k in zip(np.flatnonzero(inside).tolist(), filled[inside].tolist()):
+        yield int(pages[k]), ids[k], begin[i].tolist(), end[i].tolist(), corners[ends[k] - n[k] : ends[k]] - begin[i]
+
+
 def _each(batch: pa.RecordBatch, padding: int) -> Iterator[tuple[int, np.ndarray, list[tuple[int, dict]]]]:
     """Pages with the statistics of their regions, in order. Regions of one size and shape are judged together."""
     for first in range(0, batch.num_rows, PAGES_AT_ONCE):
-        pages, alike = [], {}
-        for page in batch.slice(first, PAGES_AT_ONCE).to_pylist():
-            rgb = np.frombuffer(page["rgb"], np.uint8).reshape(page["height"], page["width"], 3)
-            pages.append((page["page_id"], rgb, found := []))
-            for r in page["regions"] or []:
-                polygon = np.array([(p["x"], p["y"]) for p in r["polygon"]], np.int64)
-                if len(polygon) and (polygon.min(0) < rgb.shape[1::-1]).all() and (polygon.max(0) >= 0).all():
-                    x0, y0, crop = _cut(rgb, polygon, padding)
-                    stats = {"x0": x0, "y0": y0}
-                    found.append((r["region_id"], stats))
-                    polygon -= [x0, y0]
-                    alike.setdefault((crop.shape, polygon.tobytes()), []).append((stats, crop, polygon))
+        some, pages, alike = batch.slice(first, PAGES_AT_ONCE), [], {}
+        for page_id, height, width, rgb in zip(*(some.column(c) for c in ("page_id", "height", "width", "rgb"))):
+            rgb = np.frombuffer(rgb.as_buffer(), np.uint8).reshape(height.as_py(), width.as_py(), 3)
+            pages.append((page_id.as_py(), rgb, []))
+        for page, region_id, (x0, y0), (x1, y1), polygon in _on_pages(some.column("regions"), [rgb.shape[1::-1] for _, rgb, _ in pages], padding):
+            crop, stats = pages[page][1][y0:y1, x0:x1], {"x0": x0, "y0": y0}
+            pages[page][2].append((region_id, stats))
+            alike.setdefault((crop.shape, polygon.tobytes()), []).append((stats, crop, polygon))
         for ((height, width, _), _), rows in alike.items():
             shape, step = polygon_mask(rows[0][2], height, width), max(1, PIXELS_AT_ONCE // (height * width))
             for a in range(0, len(rows), step):

@@ -542,3 +542,22 @@ def test_pages_without_pairs_are_settled_together():
             order = sorted(range(len(page)), key=lambda k: (box[k][1], box[k][0]))
             want += [(i + 10, nth, *box[k].tolist(), page[k]["text"], 0.5, page[k]["orientation"], 1) for nth, k in enumerate(order)]
     assert 50 < alone.sum() < 300 and list(zip(*(c.to_pylist() for c in columns))) == want
+
+
+def test_strongest_pixels_of_many_regions_at_once_and_pictures_unsorted(spark):
+    rng = np.random.default_rng(5)
+    crops = rng.integers(0, 6, (40, 9, 7, 3), np.uint8) * 40
+    masks = rng.random((40, 9, 7)) < rng.random((40, 1, 1))
+    masks[3] = False
+    far = np.abs(crops.astype(np.float32).mean(3) - np.float32(100))
+    colors, found = P._strongest(crops, masks, far)
+    for i in range(40):
+        at = np.argsort(-far[i][masks[i]], kind="stable")
+        assert found[i] == bool(len(at))
+        if len(at):
+            strongest = np.sort(crops[i][masks[i]][at[: max(1, int(len(at) * P.STRONGEST))]].astype(float), axis=0)
+            assert colors[i].tolist() == np.median(strongest, axis=0).astype(int).tolist()
+    images = spark.createDataFrame([(1, 4, 4, bytes(48))], "page_id long, height int, width int, rgb binary")
+    regions = spark.createDataFrame([(1, 1, 0, 0, 3, 3)], "page_id long, region_id int, x0 int, y0 int, x1 int, y1 int")
+    plan = P._pages(images, regions)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
