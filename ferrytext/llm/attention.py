@@ -20,6 +20,8 @@ CLASSES, WIDTH, INPUTS = 96, 16, 2048
 HEADS = 64
 #: Adam's largest step in the pass over all windows, a fifth of that in which the network starts.
 PASS_RATE = 0.002
+#: Rows of logits that are held at once, so that they stay in a core's cache.
+ROOM_ROWS = 512
 #: What is taken from every pair's count for ids that it was not seen with, and what an id's count is raised by.
 DISCOUNT, SMOOTH = 0.75, 0.1
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -127,6 +129,23 @@ class Pairs:
         return out
 
 
+class _Room:
+    """What a step of learning from n windows writes to, so that no step asks the system for memory."""
+
+    def __init__(self, n: int, kind: np.dtype) -> None:
+        made = lambda *shape: np.empty((n, *shape), kind)
+        self.x, self.turned, self.dx = made(WINDOW, WIDTH), made(WIDTH, WINDOW), made(WINDOW, WIDTH)
+        #: attention's weights above the gradients of its scores, and what each is multiplied by for the gradient of x
+        self.weights, self.factors = made(2 * FRESH, WINDOW), made(2 * FRESH, WIDTH)
+        self.mean, self.h, self.dh = made(FRESH, WIDTH), made(FRESH, WIDTH + 1), made(FRESH, WIDTH)
+        self.h[..., WIDTH] = 1
+        rows = min(n * FRESH, ROOM_ROWS)
+        self.d, self.after = np.empty((rows, CLASSES), kind), np.empty((rows, CLASSES), np.float32)
+        self.mask = np.tri(WINDOW, dtype=kind)[-FRESH:]
+        self.spots = np.arange(INPUTS * WIDTH).reshape(INPUTS, WIDTH)
+        self.places = np.empty((n, WINDOW, WIDTH), self.spots.dtype)
+
+
 class AttentionModel:
     """``end``, the last of the ids, begins and ends every text.
 
@@ -182,43 +201,66 @@ class AttentionModel:
         keys = before.astype(np.uint64) * np.uint64(self.n_ids) + ids.astype(np.uint64)
         return self.pairs.get(keys, self.rest[self.row[before] * CLASSES + self.cls[ids]] + self.share[ids])
 
-    def loss(self, windows: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def loss(self, windows: np.ndarray, room: _Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log probability of the classes of the last FRESH ids of windows plus one, and its gradients;
-        ids from n_ids on don't count."""
-        n, ids, real = len(windows), np.minimum(windows, self.end), (windows[:, -FRESH:] < self.n_ids).ravel()
-        w, inputs, target = self.w, self.inputs[ids[:, :-1]].ravel(), self.cls[ids[:, -FRESH:]].ravel()
-        flat, each = lambda m: m.reshape(-1, m.shape[-1]), lambda m: m.reshape(n, -1, m.shape[-1])
-        deep = w["E"].take(inputs, axis=0).reshape(n, WINDOW, WIDTH) + w["P"]
-        x, late = flat(deep), flat(deep[:, -FRESH:])
-        q, k, v = each(late @ w["Q"]), each(x @ w["K"]), each(x @ w["V"])
-        a = np.exp(np.clip(q @ k.transpose(0, 2, 1) / WIDTH**0.5, -30, 30)) * np.tri(WINDOW, dtype=np.float32)[-FRESH:]
-        a /= a.sum(-1, keepdims=True)
-        h = flat(a @ v) + late
-        d = h @ w["O"]
-        d += w["b"]
-        d += self.after.take(self.row[ids[:, -FRESH - 1 : -1]].ravel(), axis=0)
-        d -= d.max(-1, keepdims=True)
-        np.exp(d, out=d)
-        mass, rows = d.sum(-1), np.arange(len(target))
-        value = float(-np.log(d[rows, target] / mass + 1e-12)[real].mean())
-        weight = (real / real.sum()).astype(d.dtype)
-        d *= (weight / mass)[:, None]
-        d[rows, target] -= weight
-        g = {"b": np.ones(len(d), d.dtype) @ d, "O": h.T @ d}
-        late_by = d @ w["O"].T
-        dh = each(late_by)
-        da, dv = dh @ v.transpose(0, 2, 1), flat(a.transpose(0, 2, 1) @ dh)
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) / WIDTH**0.5
-        dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
-        g |= {"Q": late.T @ dq, "K": x.T @ dk, "V": x.T @ dv}
-        dx = dk @ w["K"].T
-        dx += dv @ w["V"].T
-        each(dx)[:, -FRESH:] += each(dq @ w["Q"].T + late_by)
-        g["P"] = each(dx).sum(0)
-        order = np.argsort(inputs.astype(np.uint16), kind="stable")
-        starts = np.flatnonzero(np.diff(inputs[order], prepend=-1))
-        g["E"] = np.zeros_like(w["E"])
-        g["E"][inputs[order[starts]]] = np.add.reduceat(dx.take(order, axis=0), starts, axis=0)
+        ids from n_ids on don't count. Queries and keys meet in one matrix, Q times K turned, and means are taken of x before V, so
+        that nothing is made of a window's first places but x. Logits are divided by no sum and lie in ``room`` for a few windows
+        at a time; what rows are scaled by goes to the narrow side of products."""
+        n, w = len(windows), self.w
+        room = room or _Room(n, w["E"].dtype)
+        ids, real = np.minimum(windows, self.end), (windows[:, -FRESH:] < self.n_ids).ravel()
+        weight, target = (real / real.sum()).astype(room.x.dtype), self.cls.take(ids[:, -FRESH:]).ravel()
+        inputs, before = self.inputs.take(ids[:, :-1]), self.row.take(ids[:, -FRESH - 1 : -1]).ravel()
+        flat = lambda m: m.reshape(-1, m.shape[-1])
+        x, mean, h, dh, dx, scale = room.x, room.mean, room.h, room.dh, room.dx, w["Q"].dtype.type(WIDTH**-0.5)
+        a, ds, dmean, query = room.weights[:, :FRESH], room.weights[:, FRESH:], room.factors[:, :FRESH], room.factors[:, FRESH:]
+        np.take(w["E"], inputs, axis=0, out=x, mode="clip")
+        x += w["P"]
+        last, turned = np.ascontiguousarray(x[:, -FRESH:]), room.turned
+        turned[:] = x.transpose(0, 2, 1)
+        met = w["Q"] @ w["K"].T * scale
+        query[:] = (flat(last) @ met).reshape(query.shape)
+        np.matmul(query, turned, out=a)
+        np.exp(np.clip(a, -30, 30, out=a), out=a)
+        a *= room.mask
+        a /= a @ np.ones((WINDOW, 1), x.dtype)
+        np.matmul(a, x, out=mean)
+        np.add((flat(mean) @ w["V"]).reshape(last.shape), last, out=h[..., :WIDTH])
+
+        late, out, ones = flat(h), np.vstack([w["O"], w["b"]]), np.ones(CLASSES, h.dtype)
+        tame = max(late.max(), -late.min()) * np.abs(out).sum(0).max() < 60
+        masses, got, g_out = np.empty(len(late), h.dtype), np.empty(len(late), h.dtype), np.zeros_like(out)
+        for at in range(0, len(late), len(room.d)):
+            rows = slice(at, min(at + len(room.d), len(late)))
+            m = rows.stop - at
+            d = np.matmul(late[rows], out, out=room.d[:m])
+            d += np.take(self.after, before[rows], axis=0, out=room.after[:m], mode="clip")
+            if not tame:
+                d -= d.max(-1, keepdims=True)
+            np.exp(d, out=d)
+            mass = np.matmul(d, ones, out=masses[rows])
+            places = np.arange(0, m * CLASSES, CLASSES) + target[rows]
+            got[rows] = found = d.ravel().take(places)
+            d.ravel()[places] = found - mass  # what follows has all of the gradient, not only that of the sums
+            each = (weight[rows] / mass)[:, None]
+            by = np.matmul(d, w["O"].T, out=flat(dh)[rows])
+            by *= each
+            g_out += (late[rows] * each).T @ d
+        value = float((weight * -np.log(got / masses + 1e-12)).sum())
+        g_v = flat(mean).T @ flat(dh)
+        dmean[:] = (flat(dh) @ w["V"].T).reshape(dmean.shape)
+        np.matmul(dmean, turned, out=ds)
+        ds -= (flat(dmean * mean) @ np.ones(WIDTH, x.dtype)).reshape(n, FRESH, 1)
+        ds *= a
+        dquery = flat(np.matmul(ds, x))
+        np.matmul(room.weights.transpose(0, 2, 1), room.factors, out=dx)
+        dh += (dquery @ met.T).reshape(dh.shape)
+        g_met = flat(last).T @ dquery * scale
+        dx[:, -FRESH:] += dh
+        np.take(room.spots, inputs, axis=0, out=room.places, mode="clip")
+        g_inputs = np.bincount(room.places.ravel(), dx.ravel(), w["E"].size).reshape(w["E"].shape)
+        g = {"E": g_inputs.astype(dx.dtype), "P": (np.ones(n, dx.dtype) @ dx.reshape(n, -1)).reshape(w["P"].shape)}
+        g |= {"Q": g_met @ w["K"], "K": g_met.T @ w["Q"], "V": g_v, "O": g_out[:WIDTH], "b": g_out[WIDTH]}
         return value, g
 
     def _train(self, windows: np.ndarray, steps: int, batch: int, rng: np.random.Generator, top: float = 0.01) -> None:
@@ -226,18 +268,29 @@ class AttentionModel:
         if not len(windows):
             return
         steps, order = max(steps, -(-len(windows) // batch)), np.zeros(0, np.int64)
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
+        flat = np.concatenate([v.ravel() for v in self.w.values()])
+        cuts = np.cumsum([v.size for v in self.w.values()])[:-1]
+        self.w = {k: x.reshape(v.shape) for (k, v), x in zip(self.w.items(), np.split(flat, cuts))}  # views of flat
+        m, s, g, root = (np.zeros_like(flat) for _ in range(4))
+        room = _Room(batch, flat.dtype)
         for step in range(1, steps + 1):
             while len(order) < batch:
                 order = np.concatenate([order, rng.permutation(len(windows))])
             at, order = order[:batch], order[batch:]
-            _, g = self.loss(windows[at].astype(np.int64))
+            _, parts = self.loss(windows[at].astype(np.int64), room)
+            np.concatenate([parts[k].ravel() for k in self.w], out=g)
             rate = top * min(1, step / 30) * (1 - 0.9 * step / steps)
-            for k in self.w:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=root)
+            g *= g
+            g *= 0.01
+            s *= 0.99
+            s += g
+            np.sqrt(np.multiply(s, 1 / (1 - 0.99**step), out=root), out=root)
+            root += 1e-8
+            np.divide(m, root, out=root)
+            root *= rate / (1 - 0.9**step)
+            flat -= root
 
     def passed(self, windows: np.ndarray, batch: int = 256, top: float = PASS_RATE) -> np.ndarray:
         """All weights in a row after a pass over the windows, each of which is learned from once; the model stays as it is."""
@@ -254,51 +307,64 @@ class AttentionModel:
         self._tables()
 
     def _tables(self) -> None:
-        """Queries beside embeddings, keys beside values, by id and by place: what is looked up together lies together."""
+        """Queries (by Q and K turned) and embeddings, by id and by place, and the product that makes logits of means and embeddings."""
         w = self.w
-        by = lambda x: (np.hstack([x @ w["Q"] / np.float32(WIDTH**0.5), x]), np.hstack([x @ w["K"], x @ w["V"]]))
-        (self.queries, self.keys), (self.query_places, self.key_places) = by(w["E"]), by(w["P"])
+        met = w["Q"] @ w["K"].T / np.float32(WIDTH**0.5)
+        self.queries, self.query_places = w["E"] @ met, w["P"] @ met
+        self.out = np.vstack([w["V"] @ w["O"], w["O"]])
         self.logits = self.after + w["b"]
         longest = lambda table, places: np.sqrt(((np.abs(table).max(0) + np.abs(places).max(0)) ** 2).sum())
-        halves = [(self.queries[:, :WIDTH], self.query_places[:, :WIDTH]), (self.keys[:, :WIDTH], self.key_places[:, :WIDTH])]
-        halves += [(self.queries[:, WIDTH:], self.query_places[:, WIDTH:]), (self.keys[:, WIDTH:], self.key_places[:, WIDTH:])]
-        q, k, x, v = (longest(*h) for h in halves)
+        q, x, v = longest(self.queries, self.query_places), longest(w["E"], w["P"]), longest(w["E"] @ w["V"], w["P"] @ w["V"])
         #: no exponential of scores or logits can leave the range of single precision, so none needs to be clipped
-        self.tame = q * k < 60 and (x + v) * np.sqrt((w["O"] ** 2).sum(0)).max() < 60
+        self.tame = q * x < 60 and (x + v) * np.sqrt((w["O"] ** 2).sum(0)).max() < 60
 
-    def log10(self, flat: np.ndarray, sizes: np.ndarray, batch: int = 512) -> np.ndarray:
-        """log10 probability of each text's ids and its end, of texts one after the other."""
+    def log10(self, flat: np.ndarray, sizes: np.ndarray, batch: int = 256) -> np.ndarray:
+        """log10 probability of each text's ids and its end, of texts one after the other. What a batch needs is written to the
+        same arrays as that of the one before."""
         if not len(sizes):
             return np.zeros(0)
         stream, first = framed(flat, sizes, self.end)
         ids, target = np.minimum(stream[:-1], self.end).reshape(-1, FRESH), stream[1:].reshape(-1, FRESH)
         real = target < self.n_ids
         real[first] = False
-        sums, mask = np.zeros(len(ids)), np.tri(WINDOW, dtype=np.float32)[-FRESH:]
+        sums, mask, ones = np.zeros(len(ids)), np.tri(WINDOW, dtype=np.float32)[-FRESH:], np.ones((CLASSES, 1), np.float32)
         coded, before_rows = self.inputs[ids], self.row[ids]
-        rows_of = lambda table, at: np.take(table, at, axis=0, mode="clip")  # noqa: E731  all are in range
+        batch = min(batch, len(ids))
+        made = lambda *shape: np.empty((batch, *shape), np.float32)
+        found, room = np.empty((batch + 1, FRESH, WIDTH), np.float32), (made(WINDOW, WIDTH), made(FRESH, WIDTH), made(FRESH, WINDOW))
+        room += made(FRESH, 2 * WIDTH), made(FRESH, CLASSES), made(FRESH, CLASSES), made(FRESH, 1)
+        cells = np.arange(0, batch * FRESH * CLASSES, CLASSES)
+        into = lambda table, at, out: np.take(table, at, axis=0, out=out, mode="clip")  # noqa: E731  all are in range
         for a in range(1, len(ids), batch):
             rows = slice(a, min(a + batch, len(ids)))
-            before, y = ids[rows].ravel(), np.minimum(target[rows], self.end).ravel()
-            found = rows_of(self.keys, coded[a - 1 : rows.stop])
-            keys = np.concatenate([found[:-1], found[1:]], axis=1)
-            keys += self.key_places
-            late = rows_of(self.queries, coded[rows])
-            late += self.query_places[-FRESH:]
-            s = late[..., :WIDTH] @ keys[..., :WIDTH].transpose(0, 2, 1)
+            n = rows.stop - a
+            x, query, s, h, z, after, mass = (m[:n] for m in room)
+            y = np.minimum(target[rows], self.end).ravel()
+            into(self.w["E"], coded[a - 1 : rows.stop], found[: n + 1])
+            np.add(found[:n], self.w["P"][:FRESH], out=x[:, :FRESH])
+            np.add(found[1 : n + 1], self.w["P"][FRESH:], out=x[:, FRESH:])
+            into(self.queries, coded[rows], query)
+            query += self.query_places[-FRESH:]
+            np.matmul(query, x.transpose(0, 2, 1), out=s)
             if not self.tame:
                 np.clip(s, -60, 60, out=s)
             np.exp(s, out=s)
             s *= mask
-            h = s @ keys[..., WIDTH:]
-            h /= s.sum(-1, keepdims=True)
-            h += late[..., WIDTH:]
-            z = (h @ self.w["O"]).reshape(-1, CLASSES)
-            z += rows_of(self.logits, before_rows[rows].ravel())
+            s /= s @ ones[:WINDOW]
+            np.matmul(s, x, out=h[..., :WIDTH])
+            h[..., WIDTH:] = x[:, FRESH:]
+            np.matmul(h, self.out, out=z)
+            z += into(self.logits, before_rows[rows], after)
             if not self.tame:
                 np.clip(z, -60, 60, out=z)
-            got = z.ravel().take(np.arange(0, z.size, CLASSES) + self.cls[y])
-            got -= np.log(np.exp(z, out=z).sum(-1))
-            got += self.within(y, before)
+            got = z.ravel().take(cells[: len(y)] + self.cls.take(y))
+            np.matmul(np.exp(z, out=z), ones, out=mass)
+            got -= np.log(mass, out=mass).ravel()
             sums[rows] = np.where(real[rows], got.reshape(-1, FRESH), 0).sum(-1, dtype=float)
+        for a in range(0, len(ids), 8 * batch):
+            rows = slice(a, a + 8 * batch)
+            at = np.flatnonzero(real[rows])
+            within = np.zeros(real[rows].shape, np.float32)
+            within.ravel()[at] = self.within(target[rows].ravel().take(at), ids[rows].ravel().take(at))
+            sums[rows] += within.sum(-1, dtype=float)
         return np.add.reduceat(sums, first) / np.log(10)

@@ -16,7 +16,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import count, islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -93,12 +93,25 @@ class Subwords:
         return ids, sizes
 
 
-class _Ids(dict):
-    """New words get the next number."""
+#: Lower-cases A-Z and makes blanks of all white space.
+_BLANKED = bytes(32 if 9 <= b <= 13 else b for b in LOWER_TABLE)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+
+def numbered(texts: pa.Array, known: pa.Array) -> tuple[list[np.ndarray], list[bytes]]:
+    """The numbers of each text's words (``words_of``), and the words that are not known: these are numbered from len(known) on, in
+    order of appearance. Only those become Python objects, each once."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1]
+    plain = texts.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes().translate(_BLANKED) if at[-1] > at[0] else b""
+    cut = pc.split_pattern(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at - at[0]), pa.py_buffer(plain)]), " ")
+    words = cut.flatten()
+    is_word = pc.binary_length(words).to_numpy() > 0
+    ends = np.concatenate([[0], np.cumsum(is_word)])[cut.offsets.to_numpy()]
+    coded = words.filter(pa.array(is_word)).dictionary_encode()
+    found = pc.index_in(coded.dictionary, known)
+    numbers, new = found.fill_null(-1).to_numpy().copy(), coded.dictionary.filter(found.is_null())
+    numbers[numbers < 0] = len(known) + np.arange(len(new))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new), b" ")[0]
+    return np.split(numbers.astype(np.int32)[coded.indices.to_numpy()], ends[1:-1]), joined.as_buffer().to_pybytes().split()
 
 
 def _frequent_words(rows: DataFrame, n: int) -> list[bytes]:
@@ -146,14 +159,10 @@ def blocks(rows: DataFrame, frequent: list[bytes], ranks_path: str, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords: Subwords = worker_copy(Subwords, ranks_path, pattern)
         frequent = shipped.value
-        known = subwords.encode(frequent)
+        known, places = subwords.encode(frequent), pa.array(frequent, pa.binary())
         numbers = count(TaskContext.get().partitionId() << 32)
         for batch in slices(batches, BLOCK_BYTES):
-            numbered, parts = _Ids(zip(frequent, range(len(frequent)))), []
-            for text in batch.column("text"):
-                words = words_of(text.as_buffer().to_pybytes())
-                parts.append(np.fromiter(map(numbered.__getitem__, words), np.int32, len(words)))
-            yield from _block(next(numbers), batch, parts, list(islice(numbered, len(frequent), None)), known, subwords)
+            yield from _block(next(numbers), batch, *numbered(batch.column("text").cast(pa.binary()), places), known, subwords)
 
     return rows.select("doc_id", "held", "text").mapInArrow(tidied(run), _BLOCKS_DDL)
 

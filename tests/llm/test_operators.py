@@ -5,11 +5,13 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -287,6 +289,50 @@ def test_attention_gradients():
         assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=2e-2, abs=1e-6)
 
 
+def test_a_step_of_learning_asks_for_little_memory():
+    """Steps write to the same arrays; what each asked the system for anew took a good part of the pass over all windows."""
+    rng = np.random.default_rng(8)
+    model = model_of([rng.integers(0, 200, 900).tolist()], 300, steps=3)
+    windows, text = rng.integers(0, 302, (256, attention.WINDOW + 1)), rng.integers(0, 300, 16_384)
+    room = attention._Room(len(windows), np.float32)
+
+    def peak(run):
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(lambda: model.loss(windows, room)) < 2_500_000
+    assert peak(lambda: model.log10(text, np.array([len(text)]))) < 5_000_000
+
+
+def test_attention_gradients_of_embeddings():
+    model = model_of([np.random.default_rng(6).integers(0, 200, 900).tolist()], 300, steps=3)
+    ids = np.random.default_rng(2).integers(0, 9, (4, attention.WINDOW + 1))
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    _, g = model.loss(ids)
+    for at in [(model.inputs[i], i) for i in range(9)] + [(model.inputs[200], 0)]:
+        model.w["E"][at] += 1e-5
+        up = model.loss(ids)[0]
+        model.w["E"][at] -= 2e-5
+        down = model.loss(ids)[0]
+        model.w["E"][at] += 1e-5
+        assert g["E"][at] == pytest.approx((up - down) / 2e-5, rel=2e-2, abs=1e-6)
+
+
+def test_words_of_a_batch_are_numbered_once():
+    texts = [t.encode() for t in ("", "Two  two\tone", " \n\r\x0b\x0c ", "\x1fa \u00a0x \x00 \u00c9T\u00c9 one", "ONE zzz", "")]
+    known = [b"one", b"never", b"two"]
+    for batch in (texts, texts[:1], texts[2:3], texts * 40):
+        for column in (pa.array(batch, pa.binary()), pa.array([b"skip", *batch, b"skip"], pa.binary()).slice(1, len(batch))):
+            parts, new = lm_score.numbered(column, pa.array(known, pa.binary()))
+            words = [[(known + new)[i] for i in part] for part in parts]
+            assert words == [lm_score.words_of(t) for t in batch] and len(set(known + new)) == len(known + new)
+    parts, new = lm_score.numbered(pa.array(texts, pa.binary()), pa.array([], pa.binary()))
+    assert [[new[i] for i in part] for part in parts] == [lm_score.words_of(t) for t in texts]
+
+
 def test_simhash(docs, none):
     got = by_id(simhash.near_duplicates(docs))
 
