@@ -58,14 +58,17 @@ def _key(i: int) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct ``fp`` at most 3 bits apart."""
+    """(a, b), a < b: all pairs of the distinct ``fp`` at most 3 bits apart.
+
+    A fingerprint makes 68 probes, which Spark's estimate of sizes doesn't count: left to itself it broadcasts them all.
+    """
     keys = F.array(*(_key(i) for i in range(SEGMENTS)))
     index = fps.select(F.col("fp").alias("a"), F.explode(keys).alias("key"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << j).cast("long") for j in range(WIDTH)))
     probes = fps.select(F.col("fp").alias("b"), F.explode(keys).alias("exact")).select(
         "b", F.explode(F.transform(flips, lambda m: F.col("exact").bitwiseXOR(m))).alias("key")
     )
-    met = index.join(probes, "key").where("a < b").withColumn("x", F.expr("a ^ b"))
+    met = index.hint("merge").join(probes, "key").where("a < b").withColumn("x", F.expr("a ^ b"))
     turn = f"cast({WIDTH} * (key >> {2 * WIDTH}) as int)"
     chain = F.expr(f"shiftleft(x, {turn}) | shiftrightunsigned(x, 64 - {turn})")
     return (

@@ -368,6 +368,11 @@ def test_links_at_every_distance(spark):
     assert got == {tuple(sorted(p)) for p in want}
 
 
+def test_links_are_never_broadcast(spark):
+    plan = simhash.links(spark.range(50).withColumnRenamed("id", "fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
