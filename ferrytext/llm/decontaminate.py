@@ -91,7 +91,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, block_byte
     index = text_rows(docs).mapInArrow(tidied(run), INDEX_SCHEMA)
     if joined is not None:
         index = stored(index, "index")  # block numbers come from partitions, so it is made once
-        kept = index.where("term is not null").join(joined, "term", "left_semi")
+        kept = index.where("term is not null").join(joined.hint("merge"), "term", "left_semi")  # sized before its words were cut
         index = kept.select(*_INDEX.names).unionByName(index.where("term is null"))
     return index
 

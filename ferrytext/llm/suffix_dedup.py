@@ -267,10 +267,7 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     cut = stored(cut, "contexts")
     parts = _partial(cut.where("not hot"), length, gram)
     hot = _windows(cut.where("hot"), length)
-    again = hot.groupBy("gram", "before", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    windows = hot.where("single").join(again, ["gram", "before", "h1", "h2"], "left_semi").select(
-        "k1", "k2", "start", (F.col("start") + length).alias("end")
-    )
+    windows = _repeated(hot).select("k1", "k2", "start", (F.col("start") + length).alias("end"))
     whole = copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     ranges = full.unionByName(parts).unionByName(windows).join(copies, ["k1", "k2"], "left_anti")
     per_text = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
@@ -307,6 +304,14 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _repeated(windows: DataFrame) -> DataFrame:
+    """Those of single spans that stand at the same distance before their anchor in another span. A context makes hundreds of
+    windows, which Spark's estimate of sizes doesn't count, so none are broadcast."""
+    key = ["gram", "before", "h1", "h2"]
+    again = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    return windows.where("single").join(again.hint("merge"), key, "left_semi")
+
+
 def _cut_out(rows: DataFrame) -> DataFrame:
     """Texts without the union of their ranges."""
 

@@ -410,6 +410,12 @@ def test_suffix_dedup(spark, most):
     assert [got[i]["n_repeated"] for i in range(len(texts))] == [n for _, n, _, _ in removed([t.encode() for t in texts], 25)]
 
 
+def test_windows_of_hot_spans_are_never_broadcast(spark):
+    rows = spark.range(50).selectExpr("id AS gram", "id AS k1", "id AS k2", "id AS first", "id AS anchor", "true AS single", "binary('ab') AS text")
+    plan = suffix_dedup._repeated(suffix_dedup._windows(rows, 1))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_texts_over_a_segment(spark, monkeypatch):
     rng = random.Random(5)
     make = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
@@ -561,6 +567,14 @@ def test_chunks_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.contamination(rows, items).collect())) == whole
 
 
+def test_words_of_a_large_benchmark_are_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 300)
+    rows = spark.range(30).selectExpr("id AS doc_id", "concat('a b ', id) AS text")
+    words = spark.range(30).selectExpr("binary(concat('word', id)) AS term")
+    plan = decontaminate.build_index(rows, words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_shards(docs, none):
     rows = sharding.hilbert_shards(docs, 8, bucket_rows=5).collect()
     counts = Counter(r["shard"] for r in rows)
