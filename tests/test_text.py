@@ -210,6 +210,37 @@ def test_likeness_is_that_of_difflib():
             assert 2.0 * C._shared(a, b) / (2 * n) >= ratio
 
 
+@pytest.mark.parametrize("pairs", [C._PAIRS, 10])
+def test_matches_in_long_texts_are_those_of_difflib(monkeypatch, pairs):
+    monkeypatch.setattr(C, "_PAIRS", pairs)
+    draw = random.Random(6)
+    for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyzäö .", "".join(chr(0x4E00 + i) for i in range(150)), "ab" + "".join(chr(0x1F600 + i) for i in range(60))):
+        weights = [draw.random() ** 4 + 1e-3 for _ in alphabet]
+        for n in (200, 201, 299, 300, 900):
+            a = "".join(draw.choices(alphabet, weights, k=n + draw.randint(0, 40)))
+            for b in ("".join(draw.choices(alphabet, weights, k=n)), a[n // 3 :] + a[: n // 3], a[: n // 2] + "".join(draw.choices(alphabet, weights, k=20)) + a[n // 2 :], a):
+                plain, ours = SequenceMatcher(None, a, b), C._Matcher(a, b)
+                for _ in range(6):
+                    (a0, a1), (b0, b1) = (sorted(draw.sample(range(len(x) + 1), 2)) for x in (a, b))
+                    assert ours.find_longest_match(a0, a1, b0, b1) == tuple(plain.find_longest_match(a0, a1, b0, b1))
+                assert ours.find_longest_match(0, len(a), 0, len(b)) == tuple(plain.find_longest_match())
+                assert 2.0 * ours.most() / (len(a) + len(b)) == plain.quick_ratio()
+                assert C._alike(a, b, plain.ratio()) and (a == b or not C._alike(a, b, plain.ratio() + 1e-9))
+
+
+def test_long_texts_are_not_walked_character_by_character(monkeypatch):
+    def walked(*_):
+        raise AssertionError("difflib's own search")
+
+    draw = random.Random(7)
+    lines = ["".join(draw.choices("etaoinqvxjkz", [50] * 4 + [20] * 2 + [1] * 6, k=240)) for _ in range(60)]
+    halves = [SequenceMatcher(None, "".join(lines[:k]), "".join(lines[k : 2 * k])).ratio() for k in (10, 30)]
+    monkeypatch.setattr(C, "SequenceMatcher", walked)
+    assert [C._alike("".join(lines[:k]), "".join(lines[k : 2 * k]), r) for k, r in zip((10, 30), halves)] == [True, True]
+    assert C.truncate_tail("\n".join(lines)) == "\n".join(lines)
+    assert C.truncate_tail("\n".join(lines * 3)).startswith("\n".join(lines))
+
+
 def test_entities_that_were_cut_stay(spark):
     raw = ["a &amp;&amp", "x &eacute; &lt &#12354; &#x3042 &notit; &am"]
     assert column(spark, raw, lambda c: T.inner_text(c, closed=True)) == ["a &&amp", "x é &lt あ &#x3042 &notit; &am"]
