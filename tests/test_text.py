@@ -3,7 +3,9 @@
 import random
 import time
 from difflib import SequenceMatcher
+from itertools import accumulate
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +230,43 @@ def test_matches_in_long_texts_are_those_of_difflib(monkeypatch, pairs):
                 assert C._alike(a, b, plain.ratio()) and (a == b or not C._alike(a, b, plain.ratio() + 1e-9))
 
 
+def test_stretches_never_share_more_than_their_bounds():
+    draw = random.Random(8)
+    words = ["".join(draw.choices("etaoinshrdlucmq", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 1], k=draw.randint(1, 9))) for _ in range(40)]
+    refuted = 0
+    for repeats in (0, 0.02, 0.3, 0.9):
+        lines = []
+        for _ in range(48):
+            lines.append(draw.choice(lines) if lines and draw.random() < repeats else "".join(draw.choices(words, k=20)))
+            if repeats and draw.random() < 0.2:
+                lines[-1] = lines[-1][: draw.randint(20, 60)] + lines[0][:50]
+        text, at = "".join(lines), [0, *accumulate(map(len, lines))]
+        places = C._Places(text)
+        places.by_line(np.array(at))
+        for start in range(0, 40, 3):
+            size = np.arange(3, (len(lines) - start) // 2 + 1)
+            at_once = places.most_of_blocks(start, size) if places.sums else np.full(size.size, len(text))
+            for k, most in zip(size.tolist(), at_once):
+                a, b, c = at[start], at[start + k], at[start + 2 * k]
+                if c - b >= 200:
+                    shared = sum(m.size for m in SequenceMatcher(None, text[a:b], text[b:c]).get_matching_blocks())
+                    assert shared <= places.most(a, b, c) and shared <= most
+                    refuted += 2.0 * most / (c - a) < 0.75
+    assert refuted > 100
+
+
+def test_blocks_of_a_long_text_without_loops_are_settled_by_bounds(monkeypatch):
+    compared = []
+    alike, shared = C._alike, C._shared
+    monkeypatch.setattr(C, "_alike", lambda *of: compared.append(of) or alike(*of))
+    monkeypatch.setattr(C, "_shared", lambda *of: compared.append(of) or shared(*of))
+    draw = random.Random(9)
+    words = ["".join(draw.choices("etaoinshrdlucmq", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 1], k=draw.randint(2, 9))) for _ in range(90)]
+    lines = ["".join(draw.choices(words, k=60)) for _ in range(60)]
+    assert C.collapse_blocks(lines) == lines
+    assert sum(len(b) >= 1_000 for _, b, *_ in compared) < 10
+
+
 def test_long_texts_are_not_walked_character_by_character(monkeypatch):
     def walked(*_):
         raise AssertionError("difflib's own search")
