@@ -114,7 +114,7 @@ def normalize_ocr_line(c: Column) -> Column:
 
 def normalize_ocr_lines(c: Column) -> Column:
     """Array of normalised lines; empty ones go."""
-    lines = F.transform(split_lines(c), lambda x: normalize_ocr_line(x["content"]))
+    lines = F.transform(F.split(c, f"[{LINE_ENDS}]"), normalize_ocr_line)  # all that ends a line is white space, too
     return F.filter(lines, lambda x: x != "")
 
 

@@ -179,6 +179,19 @@ def test_clean_recognition(spark):
     assert C.clean_recognition(known, "c").first()["c"] == "本文"
 
 
+def test_lines_are_cut_once_and_at_every_line_end(spark, tmp_path):
+    from ferrytext.jobs import catalog_files as Q
+
+    raw = ["# a\r\n*b*\n\r`c `\x0bd\x0ce\x1cf\x1dg\x1eh\x85i\u2028j\u2029<b>k l", "", "\n", "x\r", None]
+    assert column(spark, raw, T.normalize_ocr_lines) == [list("abcdefghij") + ["kl"], [], [], ["x"], None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(raw)] + [(None, "y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = Q.looping_lines(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and "regexp_extract_all" not in plan
+    got = {r["doc_id"]: r["lines"] for r in rows.collect()}
+    assert got == {0: (list("abcdefghij") + ["kl"]) * 3, 1: [], 2: [], 3: ["x"] * 3, 4: None, None: ["y"]}
+
+
 def test_decoding(spark):
     cases = [
         ("日本語。".encode("cp932"), "日本語。", "cp932"), (b"\xef\xbb\xbfa", "a", "utf-8-sig"), ("あ".encode("utf-16"), "あ", "utf-16"),
